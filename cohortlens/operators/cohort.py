@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.scale import join_group_stats
@@ -27,11 +27,14 @@ def group_percentile(
 ) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` per group, one output row per group.
 
-    ``p`` is one fraction (output column ``name``) or a mapping output column -> fraction.
+    ``p`` is one fraction (output column ``name``) or a mapping output column -> fraction. Rows
+    with a NULL group key belong to no group.
 
-    * ``exact``: mergeable aggregations. In a large group a sketch brackets the wanted ranks,
-      rows outside the brackets collapse to counts before the shuffle, and only the few distinct
-      values inside a bracket are ranked. No task ever holds the values of a large group.
+    * ``exact``: group sizes are counted first. Up to ``WHOLE_GROUP_ROWS`` rows per group,
+      Spark's ``percentile`` is used, whose state is then bounded. If a group is larger, a
+      sketch brackets the wanted ranks, rows outside the brackets collapse to counts before the
+      shuffle, and only the few distinct values inside a bracket are ranked: no task ever holds
+      the values of a large group.
     * ``hash``: Spark's ``percentile``; holds the distinct values of a group in memory, for
       values with few distinct levels.
     * ``approx``: the sketch alone.
@@ -39,8 +42,9 @@ def group_percentile(
     wanted = {name: p} if isinstance(p, (int, float)) else dict(p)
     by = list(by)
     v = F.col(value).cast("double")
+    df = df.na.drop(subset=by) if by else df
     if method == "hash":
-        return df.groupBy(*by).agg(*[F.percentile(v, F.lit(q)).alias(n) for n, q in wanted.items()])
+        return _whole_group_percentile(df, by, v, wanted)
     if method == "approx":
         return df.groupBy(*by).agg(
             *[F.percentile_approx(v, q, ACCURACY).alias(n) for n, q in wanted.items()]
@@ -48,6 +52,21 @@ def group_percentile(
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
 
+    largest = df.groupBy(*by).agg(F.count(v).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= WHOLE_GROUP_ROWS:
+        return _whole_group_percentile(df, by, v, wanted)
+    return _bracketed_percentile(df, by, v, wanted)
+
+
+def _whole_group_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float]) -> DataFrame:
+    together = F.percentile(v, F.array(*[F.lit(float(q)) for q in wanted.values()]))
+    return df.groupBy(*by).agg(together.alias("_p")).select(
+        *by, *[F.col("_p")[i].alias(n) for i, n in enumerate(wanted)]
+    )
+
+
+def _bracketed_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float]) -> DataFrame:
+    """Percentiles of large groups from brackets around the wanted ranks."""
     keys = by or ["_all"]
     rows = df.select(*by, v.alias("_v")) if by else df.select(F.lit(0).alias("_all"), v.alias("_v"))
     rows = rows.filter(F.col("_v").isNotNull())
@@ -72,12 +91,17 @@ def group_percentile(
         joined.select(
             *keys,
             "_n",
+            *[lo.alias(f"_low{i}") for i, lo in enumerate(lows)],
             inside.alias("_inside"),
             F.when(inside, F.col("_v")).otherwise(next_low).alias("_key"),
         )
         .filter(F.col("_key").isNotNull())
         .groupBy(*keys, "_key", "_inside")
-        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+        .agg(
+            F.count("*").alias("_c"),
+            F.max("_n").alias("_n"),
+            *[F.max(f"_low{i}").alias(f"_low{i}") for i in sides],
+        )
     )
     running = (
         Window.partitionBy(*keys)
@@ -91,13 +115,14 @@ def group_percentile(
         picks += [
             F.min(F.when(F.col("_upto") > F.floor(position), F.col("_key"))).alias(f"_a{i}"),
             F.min(F.when(F.col("_upto") > F.ceil(position), F.col("_key"))).alias(f"_b{i}"),
+            F.min(F.when(F.col("_key") >= F.col(f"_low{i}"), F.col("_upto") - F.col("_c"))).alias(f"_s{i}"),
         ]
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        outputs.append(
-            F.when(a == b, a)
-            .otherwise((F.ceil(position) - position) * a + (position - F.floor(position)) * b)
-            .alias(out)
-        )
+        between = (F.ceil(position) - position) * a + (position - F.floor(position)) * b
+        # The sketch's error bound makes a miss impossible; a wrong value must never pass silently.
+        found = b.isNotNull() & (F.col(f"_s{i}") <= F.floor(position))
+        missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+        outputs.append(F.when(~found, missed).when(a == b, a).otherwise(between).alias(out))
     return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks).select(*by, *outputs)
 
 
@@ -114,13 +139,15 @@ def eligible_cohort(
     p: float = 0.10,
     year: str = "year",
     max_year: int | None = None,
-    keep_threshold: bool = False,
+    thresholds: DataFrame | None = None,
     method: str = "exact",
 ) -> DataFrame:
-    """Rows at or below the ``p`` percentile of their group, up to ``max_year``."""
+    """Rows at or below the ``p`` percentile of their group, up to ``max_year``.
+
+    ``thresholds`` (``*by``, ``threshold``) passes percentiles that are known already.
+    """
     base = panel if max_year is None else panel.filter(F.col(year) <= max_year)
-    thresholds = group_percentile(base, by, value, p, "_threshold", method)
-    cohort = at_or_below(base, thresholds, by, value, "_threshold")
-    if keep_threshold:
-        return cohort.withColumnRenamed("_threshold", "threshold")
-    return cohort.select(*panel.columns)
+    if thresholds is None:
+        thresholds = group_percentile(base, by, value, p, "threshold", method)
+    known = thresholds.select(*by, F.col("threshold").alias("_threshold"))
+    return at_or_below(base, known, by, value, "_threshold").select(*panel.columns)

@@ -154,10 +154,10 @@ def positive_class(scores: Column) -> Column:
 
 
 def evaluate(predictions: DataFrame, metric: str, label: str = "label") -> float:
-    """One of MLlib's metrics of a fitted model's output."""
+    """One of MLlib's metrics of a fitted model's output; ranking metrics use the probability."""
     if metric in ("areaUnderROC", "areaUnderPR"):
         return BinaryClassificationEvaluator(
-            labelCol=label, rawPredictionCol="rawPrediction", metricName=metric, numBins=0
+            labelCol=label, rawPredictionCol="probability", metricName=metric, numBins=0
         ).evaluate(predictions)
     names = {"precision": "precisionByLabel", "recall": "recallByLabel"}
     evaluator = MulticlassClassificationEvaluator(

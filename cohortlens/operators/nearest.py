@@ -93,13 +93,15 @@ def nearest(
     within: Sequence[str],
     k: int,
     queries: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest other points of each point, inside its ``within`` group.
 
     ``points`` has one row per (``within``, ``id``). Distance is planar; equal distances are
     ordered by id; a point is never its own neighbour; a group with fewer than k + 1 points
     yields the neighbours it has. ``queries`` (columns ``within`` + ``id``) limits the search
-    to some of the points while all of them remain candidates.
+    to some of the points while all of them remain candidates. ``stored`` says that ``points``
+    is a plain table scan already, so it need not be written before its three passes.
 
     Returns ``within``, ``id``, ``rank`` (1..k), ``nid``, ``dist``.
     """
@@ -111,7 +113,8 @@ def nearest(
         F.col(x).cast("double").alias("_x"),
         F.col(y).cast("double").alias("_y"),
     ).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    pts = materialise(pts, "points")
+    if not stored:
+        pts = materialise(pts, "points")
     place = [*key, "_x", "_y"]
 
     extent = pts.agg(
@@ -175,7 +178,7 @@ def nearest(
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
         .select(*place, "_level", "_cx", "_cy", "_slice", reach.alias("_reach"))
     )
-    levels = sorted(r[0] for r in places.select("_level").distinct().collect()) or [0]
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect()) or [0]
     offered = (
         leveled.select(*key, F.col("_id").alias("_nid"), F.col("_x").alias("_nx"), F.col("_y").alias("_ny"),
                        "_ix", "_iy")

@@ -44,19 +44,27 @@ def materialise(df: DataFrame, label: str = "table", partition_by: Sequence[str]
     """
     spark = df.sparkSession
     path = new_table_path(spark, label)
-    writer = df.write.mode("error")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        balanced(df, partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def balanced(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of one partition value brought together for writing, crowded values split.
+
+    Adaptive execution sizes the pieces: few files per value, and no task gets a whole hot value.
+    """
+    return df.hint("rebalance", *by)
+
+
 def join_group_stats(
     left: DataFrame,
     stats: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Attach one row of statistics per group to every row of ``left``.
 
@@ -66,7 +74,8 @@ def join_group_stats(
     """
     on = list(on)
     stats = materialise(stats, "stats")
-    if stats.count() <= max_broadcast_rows:
+    limit = BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    if stats.count() <= limit:
         return left.join(F.broadcast(stats), on, how)
     return salted_join(left, stats, on, how)
 

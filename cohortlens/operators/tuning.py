@@ -20,8 +20,9 @@ from cohortlens.operators.models import fit, lasso, random_forest, selected_feat
 
 
 def _auc(label: str) -> BinaryClassificationEvaluator:
+    # Ranked by probability: naive Bayes keeps unnormalised likelihoods in its raw column.
     return BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
+        labelCol=label, rawPredictionCol="probability", metricName="areaUnderROC", numBins=0
     )
 
 

@@ -188,7 +188,7 @@ def neighbor_count_sweep(spark, sf_dir):
     points = materialise(
         embedding_points(spark, sf_dir).withColumn("year", F.lit(2010)).na.fill({"f2": 0.0}), "points"
     )
-    near = nearest(points, "id", "lat", "lon", ["state", "year"], 10)
+    near = nearest(points, "id", "lat", "lon", ["state", "year"], 10, stored=True)
     upto = materialise(
         neighbor_features_upto(near, points, id="id", weight="pop", mean_cols=["f1", "f2"], sum_cols=["pop"]), "upto"
     )

@@ -173,7 +173,7 @@ def _points(spark, sf_dir):
 @query("J08 W01 T03 D02", sql("select state, id, rank, nid, round(dist, 7) as dist from point_near", "point_near"))
 def nearest_points(spark, sf_dir):
     """The ten nearest vectors of the same label, with distance."""
-    near = nearest(_points(spark, sf_dir), "id", "lat", "lon", ["state"], 10)
+    near = nearest(_points(spark, sf_dir), "id", "lat", "lon", ["state"], 10, stored=True)
     return near.withColumn("dist", F.round("dist", 7))
 
 
@@ -187,7 +187,7 @@ def nearest_points(spark, sf_dir):
 )
 def nearest_points_ungrouped(spark, sf_dir):
     """The five nearest vectors over the whole frame."""
-    near = nearest(_points(spark, sf_dir), "id", "lat", "lon", [], 5)
+    near = nearest(_points(spark, sf_dir), "id", "lat", "lon", [], 5, stored=True)
     return near.withColumn("dist", F.round("dist", 7))
 
 
@@ -199,7 +199,7 @@ def nearest_points_ungrouped(spark, sf_dir):
 )
 def neighbor_ids_wide(spark, sf_dir):
     """Neighbour ids as columns neighbor0 .. neighbor9."""
-    near = nearest(_points(spark, sf_dir), "id", "lat", "lon", ["state"], 10)
+    near = nearest(_points(spark, sf_dir), "id", "lat", "lon", ["state"], 10, stored=True)
     return neighbor_columns(near, ["id"], 10)
 
 
@@ -217,7 +217,7 @@ def _dated(points):
 def neighbor_features_wide(spark, sf_dir):
     """Features of the three nearest as prefixed columns, and their weighted mean across columns."""
     points = _dated(_points(spark, sf_dir))
-    near = nearest(points, "id", "lat", "lon", ["state", "year"], 3)
+    near = nearest(points, "id", "lat", "lon", ["state", "year"], 3, stored=True)
     wide = neighbor_columns_wide(near, points, id="id", year="year", columns=["f1", "pop"], k=3)
     mean = weighted_mean([f"{r}_f1" for r in range(3)], [f"{r}_pop" for r in range(3)])
     return wide.withColumn("mean_f1", F.round(mean, 6)).drop("year")
@@ -237,7 +237,7 @@ def _point_summary(strict: bool) -> str:
 
 def _summarise_points(spark, sf_dir, strict):
     points = _dated(_points(spark, sf_dir))
-    near = nearest(points, "id", "lat", "lon", ["state", "year"], 10)
+    near = nearest(points, "id", "lat", "lon", ["state", "year"], 10, stored=True)
     summary = neighbor_features(
         near, points, id="id", weight="pop", mean_cols=["f1", "f2"], sum_cols=["pop"], strict=strict
     )
@@ -266,7 +266,7 @@ def neighbor_means_lenient(spark, sf_dir):
 def neighbor_means_upto(spark, sf_dir):
     """Neighbour summaries for every neighbour count from 1 to 10 in one pass."""
     points = _dated(_points(spark, sf_dir))
-    near = nearest(points, "id", "lat", "lon", ["state", "year"], 10)
+    near = nearest(points, "id", "lat", "lon", ["state", "year"], 10, stored=True)
     upto = neighbor_features_upto(near, points, id="id", weight="pop", mean_cols=["f1"], sum_cols=["pop"])
     return upto.select("id", "k", F.round("n_f1", 6).alias("n_f1"), "n_pop")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import safe_ratio, strict_sum, text_after, typed
-from cohortlens.operators.cohort import eligible_cohort
+from cohortlens.operators.cohort import eligible_cohort, group_percentile
 from cohortlens.operators.dataset import complete_rows, positive_rows
 from cohortlens.operators.lookahead import lookahead_label
 from cohortlens.operators.nearest import nearest
@@ -107,23 +107,35 @@ def typed_attributes(attributes: DataFrame) -> DataFrame:
 
 
 def with_attributes(rows: DataFrame, attributes: DataFrame, how: str = "inner") -> DataFrame:
-    """Attributes joined on the tract id; ``inner`` equals a left join followed by dropping NULLs."""
-    places = typed_attributes(attributes)
+    """Attributes (text or typed) joined on the tract id.
+
+    ``inner`` equals a left join followed by dropping rows with NULLs.
+    """
+    places = attributes if dict(attributes.dtypes)["ALAND10"] == "bigint" else typed_attributes(attributes)
     joined = rows.join(places, rows["GEO_ID"] == places["GEOID10"], how)
     return joined.na.drop() if how == "inner" else joined
 
 
-def cohort(panel: DataFrame, s: StudySettings = StudySettings()) -> DataFrame:
+def income_percentiles(panel: DataFrame, s: StudySettings = StudySettings()) -> DataFrame:
+    """Cohort threshold and benchmark per state and year, from the same passes, stored."""
+    both = {"threshold": s.cohort_p, "benchmark": s.benchmark_p}
+    return materialise(group_percentile(panel, ["state", "year"], "med_house_inc", both), "income")
+
+
+def cohort(
+    panel: DataFrame, s: StudySettings = StudySettings(), income: DataFrame | None = None
+) -> DataFrame:
+    """Tracts with a low median income in their state and base year."""
     return eligible_cohort(
-        panel, ["state", "year"], "med_house_inc", s.cohort_p, max_year=s.max_base_year
+        panel, ["state", "year"], "med_house_inc", s.cohort_p, max_year=s.max_base_year, thresholds=income
     )
 
 
-def labelled_cohort(
-    panel: DataFrame, s: StudySettings = StudySettings(), eligible: DataFrame | None = None
-) -> DataFrame:
+def labelled_cohort(panel: DataFrame, s: StudySettings = StudySettings()) -> DataFrame:
+    """The cohort and whether each tract moved up within the horizon."""
+    income = income_percentiles(panel, s)
     return lookahead_label(
-        cohort(panel, s) if eligible is None else eligible,
+        cohort(panel, s, income),
         panel,
         id="GEO_ID",
         group=["state"],
@@ -134,13 +146,16 @@ def labelled_cohort(
         p=s.benchmark_p,
         benchmark=s.benchmark,
         match=s.match,
+        benchmarks=income.drop("threshold"),
         label=LABEL,
     )
 
 
 def tract_neighbors(located: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """The k nearest tracts in the same state and year."""
-    return nearest(located, "GEO_ID", "INTPTLAT10", "INTPTLON10", ["state", "year"], k, queries)
+    """The k nearest tracts in the same state and year; ``located`` is a stored table."""
+    return nearest(
+        located, "GEO_ID", "INTPTLAT10", "INTPTLON10", ["state", "year"], k, queries, stored=True
+    )
 
 
 def tract_neighbor_features(near: DataFrame, located: DataFrame, strict: bool = True) -> DataFrame:
@@ -157,8 +172,10 @@ def model_matrix(
     """Key, 27 features and label per eligible tract and base year, complete rows only.
 
     The feature panel feeds the cohort, the labels, the neighbour search and the neighbour
-    features, so it is written once. ``keep_all`` keeps ``ed_fem`` and ``ed_male`` too.
+    features, so it is written once, and so are the typed attributes. ``keep_all`` keeps
+    ``ed_fem`` and ``ed_male`` too.
     """
+    attributes = materialise(typed_attributes(attributes), "attributes")
     panel = materialise(feature_panel(counts), "panel")
     labelled = labelled_cohort(panel, s)
     located = materialise(with_attributes(panel, attributes), "located")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions import typed
+from cohortlens.operators.scale import balanced
 from cohortlens.sources.schemas import ATTRIBUTE_SCHEMA, COUNT_SCHEMA
 
 # Fixed value: state and year inside the names of downloaded count files.
@@ -113,10 +114,10 @@ def anchors(pages: DataFrame, id: str, html: str, first: int | None = None, leng
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), rows_per_file: int | None = None) -> None:
     """CSV with header, written in parallel, one folder per partition value.
 
-    Rows are not gathered per value, so a crowded value is written by many tasks;
-    ``rows_per_file`` splits its files further.
+    Rows are brought together per value and crowded values are split over several tasks;
+    ``rows_per_file`` splits files further.
     """
-    writer = df.write.mode("overwrite").option("header", True)
+    writer = (balanced(df, partition_by) if partition_by else df).write.mode("overwrite").option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if rows_per_file:
@@ -126,7 +127,7 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), rows_p
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Parquet, optionally laid out by partition columns."""
-    writer = df.write.mode("overwrite")
+    writer = (balanced(df, partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
