@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import planar_distance
-from cohortlens.operators.scale import materialise, range_blocks
+from cohortlens.operators.scale import join_group_stats, materialise, range_blocks
 
-#: Depth of the finest cells: 2**26 per axis.
-DEPTH = 26
-#: Rows per range block and per slice of a crowded coarse cell.
+#: Depth of the finest cells, 2**44 per axis, so that one stray point far away does not push all
+#: others into a single cell. The Z-order code is kept in two halves of 2 * 22 bits.
+HALF_DEPTH = 22
+DEPTH = 2 * HALF_DEPTH
+#: Rows per range block and per slice of a crowded cell.
 BLOCK_ROWS = 1_000_000
 
 #: Fixed bit masks of the usual bit-interleaving steps (shift, mask).
@@ -51,40 +53,87 @@ def _shift_right(c: Column | str, bits: Column) -> Column:
     return F.call_function("shiftright", F.col(c) if isinstance(c, str) else c, bits)
 
 
-def _shared_level(a: Column, b: Column) -> Column:
-    """Deepest quadtree level at which two Z-order codes fall into the same cell."""
-    differing = F.length(F.bin(a.bitwiseXOR(b)))
-    bits = F.when(a == b, F.lit(0)).otherwise(differing)
-    return F.lit(DEPTH) - F.ceil(bits / 2).cast("int")
+def _z_half(ix: Column, iy: Column) -> Column:
+    return F.shiftleft(_spread_bits(ix), 1).bitwiseOR(_spread_bits(iy))
+
+
+def _z_order(ix: str, iy: str) -> dict[str, Column]:
+    """Z-order code of a fine cell in two columns: leading and trailing bits."""
+    high = [F.shiftright(c, HALF_DEPTH) for c in (ix, iy)]
+    low = [F.col(c).bitwiseAND(F.lit(2**HALF_DEPTH - 1)) for c in (ix, iy)]
+    return {"_zhigh": _z_half(*high), "_zlow": _z_half(*low)}
+
+
+def _shared_level(high: Column, low: Column) -> Column:
+    """Deepest quadtree level two Z-order codes share, from the XOR of their halves."""
+
+    def shared(differing: Column) -> Column:
+        return (F.lit(HALF_DEPTH) - F.floor(F.log2(differing) / 2) - 1).cast("int")
+
+    return (
+        F.when(high > 0, shared(high))
+        .when(low > 0, F.lit(HALF_DEPTH) + shared(low))
+        .when((high == 0) & (low == 0), F.lit(DEPTH))
+    )
 
 
 def _cell_levels(candidates: DataFrame, key: Sequence[str], k: int, blocks: int) -> DataFrame:
-    """Deepest full cell around each candidate row, as ``_level``."""
+    """Deepest full cell around each candidate row, as ``_level``.
+
+    Along the curve, k + 1 consecutive rows lie in one cell exactly down to the smallest level
+    shared by two neighbours among them. A row's level is the best of the k + 1 such runs around
+    it: a sliding minimum followed by a sliding maximum.
+    """
+    order = ["_zhigh", "_zlow", "_id"]
 
     def deepest(df: DataFrame, *block: str) -> DataFrame:
-        along = Window.partitionBy(*block, *key).orderBy("_z", "_id")
-        levels = [
-            _shared_level(F.lag("_z", i).over(along), F.lead("_z", k - i).over(along))
-            for i in range(k + 1)
-        ]
-        return df.withColumn("_level", F.greatest(*levels, F.lit(0)))
+        along = Window.partitionBy(*block, *key).orderBy(*order)
+        run = along.rowsBetween(Window.currentRow, k - 1)
+        runs_around = along.rowsBetween(-k, Window.currentRow)
+        step = _shared_level(*[F.col(c).bitwiseXOR(F.lead(c).over(along)) for c in ("_zhigh", "_zlow")])
+        full_run = F.when(F.count("_step").over(run) == k, F.min("_step").over(run))
+        return (
+            df.withColumn("_step", step)
+            .withColumn("_run", full_run)
+            .withColumn("_level", F.coalesce(F.max("_run").over(runs_around), F.lit(0)))
+            .select(*candidates.columns, "_level")
+        )
 
     if blocks == 1:  # counted: every group fits one block
         return deepest(candidates)
-    ordered = range_blocks(candidates, [*key, "_z", "_id"], blocks)
-    inner = deepest(ordered, "_block").select(*candidates.columns, "_level")
+    ordered = range_blocks(candidates, [*key, *order], blocks)
     # Rows near a block edge are looked at once more together with the rows across the edge.
-    up = Window.partitionBy("_block").orderBy(*key, "_z", "_id")
-    down = Window.partitionBy("_block").orderBy(*[F.desc(c) for c in (*key, "_z", "_id")])
+    up = Window.partitionBy("_block").orderBy(*key, *order)
+    down = Window.partitionBy("_block").orderBy(*[F.desc(c) for c in (*key, *order)])
     head = ordered.withColumn("_r", F.row_number().over(up)).filter(F.col("_r") <= 2 * k)
     tail = ordered.withColumn("_r", F.row_number().over(down)).filter(F.col("_r") <= 2 * k)
     edges = head.withColumn("_edge", F.col("_block")).unionByName(
         tail.withColumn("_edge", F.col("_block") + 1)
     )
-    both = inner.unionByName(deepest(edges, "_edge").select(*candidates.columns, "_level"))
+    both = deepest(ordered, "_block").unionByName(deepest(edges, "_edge"))
     return both.groupBy(*candidates.columns).agg(F.max("_level").alias("_level"))
 
 
+def _slice_crowded(asked: DataFrame, offered: DataFrame, cell: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Cells with more candidates than one block are cut into slices, each searcher asks all of them.
+
+    Only few searchers meet such a cell: those in a sparse place next to a dense one.
+    """
+    crowded = (
+        offered.groupBy(*cell)
+        .agg(F.count("*").alias("_rows"))
+        .filter(F.col("_rows") > BLOCK_ROWS)
+        .select(*cell, F.ceil(F.col("_rows") / BLOCK_ROWS).cast("int").alias("_slices"))
+    )
+    crowded = materialise(crowded, "crowded")
+    slices = F.coalesce(F.col("_slices"), F.lit(1))
+    cut = join_group_stats(offered, crowded, cell, "left", stored=True)
+    cut = cut.withColumn("_slice", F.pmod(F.xxhash64("_nid"), slices).cast("int")).drop("_slices")
+    every = F.explode(F.sequence(F.lit(0), slices - 1))
+    spread = join_group_stats(asked, crowded, cell, "left", stored=True)
+    return spread.withColumn("_slice", every).drop("_slices"), cut
+
+
 def nearest(
     points: DataFrame,
     id: str,
@@ -99,7 +148,7 @@ def nearest(
 
     ``points`` has one row per (``within``, ``id``). Distance is planar; equal distances are
     ordered by id; a point is never its own neighbour; a group with fewer than k + 1 points
-    yields the neighbours it has. ``queries`` (columns ``within`` + ``id``) limits the search
+    yields the neighbours it has. Points without a group or a finite place are left out. ``queries`` (columns ``within`` + ``id``) limits the search
     to some of the points while all of them remain candidates. ``stored`` says that ``points``
     is a plain table scan already, so it need not be written before its three passes.
 
@@ -112,7 +161,9 @@ def nearest(
         F.col(id).alias("_id"),
         F.col(x).cast("double").alias("_x"),
         F.col(y).cast("double").alias("_y"),
-    ).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    ).na.drop(subset=[*key, "_x", "_y"])
+    finite = [F.abs(c) < F.lit(float("inf")) for c in ("_x", "_y")]
+    pts = pts.filter(finite[0] & finite[1])
     if not stored:
         pts = materialise(pts, "points")
     place = [*key, "_x", "_y"]
@@ -136,7 +187,7 @@ def nearest(
         .filter(F.col("_at") <= k + 1)
         .drop("_at")
         .withColumns({"_ix": fine("_x", x0), "_iy": fine("_y", y0)})
-        .withColumn("_z", F.shiftleft(_spread_bits(F.col("_ix")), 1).bitwiseOR(_spread_bits(F.col("_iy"))))
+        .withColumns(_z_order("_ix", "_iy"))
     )
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
     leveled = materialise(_cell_levels(candidates, key, k, blocks), "cells")
@@ -152,9 +203,6 @@ def nearest(
     # Cells of the searcher's own size that reach into its search radius.
     level = F.col("_level")
     size = F.lit(side) / F.pow(F.lit(2.0), level)
-    slices = F.greatest(
-        F.lit(1), F.ceil(F.lit(n / BLOCK_ROWS) / F.pow(F.lit(4.0), level)).cast("int")
-    )
     ring = F.sequence(F.lit(-2), F.lit(2))
     depth = F.lit(DEPTH) - level
 
@@ -162,10 +210,11 @@ def nearest(
         low = F.lit(start) + F.col(cell) * F.col("_size")
         return F.greatest(low - F.col(c), F.col(c) - low - F.col("_size"), F.lit(0.0))
 
-    reach = F.col("_size") * math.sqrt(2.0) * (1 + 1e-9)
+    # A fine cell's share covers rounding when points are put into cells.
+    reach = (F.col("_size") + F.lit(0.1 * side / 2.0**DEPTH)) * math.sqrt(2.0)
     cells_per_axis = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
     asked = (
-        places.withColumns({"_size": size, "_slices": slices})
+        places.withColumn("_size", size)
         .withColumn("_dx", F.explode(ring))
         .withColumn("_dy", F.explode(ring))
         .withColumns({
@@ -175,8 +224,7 @@ def nearest(
         .filter((F.col("_cx") >= 0) & (F.col("_cx") < cells_per_axis))
         .filter((F.col("_cy") >= 0) & (F.col("_cy") < cells_per_axis))
         .filter(F.hypot(gap("_x", x0, "_cx"), gap("_y", y0, "_cy")) <= reach)
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-        .select(*place, "_level", "_cx", "_cy", "_slice", reach.alias("_reach"))
+        .select(*place, "_level", "_cx", "_cy", reach.alias("_reach"))
     )
     levels = sorted(r[0] for r in leveled.select("_level").distinct().collect()) or [0]
     offered = (
@@ -186,12 +234,15 @@ def nearest(
         .withColumns({
             "_cx": _shift_right(F.col("_ix"), depth),
             "_cy": _shift_right(F.col("_iy"), depth),
-            "_slice": F.pmod(F.xxhash64("_nid"), slices).cast("int"),
         })
         .drop("_ix", "_iy")
     )
+    cell = [*key, "_level", "_cx", "_cy"]
+    if n > BLOCK_ROWS:  # otherwise no cell can hold more than one block
+        asked, offered = _slice_crowded(asked, offered, cell)
+        cell.append("_slice")
     pairs = (
-        asked.join(offered, [*key, "_level", "_cx", "_cy", "_slice"])
+        asked.join(offered, cell)
         .withColumn("_dist", planar_distance(F.col("_x"), F.col("_y"), F.col("_nx"), F.col("_ny")))
         .filter(F.col("_dist") <= F.col("_reach"))
         .select(*place, "_nid", "_dist")

@@ -32,8 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, label: str = "table") -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/cohortlens/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, inside one subfolder per application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/cohortlens/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
@@ -65,15 +66,18 @@ def join_group_stats(
     on: Sequence[str],
     how: str = "inner",
     max_broadcast_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Attach one row of statistics per group to every row of ``left``.
 
     ``stats`` is written first and counted: a small table is broadcast, so ``left`` is not
     shuffled and a hot group stays spread over all tasks. A larger table goes through a join
-    on (group, salt), which cuts each hot group into ``SALTS`` slices.
+    on (group, salt), which cuts each hot group into ``SALTS`` slices. ``stored`` says that
+    ``stats`` is a written table already.
     """
     on = list(on)
-    stats = materialise(stats, "stats")
+    if not stored:
+        stats = materialise(stats, "stats")
     limit = BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     if stats.count() <= limit:
         return left.join(F.broadcast(stats), on, how)

@@ -71,6 +71,20 @@ def read_json_tables(
     return parse_json_tables(docs, "value", names)
 
 
+def read_json_rows(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str]) -> DataFrame:
+    """JSON tables with one inner array per line, all with the same known header.
+
+    Lines are parsed on their own, so a large file is split over many tasks.
+    """
+    line = F.regexp_extract("value", r"^\s*\[?(\[.*?\])\]?,?\s*$", 1)
+    row = F.from_json(line, "array<string>")
+    names = F.array(*[F.lit(h) for h in header])
+    parsed = spark.read.text(paths).select(row.alias("_row")).filter(
+        F.col("_row").isNotNull() & ~F.col("_row").eqNullSafe(names)
+    )
+    return parsed.select(*[F.get("_row", F.lit(i)).alias(h) for i, h in enumerate(header)])
+
+
 def typed_by(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Text columns cast to a schema; text that does not parse becomes NULL."""
     return df.select(*[typed(f.name, f.dataType.simpleString()).alias(f.name) for f in schema])

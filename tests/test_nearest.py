@@ -56,6 +56,17 @@ def test_one_line_of_points(spark):
     np.testing.assert_array_equal(got["nid"].to_numpy(), want["nid"].to_numpy())
 
 
+def test_a_stray_point_does_not_merge_the_others(spark):
+    pdf = clustered(500, 11)
+    pdf.loc[0, ["x", "y"]] = [-1e9, 1e9]
+    pdf.loc[1, "x"] = np.nan
+    pdf.loc[2, "y"] = np.inf
+    points = spark.createDataFrame(pdf)
+    got = nearest(points, "id", "x", "y", ["w"], 3).toPandas().sort_values(["w", "id", "rank"])
+    want = brute_force(pdf.drop([1, 2]), 3).sort_values(["w", "id", "rank"])
+    np.testing.assert_array_equal(got["nid"].to_numpy(), want["nid"].to_numpy())
+
+
 def test_some_points_search_among_all(spark):
     pdf = clustered(400, 3)
     df = spark.createDataFrame(pdf)

@@ -21,6 +21,13 @@ def test_json_tables_follow_their_own_header(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("1", "x", None), ("2", None, None), ("3", "y", None)]
 
 
+def test_json_rows_split_by_line(spark, tmp_path):
+    table = [["a", "b"], ["1", "x [y]"], ["2", None], ["3", "p, [q]]"]]
+    (tmp_path / "t.json").write_text("[" + ",\n".join(json.dumps(r) for r in table) + "]\n")
+    got = io.read_json_rows(spark, str(tmp_path), ["a", "b"])
+    assert sorted(map(tuple, got.collect())) == [("1", "x [y]"), ("2", None), ("3", "p, [q]]")]
+
+
 def test_packed_json_lines(spark, tmp_path):
     (tmp_path / "packed.json").write_text("\n".join(json.dumps([["a"], [str(i)]]) for i in range(5)))
     got = io.read_json_tables(spark, str(tmp_path), ["a"], one_per_file=False)
