@@ -8,9 +8,10 @@ How it works, all with DataFrame operations:
    other on the curve share a quadtree cell, so comparing a row with rows k steps away gives
    the deepest cell around it that holds at least k + 1 candidates. Dense areas get small cells
    and sparse areas large ones.
-3. A cell of side s with k + 1 candidates bounds the k-th distance by s * sqrt(2). Each place is
-   therefore joined, by cell, only with cells of that size within that distance (at most 25),
-   and the result is exact: no ring has to be widened afterwards.
+3. A cell of side s with k + 1 candidates bounds the k-th distance by s * sqrt(2), and so does the
+   box around k + 1 rows in a row. Each place is therefore joined, by cell, only with cells of
+   that size within that distance (at most 25), and the result is exact: no ring has to be
+   widened afterwards.
 4. A cell one level deeper holds at most k of the places that stop at a level, so every cell
    meets a bounded number of searchers: the pairs grow with n * k, not with n * n.
 """
@@ -78,11 +79,12 @@ def _shared_level(high: Column, low: Column) -> Column:
 
 
 def _cell_levels(candidates: DataFrame, key: Sequence[str], k: int, blocks: int) -> DataFrame:
-    """Deepest full cell around each candidate row, as ``_level``.
+    """Deepest full cell around each candidate row, as ``_level``, and a distance ``_bound``.
 
     Along the curve, k + 1 consecutive rows lie in one cell exactly down to the smallest level
     shared by two neighbours among them. A row's level is the best of the k + 1 such runs around
-    it: a sliding minimum followed by a sliding maximum.
+    it: a sliding minimum followed by a sliding maximum. The far corner of the box around the
+    run centred on the row bounds its k-th distance as well.
     """
     order = ["_zhigh", "_zlow", "_id"]
 
@@ -91,12 +93,17 @@ def _cell_levels(candidates: DataFrame, key: Sequence[str], k: int, blocks: int)
         run = along.rowsBetween(Window.currentRow, k - 1)
         runs_around = along.rowsBetween(-k, Window.currentRow)
         step = _shared_level(*[F.col(c).bitwiseXOR(F.lead(c).over(along)) for c in ("_zhigh", "_zlow")])
+        box = along.rowsBetween(-(k // 2), k - k // 2)
+        far = [
+            F.greatest(F.max(c).over(box) - F.col(c), F.col(c) - F.min(c).over(box)) for c in ("_x", "_y")
+        ]
+        bound = F.when(F.count("_id").over(box) == k + 1, F.hypot(*far))
         full_run = F.when(F.count("_step").over(run) == k, F.min("_step").over(run))
         return (
-            df.withColumn("_step", step)
+            df.withColumns({"_step": step, "_bound": bound})
             .withColumn("_run", full_run)
             .withColumn("_level", F.coalesce(F.max("_run").over(runs_around), F.lit(0)))
-            .select(*candidates.columns, "_level")
+            .select(*candidates.columns, "_level", "_bound")
         )
 
     if blocks == 1:  # counted: every group fits one block
@@ -111,7 +118,9 @@ def _cell_levels(candidates: DataFrame, key: Sequence[str], k: int, blocks: int)
         tail.withColumn("_edge", F.col("_block") + 1)
     )
     both = deepest(ordered, "_block").unionByName(deepest(edges, "_edge"))
-    return both.groupBy(*candidates.columns).agg(F.max("_level").alias("_level"))
+    return both.groupBy(*candidates.columns).agg(
+        F.max("_level").alias("_level"), F.min("_bound").alias("_bound")
+    )
 
 
 def _slice_crowded(asked: DataFrame, offered: DataFrame, cell: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +205,9 @@ def nearest(
     if queries is not None:
         wanted = queries.select(*[F.col(w).alias(a) for w, a in named.items()], F.col(id).alias("_id"))
         searchers = pts.join(wanted.distinct(), [*key, "_id"], "left_semi")
-    places = leveled.groupBy(*place, "_ix", "_iy").agg(F.max("_level").alias("_level"))
+    places = leveled.groupBy(*place, "_ix", "_iy").agg(
+        F.max("_level").alias("_level"), F.min("_bound").alias("_bound")
+    )
     if queries is not None:
         places = places.join(searchers.select(*place).distinct(), place, "left_semi")
 
@@ -211,7 +222,10 @@ def nearest(
         return F.greatest(low - F.col(c), F.col(c) - low - F.col("_size"), F.lit(0.0))
 
     # A fine cell's share covers rounding when points are put into cells.
-    reach = (F.col("_size") + F.lit(0.1 * side / 2.0**DEPTH)) * math.sqrt(2.0)
+    reach = F.least(
+        (F.col("_size") + F.lit(0.1 * side / 2.0**DEPTH)) * math.sqrt(2.0),
+        F.col("_bound") * (1 + 1e-12),
+    )
     cells_per_axis = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
     asked = (
         places.withColumn("_size", size)
