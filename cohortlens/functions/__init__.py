@@ -1,7 +1,6 @@
 """Column expressions shared by the operators; every one stays inside whole-stage codegen."""
 
 from cohortlens.functions.arithmetic import (
-    any_equal,
     flag,
     relative_growth,
     safe_ratio,
@@ -13,7 +12,6 @@ from cohortlens.functions.geometry import planar_distance
 from cohortlens.functions.text import join_key, leading, text_after, without_first, without_last
 
 __all__ = [
-    "any_equal",
     "flag",
     "join_key",
     "leading",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,8 +45,3 @@ def typed(column: ColumnOrName, data_type: str) -> Column:
 def flag(condition: Column) -> Column:
     """1 where the condition holds, 0 where it is false or unknown."""
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
-
-
-def any_equal(column: ColumnOrName, values: Sequence) -> Column:
-    """OR of equality tests."""
-    return reduce(or_, [_col(column) == F.lit(v) for v in values])

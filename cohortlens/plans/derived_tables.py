@@ -57,13 +57,12 @@ def count_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "B02001_001E": F.sum(qty),
         "B02001_002E": qty_if(status == "O"),
         "B02001_003E": qty_if(flag == "A"),
-        "B01002_001E": F.sum(F.when(flag == "R", qty)) / F.count_if(flag == "R"),
+        "B01002_001E": F.try_divide(F.sum(F.when(flag == "R", qty)), F.count_if(flag == "R")),
         "B01003_001E": F.sum(qty),
         # Small volumes carry the negative sentinel of a suppressed median.
         "B19013_001E": F.when(F.sum(qty) < 15, F.lit(-666666666)).otherwise(F.sum(price)),
         "B19301_001E": F.floor(F.sum(price) / F.sum(qty)),
     }
-    counts["B01002_001E"] = F.try_divide(F.sum(F.when(flag == "R", qty)), F.count_if(flag == "R"))
     yearly = _lines(spark, sf_dir).groupBy("o_custkey", "year").agg(
         *[c.cast(COUNT_SCHEMA[name].dataType).alias(name) for name, c in counts.items()]
     )

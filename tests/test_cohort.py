@@ -69,6 +69,30 @@ def test_salted_join_equals_plain_join(spark):
         assert [tuple(map(str, r)) for r in salted] == [tuple(map(str, r)) for r in plain]
 
 
+class FakeSession:
+    """Just the settings ``shared_folder`` looks at."""
+
+    def __init__(self, master, configured=None):
+        self.master, self.folder = master, None
+        self.conf = {"spark.checkpoint.dir": configured} if configured else {}
+        self.sparkContext = self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_comes_from_the_session():
+    assert scale.shared_folder(FakeSession("spark://x", "hdfs:///shared")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        scale.shared_folder(FakeSession("spark://x"))
+    local = FakeSession("local[2]")
+    first = scale.shared_folder(local)
+    assert first and scale.shared_folder(local) == first
+
+
 def test_materialised_table_is_pruned_by_partition(spark):
     df = spark.range(100).withColumn("part", (F.col("id") % 4).cast("int"))
     stored = scale.materialise(df, "t", ["part"])
