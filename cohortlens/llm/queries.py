@@ -8,12 +8,34 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm import language
 from cohortlens.llm.common import ship_package, table
+from cohortlens.llm.embeddings import cosine_links
+from cohortlens.llm.html_extract import extract_main_text
+from cohortlens.llm.oracles import COSINE_LINKS_SQL, URL_RULES, url_filter_sql
 from cohortlens.llm.pieces import decode_column, encode_column
 from cohortlens.llm.quality import quality_columns
 from cohortlens.llm.simhash import hex_fingerprint, simhash_groups
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.toxicity import held_out, score_documents
+from cohortlens.llm.urls import judge_urls
+
+
+def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extracted.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op2_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    prototypes = language.learn_prototypes(docs, ~F.col("held_out") & F.col("doc_id").isNotNull())
+    predicted = language.predict_columns(docs.select("doc_id", "held_out", "text"), prototypes)
+    return predicted.select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = cosine_links(table(spark, sf_dir, "embeddings"), least=0.98)
+    return links.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +49,11 @@ def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op6_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.packed_pieces(table(spark, sf_dir, "documents"))
 
@@ -59,7 +86,11 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_template_extraction,
+        op2_language_profiles,
+        op3_embedding_links,
         op4_sentencepiece_round_trip,
+        op5_url_filters,
         op6_packed_windows,
         op7_token_counts,
         op8_simhash_groups,
@@ -79,6 +110,6 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_embedding_links": COSINE_LINKS_SQL, "op5_url_filters": url_filter_sql(URL_RULES)}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
