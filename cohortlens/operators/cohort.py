@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.scale import join_group_stats
+from cohortlens.operators.scale import join_group_stats, materialise, range_blocks
 
 #: Accuracy of the sketch that brackets a percentile; the rank error is at most n / ACCURACY.
 ACCURACY = 10_000
@@ -24,17 +24,19 @@ def group_percentile(
     p: float | Mapping[str, float],
     name: str = "threshold",
     method: str = "exact",
+    whole_group_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` per group, one output row per group.
 
     ``p`` is one fraction (output column ``name``) or a mapping output column -> fraction. Rows
     with a NULL group key belong to no group.
 
-    * ``exact``: group sizes are counted first. Up to ``WHOLE_GROUP_ROWS`` rows per group,
-      Spark's ``percentile`` is used, whose state is then bounded. If a group is larger, a
-      sketch brackets the wanted ranks, rows outside the brackets collapse to counts before the
-      shuffle, and only the few distinct values inside a bracket are ranked: no task ever holds
-      the values of a large group.
+    * ``exact``: keys and values are written once and group sizes counted. Up to
+      ``whole_group_rows`` (default ``WHOLE_GROUP_ROWS``) rows per group, Spark's ``percentile``
+      is used, whose state is then bounded. If a group is larger, a sketch brackets the wanted
+      ranks, rows outside the brackets collapse to counts before the shuffle, and the distinct
+      values inside a bracket are ranked over range blocks: no task ever holds the values of a
+      large group, or of its bracket.
     * ``hash``: Spark's ``percentile``; holds the distinct values of a group in memory, for
       values with few distinct levels.
     * ``approx``: the sketch alone.
@@ -52,10 +54,12 @@ def group_percentile(
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
 
-    largest = df.groupBy(*by).agg(F.count(v).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= WHOLE_GROUP_ROWS:
-        return _whole_group_percentile(df, by, v, wanted)
-    return _bracketed_percentile(df, by, v, wanted)
+    most = WHOLE_GROUP_ROWS if whole_group_rows is None else whole_group_rows
+    narrow = materialise(df.select(*by, v.alias("_v")), "values")
+    largest = narrow.groupBy(*by).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= most:
+        return _whole_group_percentile(narrow, by, F.col("_v"), wanted)
+    return _bracketed_percentile(narrow, by, F.col("_v"), wanted, most)
 
 
 def _whole_group_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float]) -> DataFrame:
@@ -65,7 +69,7 @@ def _whole_group_percentile(df: DataFrame, by: list[str], v: Column, wanted: Map
     )
 
 
-def _bracketed_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float]) -> DataFrame:
+def _bracketed_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float], most: int) -> DataFrame:
     """Percentiles of large groups from brackets around the wanted ranks."""
     keys = by or ["_all"]
     rows = df.select(*by, v.alias("_v")) if by else df.select(F.lit(0).alias("_all"), v.alias("_v"))
@@ -80,7 +84,7 @@ def _bracketed_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mappi
     )
     joined = join_group_stats(rows, sketch, keys)
 
-    whole = F.col("_n") <= WHOLE_GROUP_ROWS
+    whole = F.col("_n") <= most
     sides = range(len(wanted))
     lows = [F.when(whole, F.col("_min")).otherwise(F.col("_edges")[2 * i]) for i in sides]
     highs = [F.when(whole, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]) for i in sides]
@@ -103,12 +107,7 @@ def _bracketed_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mappi
             *[F.max(f"_low{i}").alias(f"_low{i}") for i in sides],
         )
     )
-    running = (
-        Window.partitionBy(*keys)
-        .orderBy("_key", "_inside")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counts.withColumn("_upto", F.sum("_c").over(running)).filter("_inside")
+    ranked = _running_counts(counts, keys).filter("_inside")
     picks, outputs = [], []
     for i, (out, q) in enumerate(wanted.items()):
         position = F.lit(float(q)) * (F.col("_n") - 1)
@@ -126,9 +125,31 @@ def _bracketed_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mappi
     return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks).select(*by, *outputs)
 
 
-def at_or_below(df: DataFrame, thresholds: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+def _running_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_upto``: the rows of the group up to each key, summed over range blocks.
+
+    Each block starts from the totals of the group's earlier blocks, so a group with very many
+    distinct values is spread over blocks; the totals are one row per group and block.
+    """
+    blocks = range_blocks(counts, [*keys, "_key", "_inside"])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy(*keys, "_block").agg(F.sum("_c").alias("_t"))
+    starts = starts.select(*keys, "_block", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"))
+    within = (
+        Window.partitionBy("_block", *keys)
+        .orderBy("_key", "_inside")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    own = blocks.withColumn("_own", F.sum("_c").over(within))
+    joined = join_group_stats(own, starts, [*keys, "_block"])
+    return joined.withColumn("_upto", F.col("_start") + F.col("_own"))
+
+
+def at_or_below(
+    df: DataFrame, thresholds: DataFrame, by: Sequence[str], value: str, name: str, stored: bool = False
+) -> DataFrame:
     """Rows whose value is at or below their group's threshold."""
-    joined = join_group_stats(df, thresholds.select(*by, name), by)
+    joined = join_group_stats(df, thresholds.select(*by, name), by, stored=stored)
     return joined.filter(F.col(value) <= F.col(name))
 
 
@@ -141,13 +162,15 @@ def eligible_cohort(
     max_year: int | None = None,
     thresholds: DataFrame | None = None,
     method: str = "exact",
+    stored: bool = False,
 ) -> DataFrame:
     """Rows at or below the ``p`` percentile of their group, up to ``max_year``.
 
-    ``thresholds`` (``*by``, ``threshold``) passes percentiles that are known already.
+    ``thresholds`` (``*by``, ``threshold``) passes percentiles that are known already; ``stored``
+    says that they are a written table.
     """
     base = panel if max_year is None else panel.filter(F.col(year) <= max_year)
     if thresholds is None:
         thresholds = group_percentile(base, by, value, p, "threshold", method)
     known = thresholds.select(*by, F.col("threshold").alias("_threshold"))
-    return at_or_below(base, known, by, value, "_threshold").select(*panel.columns)
+    return at_or_below(base, known, by, value, "_threshold", stored).select(*panel.columns)

@@ -48,22 +48,25 @@ def random_split(df: DataFrame, train: float = 0.8, seed: int = 42) -> tuple[Dat
 def undersample(
     df: DataFrame, label: str, keys: Sequence[str], seed: int = 42
 ) -> DataFrame:
-    """All positives and a hash sample of the negatives of about the same size.
+    """All rows of the rarer class and a hash sample of the other of about the same size.
 
-    The sampling ratio is a scalar subquery, so the result stays lazy.
+    The share kept of each class is a scalar subquery, so the result stays lazy.
     """
-    ratio = df.agg(
-        F.try_divide(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).alias("ratio")
+    ones, zeros = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    draw = hash_fraction(keys, f"sample-{seed}")
+    share = {
+        value: df.agg(F.least(F.try_divide(other, own), F.lit(1.0)).alias("share")).scalar()
+        for value, own, other in ((1, ones, zeros), (0, zeros, ones))
+    }
+    return df.filter(
+        ((F.col(label) == 1) & (draw < share[1])) | ((F.col(label) == 0) & (draw < share[0]))
     )
-    keep = (F.col(label) == 1) | (
-        (F.col(label) == 0) & (hash_fraction(keys, f"sample-{seed}") < ratio.scalar())
-    )
-    return df.filter(keep)
 
 
 def undersample_random(df: DataFrame, label: str, ratio: float, seed: int = 42) -> DataFrame:
-    """Spark's stratified sample with a known majority ratio."""
-    return df.sampleBy(label, fractions={1: 1.0, 0: min(ratio, 1.0)}, seed=seed)
+    """Spark's stratified sample; ``ratio`` is positives to negatives, above 1 thins the positives."""
+    fractions = {1: min(1 / ratio, 1.0) if ratio > 0 else 1.0, 0: min(ratio, 1.0)}
+    return df.sampleBy(label, fractions=fractions, seed=seed)
 
 
 def fold_column(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 42, name: str = "fold") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import flag, relative_growth
 from cohortlens.operators.cohort import group_percentile
-from cohortlens.operators.scale import join_group_stats
+from cohortlens.operators.scale import broadcast_if_small, join_group_stats, materialise
 
 
 def lookahead_label(
@@ -27,6 +27,7 @@ def lookahead_label(
     benchmark: str = "future",
     match: str = "any",
     benchmarks: DataFrame | None = None,
+    stored: bool = False,
     label: str = "label",
     keep_evidence: bool = False,
 ) -> DataFrame:
@@ -38,10 +39,13 @@ def lookahead_label(
     * ``benchmark='future'`` compares with the benchmark of the looked-at year, ``'base'``
       with the one of the base year.
     * ``match='any'`` accepts any of the years, ``'first'`` looks at the first year present.
-    * ``benchmarks`` may pass the percentile table (``*group``, ``year``, ``benchmark``).
+    * ``benchmarks`` may pass the percentile table (``*group``, ``year``, ``benchmark``);
+      ``stored`` says that it is a written table already.
 
-    Future rows are reduced to one row per (entity, year) before the join, and the join is a
-    plain equi join on (entity, looked-at year), so a much repeated entity cannot pile up.
+    Only rows of the cohort's entities are shuffled; they are reduced to one row per (entity,
+    year) before the join, and the join is a plain equi join on (entity, looked-at year), so a
+    much repeated entity cannot pile up. Benchmarks are written and counted while the result is
+    being built, unless they are stored.
     """
     if benchmark not in ("future", "base") or match not in ("any", "first"):
         raise ValueError("benchmark is 'future' or 'base', match is 'any' or 'first'")
@@ -51,11 +55,13 @@ def lookahead_label(
 
     later = panel.select(id, *keys, growth_col, level_col)
     base = cohort.select(id, *keys).distinct()
+    entities = materialise(cohort.select(id).distinct(), "entities")
+    later = later.join(broadcast_if_small(entities), id, "left_semi")
     if benchmark == "future":
-        later = join_group_stats(later, benchmarks, keys, "left")
+        later = join_group_stats(later, benchmarks, keys, "left", stored=stored)
         reached = F.col(level_col) >= F.col("benchmark")
     else:
-        base = join_group_stats(base, benchmarks, keys, "left")
+        base = join_group_stats(base, benchmarks, keys, "left", stored=stored)
         reached = F.lit(None).cast("boolean")
     later = (
         later.groupBy(F.col(id), F.col(year).alias("_later_year"))

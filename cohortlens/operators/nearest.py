@@ -14,6 +14,10 @@ How it works, all with DataFrame operations:
    widened afterwards.
 4. A cell one level deeper holds at most k of the places that stop at a level, so every cell
    meets a bounded number of searchers: the pairs grow with n * k, not with n * n.
+5. The grid spans the extent of each ``within`` group. If one finest cell holds very many places
+   (a far outlier stretches the extent, or points crowd together), that cell and its surroundings
+   become a group of their own with a grid over their own extent. Each such round adds 42 bits of
+   resolution, so it ends for any coordinates.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import planar_distance
-from cohortlens.operators.scale import join_group_stats, materialise, range_blocks
+from cohortlens.operators.scale import broadcast_if_small, join_group_stats, materialise, range_blocks
 
 #: Depth of the finest cells, 2**44 per axis, so that one stray point far away does not push all
 #: others into a single cell. The Z-order code is kept in two halves of 2 * 22 bits.
@@ -33,6 +37,10 @@ HALF_DEPTH = 22
 DEPTH = 2 * HALF_DEPTH
 #: Rows per range block and per slice of a crowded cell.
 BLOCK_ROWS = 1_000_000
+#: A finest cell with more places than this gets a grid of its own.
+CROWDED_PLACES = 2_048
+#: Columns that carry the grid of a group: its corner and side, in scaled coordinates.
+GRID = ("_x0", "_y0", "_side", "_scale")
 
 #: Fixed bit masks of the usual bit-interleaving steps (shift, mask).
 SPREAD_STEPS = (
@@ -95,7 +103,11 @@ def _cell_levels(candidates: DataFrame, key: Sequence[str], k: int, blocks: int)
         step = _shared_level(*[F.col(c).bitwiseXOR(F.lead(c).over(along)) for c in ("_zhigh", "_zlow")])
         box = along.rowsBetween(-(k // 2), k - k // 2)
         far = [
-            F.greatest(F.max(c).over(box) - F.col(c), F.col(c) - F.min(c).over(box)) for c in ("_x", "_y")
+            F.greatest(
+                F.max(c).over(box) * F.col("_scale") - F.col(c) * F.col("_scale"),
+                F.col(c) * F.col("_scale") - F.min(c).over(box) * F.col("_scale"),
+            )
+            for c in ("_x", "_y")
         ]
         bound = F.when(F.count("_id").over(box) == k + 1, F.hypot(*far))
         full_run = F.when(F.count("_step").over(run) == k, F.min("_step").over(run))
@@ -143,87 +155,76 @@ def _slice_crowded(asked: DataFrame, offered: DataFrame, cell: Sequence[str]) ->
     return spread.withColumn("_slice", every).drop("_slices"), cut
 
 
-def nearest(
-    points: DataFrame,
-    id: str,
-    x: str,
-    y: str,
-    within: Sequence[str],
-    k: int,
-    queries: DataFrame | None = None,
-    stored: bool = False,
-) -> DataFrame:
-    """The ``k`` nearest other points of each point, inside its ``within`` group.
+def _distance() -> Column:
+    """Planar distance; outside the range where squares are safe, without squaring."""
+    near = planar_distance(F.col("_x"), F.col("_y"), F.col("_nx"), F.col("_ny"))
+    apart = F.hypot(F.col("_x") * 0.5 - F.col("_nx") * 0.5, F.col("_y") * 0.5 - F.col("_ny") * 0.5) * 2.0
+    return F.when((near > 1e-150) & (near < 1e150), near).otherwise(apart)
 
-    ``points`` has one row per (``within``, ``id``). Distance is planar; equal distances are
-    ordered by id; a point is never its own neighbour; a group with fewer than k + 1 points
-    yields the neighbours it has. Points without a group or a finite place are left out. ``queries`` (columns ``within`` + ``id``) limits the search
-    to some of the points while all of them remain candidates. ``stored`` says that ``points``
-    is a plain table scan already, so it need not be written before its three passes.
 
-    Returns ``within``, ``id``, ``rank`` (1..k), ``nid``, ``dist``.
+def _with_grid(pts: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Adds the grid of each group and the finest cell of each row.
+
+    Coordinates beyond 1e300 are scaled down by a power of two first, so no difference overflows.
     """
-    key = [f"_w{i}" for i in range(len(within))]
-    named = dict(zip(within, key))
-    pts = points.select(
-        *[F.col(w).alias(a) for w, a in named.items()],
-        F.col(id).alias("_id"),
-        F.col(x).cast("double").alias("_x"),
-        F.col(y).cast("double").alias("_y"),
-    ).na.drop(subset=[*key, "_x", "_y"])
-    finite = [F.abs(c) < F.lit(float("inf")) for c in ("_x", "_y")]
-    pts = pts.filter(finite[0] & finite[1])
-    if not stored:
-        pts = materialise(pts, "points")
-    place = [*key, "_x", "_y"]
+    largest = F.greatest(F.max(F.abs("_x")), F.max(F.abs("_y")))
+    scale = F.when(largest > 1e300, F.lit(0.25)).otherwise(F.lit(1.0))
+    width = F.greatest(F.max("_x") * scale - F.min("_x") * scale, F.max("_y") * scale - F.min("_y") * scale)
+    grids = pts.groupBy(*key).agg(
+        (F.min("_x") * scale).alias("_x0"),
+        (F.min("_y") * scale).alias("_y0"),
+        F.when(width > 0, width).otherwise(F.lit(1.0)).alias("_side"),
+        scale.alias("_scale"),
+    )
 
-    extent = pts.agg(
-        F.min("_x").alias("x0"), F.max("_x").alias("x1"),
-        F.min("_y").alias("y0"), F.max("_y").alias("y1"),
-        F.count("*").alias("n"),
-    ).first()
-    n = extent["n"]
-    x0, y0 = extent["x0"] or 0.0, extent["y0"] or 0.0
-    side = max((extent["x1"] or 0.0) - x0, (extent["y1"] or 0.0) - y0) or 1.0
-
-    def fine(c: str, start: float) -> Column:
-        steps = F.floor((F.col(c) - F.lit(start)) * F.lit(2.0**DEPTH / side))
+    def fine(c: str, start: str) -> Column:
+        steps = F.floor((F.col(c) * F.col("_scale") - F.col(start)) / F.col("_side") * F.lit(2.0**DEPTH))
         return F.least(F.greatest(steps, F.lit(0)), F.lit(2**DEPTH - 1)).cast("bigint")
 
+    return join_group_stats(pts, grids, key).withColumns({"_ix": fine("_x", "_x0"), "_iy": fine("_y", "_y0")})
+
+
+def _closest_lists(pts: DataFrame, searched: DataFrame | None, key: Sequence[str], k: int) -> DataFrame:
+    """The ``k + 1`` closest candidates of each place as ``_near``, per ``key``, ``_x``, ``_y``.
+
+    ``pts`` has ``key``, ``_id``, ``_x``, ``_y``; ``searched`` limits the places asked for.
+    """
+    place = [*key, "_x", "_y"]
+    n = pts.count()
     at_place = Window.partitionBy(*place).orderBy("_id")
-    candidates = (
-        pts.withColumn("_at", F.row_number().over(at_place))
-        .filter(F.col("_at") <= k + 1)
-        .drop("_at")
-        .withColumns({"_ix": fine("_x", x0), "_iy": fine("_y", y0)})
-        .withColumns(_z_order("_ix", "_iy"))
-    )
+    few = pts.withColumn("_at", F.row_number().over(at_place)).filter(F.col("_at") <= k + 1).drop("_at")
+    candidates = _with_grid(few, key).withColumns(_z_order("_ix", "_iy"))
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
     leveled = materialise(_cell_levels(candidates, key, k, blocks), "cells")
 
-    searchers = pts
-    if queries is not None:
-        wanted = queries.select(*[F.col(w).alias(a) for w, a in named.items()], F.col(id).alias("_id"))
-        searchers = pts.join(wanted.distinct(), [*key, "_id"], "left_semi")
-    places = leveled.groupBy(*place, "_ix", "_iy").agg(
+    places = leveled.groupBy(*place, "_ix", "_iy", *GRID).agg(
         F.max("_level").alias("_level"), F.min("_bound").alias("_bound")
     )
-    if queries is not None:
-        places = places.join(searchers.select(*place).distinct(), place, "left_semi")
+    fine_cell = [*key, "_ix", "_iy"]
+    crowded = places.filter(F.col("_level") == DEPTH).groupBy(*fine_cell).count()
+    crowded = materialise(crowded.filter(F.col("count") > CROWDED_PLACES).select(*fine_cell), "crowded")
+    if searched is not None:
+        places = places.join(searched.select(*place).distinct(), place, "left_semi")
+    closer = None
+    if not crowded.isEmpty():
+        inner = materialise(places.join(broadcast_if_small(crowded), fine_cell, "left_semi").select(*place, "_ix", "_iy"), "inner")
+        places = places.join(broadcast_if_small(crowded), fine_cell, "left_anti")
+        closer = _inside_crowded(leveled, inner, crowded, key, k)
 
     # Cells of the searcher's own size that reach into its search radius.
     level = F.col("_level")
-    size = F.lit(side) / F.pow(F.lit(2.0), level)
+    size = F.col("_side") / F.pow(F.lit(2.0), level)
     ring = F.sequence(F.lit(-2), F.lit(2))
     depth = F.lit(DEPTH) - level
 
-    def gap(c: str, start: float, cell: str) -> Column:
-        low = F.lit(start) + F.col(cell) * F.col("_size")
-        return F.greatest(low - F.col(c), F.col(c) - low - F.col("_size"), F.lit(0.0))
+    def gap(c: str, start: str, cell: str) -> Column:
+        low = F.col(start) + F.col(cell) * F.col("_size")
+        at = F.col(c) * F.col("_scale")
+        return F.greatest(low - at, at - low - F.col("_size"), F.lit(0.0))
 
     # A fine cell's share covers rounding when points are put into cells.
     reach = F.least(
-        (F.col("_size") + F.lit(0.1 * side / 2.0**DEPTH)) * math.sqrt(2.0),
+        (F.col("_size") + F.lit(0.1 / 2.0**DEPTH) * F.col("_side")) * math.sqrt(2.0),
         F.col("_bound") * (1 + 1e-12),
     )
     cells_per_axis = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
@@ -237,29 +238,29 @@ def nearest(
         })
         .filter((F.col("_cx") >= 0) & (F.col("_cx") < cells_per_axis))
         .filter((F.col("_cy") >= 0) & (F.col("_cy") < cells_per_axis))
-        .filter(F.hypot(gap("_x", x0, "_cx"), gap("_y", y0, "_cy")) <= reach)
-        .select(*place, "_level", "_cx", "_cy", reach.alias("_reach"))
+        .filter(F.hypot(gap("_x", "_x0", "_cx"), gap("_y", "_y0", "_cy")) <= reach)
+        .select(*place, "_level", "_cx", "_cy", "_scale", reach.alias("_reach"))
     )
-    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect()) or [0]
+    levels = places.groupBy(*key).agg(F.collect_set("_level").alias("_levels"))
     offered = (
-        leveled.select(*key, F.col("_id").alias("_nid"), F.col("_x").alias("_nx"), F.col("_y").alias("_ny"),
-                       "_ix", "_iy")
-        .withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+        join_group_stats(leveled.select(*key, F.col("_id").alias("_nid"), F.col("_x").alias("_nx"),
+                                        F.col("_y").alias("_ny"), "_ix", "_iy"), levels, key)
+        .withColumn("_level", F.explode("_levels"))
         .withColumns({
             "_cx": _shift_right(F.col("_ix"), depth),
             "_cy": _shift_right(F.col("_iy"), depth),
         })
-        .drop("_ix", "_iy")
+        .drop("_ix", "_iy", "_levels")
     )
     cell = [*key, "_level", "_cx", "_cy"]
     if n > BLOCK_ROWS:  # otherwise no cell can hold more than one block
         asked, offered = _slice_crowded(asked, offered, cell)
         cell.append("_slice")
+    scaled = F.hypot(*[F.col(a) * F.col("_scale") - F.col(b) * F.col("_scale") for a, b in (("_x", "_nx"), ("_y", "_ny"))])
     pairs = (
         asked.join(offered, cell)
-        .withColumn("_dist", planar_distance(F.col("_x"), F.col("_y"), F.col("_nx"), F.col("_ny")))
-        .filter(F.col("_dist") <= F.col("_reach"))
-        .select(*place, "_nid", "_dist")
+        .filter(scaled <= F.col("_reach") * (1 + 1e-9))
+        .select(*place, "_nid", _distance().alias("_dist"))
     )
     closest = Window.partitionBy(*place).orderBy("_dist", "_nid")
     lists = (
@@ -268,12 +269,78 @@ def nearest(
         .groupBy(*place)
         .agg(F.sort_array(F.collect_list(F.struct("_dist", "_nid"))).alias("_near"))
     )
+    return lists if closer is None else lists.unionByName(closer)
+
+
+def _inside_crowded(leveled: DataFrame, inner: DataFrame, crowded: DataFrame, key: Sequence[str], k: int) -> DataFrame:
+    """Closest candidates of the places in crowded finest cells, by a grid over each such cell.
+
+    A finest cell with more than k candidates bounds the k-th distance by its diagonal, so nothing
+    beyond two cells around it can be among the closest.
+    """
+    around = F.sequence(F.lit(-2), F.lit(2))
+    gx, gy = (f"_g{axis}{len(key)}" for axis in "xy")  # cells inside cells need names of their own
+    ring = (
+        crowded.select(*key, F.col("_ix").alias(gx), F.col("_iy").alias(gy))
+        .withColumn("_dx", F.explode(around))
+        .withColumn("_dy", F.explode(around))
+        .select(*key, gx, gy, (F.col(gx) + F.col("_dx")).alias("_ix"), (F.col(gy) + F.col("_dy")).alias("_iy"))
+    )
+    members = leveled.join(broadcast_if_small(materialise(ring, "ring")), [*key, "_ix", "_iy"])
+    group = [*key, gx, gy]
+    members = materialise(members.select(*group, "_id", "_x", "_y"), "points")
+    asked = inner.select(*key, F.col("_ix").alias(gx), F.col("_iy").alias(gy), "_x", "_y")
+    return _closest_lists(members, asked, group, k).drop(gx, gy)
+
+
+def nearest(
+    points: DataFrame,
+    id: str,
+    x: str,
+    y: str,
+    within: Sequence[str],
+    k: int,
+    queries: DataFrame | None = None,
+    stored: bool = False,
+) -> DataFrame:
+    """The ``k`` nearest other points of each point, inside its ``within`` group.
+
+    ``points`` has one row per (``within``, ``id``). Distance is planar; equal distances are
+    ordered by id; a point is never its own neighbour; a group with fewer than k + 1 points
+    yields the neighbours it has. Points without a group or a finite place are left out; any
+    finite coordinates give full results. ``queries`` (columns ``within`` + ``id``) limits the
+    search to some of the points while all of them remain candidates. ``stored`` says that
+    ``points`` is a plain table scan already, so it need not be written before its passes. Cell
+    levels and counts are worked out, and small tables written, while the result is being built.
+
+    Returns ``within``, ``id``, ``rank`` (1..k), ``nid``, ``dist``.
+    """
+    # Without a group column, one constant group keeps the joins equal.
+    names = list(within)
+    key = [f"_w{i}" for i in range(len(names))] or ["_w"]
+    groups = [F.col(w).alias(a) for w, a in zip(names, key)] or [F.lit(0).alias("_w")]
+    pts = points.select(
+        *groups,
+        F.col(id).alias("_id"),
+        F.col(x).cast("double").alias("_x"),
+        F.col(y).cast("double").alias("_y"),
+    ).na.drop(subset=[*key, "_x", "_y"])
+    finite = [F.abs(c) < F.lit(float("inf")) for c in ("_x", "_y")]
+    pts = pts.filter(finite[0] & finite[1])
+    if not stored:
+        pts = materialise(pts, "points")
+    place = [*key, "_x", "_y"]
+    searchers, searched = pts, None
+    if queries is not None:
+        wanted = queries.select(*groups, F.col(id).alias("_id"))
+        searchers = searched = materialise(pts.join(wanted.distinct(), [*key, "_id"], "left_semi"), "asked")
+    lists = _closest_lists(pts, searched, key, k)
     others = F.slice(F.filter("_near", lambda c: c["_nid"] != F.col("_id")), 1, k)
     return (
         searchers.join(lists, place)
         .select(*key, "_id", F.posexplode(others).alias("_pos", "_near"))
         .select(
-            *[F.col(a).alias(w) for w, a in named.items()],
+            *[F.col(a).alias(w) for w, a in zip(names, key)],
             F.col("_id").alias(id),
             (F.col("_pos") + 1).alias("rank"),
             F.col("_near._nid").alias("nid"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.cohort import group_percentile
+from cohortlens.operators.scale import materialise
 
 
 def row_count(df: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -48,10 +49,11 @@ def distinct_count(df: DataFrame, column: str, approx: bool = False) -> DataFram
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, stddev, min, quartiles and max, one row per column.
 
-    Columns are unpivoted, so all of them are summarised by the same two aggregations.
+    Columns are unpivoted and written once, so all of them are summarised by the same two
+    aggregations and the input is evaluated once.
     """
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    tall = numeric.unpivot([], list(columns), "column", "value")
+    tall = materialise(numeric.unpivot([], list(columns), "column", "value"), "tall")
     figures = tall.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),

@@ -13,21 +13,31 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Number of slices a hot group is split into by the salted join.
 SALTS = 32
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables, visible to every executor.
 
     Taken from ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    folder of its own.
+    folder of its own, which leaves the session's settings as they are.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
-    return spark.sparkContext.getCheckpointDir()
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="cohortlens-")
+    return _LOCAL_FOLDERS[application]
+
+
+def drop_stored_tables(spark: SparkSession) -> bool:
+    """Delete every intermediate table of this application; results built on them end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cohortlens/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_table_path(spark: SparkSession, label: str = "table") -> str:
@@ -83,12 +93,21 @@ def join_group_stats(
     return salted_join(left, stats, on, how)
 
 
+def broadcast_if_small(table: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """A stored table with a broadcast hint up to ``BROADCAST_ROWS`` rows; else joined by shuffle."""
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 def salted_join(
     left: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Join on (group, salt) with ``stats`` repeated per salt; the salt is a hash of the row."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
-    salted = left.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
+    """Join on (group, salt) with ``stats`` repeated per salt.
+
+    The salt is the row's number within its partition, so equal rows of a hot group are spread
+    too; which row gets which salt does not change the result.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 

@@ -6,6 +6,7 @@ is a Spark job.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import product
 
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from cohortlens.operators.models import fit, lasso, random_forest, selected_features, with_features
+from cohortlens.operators.scale import materialise
+
+
+#: Penalties of the published lasso study: 25 in even steps (fixed values).
+PENALTIES = tuple(round(0.0005 + 0.002 * i, 4) for i in range(25))
 
 
 def _auc(label: str) -> BinaryClassificationEvaluator:
@@ -80,8 +86,11 @@ def grid_scores(model: CrossValidatorModel) -> list[dict]:
 
 
 def best_setting(model: CrossValidatorModel) -> dict:
-    """Setting with the best score; the earlier one on a tie."""
-    return max(grid_scores(model), key=lambda s: s["auc"])
+    """Setting with the best score; the earlier one on a tie. A score that is no number raises."""
+    scores = grid_scores(model)
+    if any(math.isnan(s["auc"]) for s in scores):
+        raise ValueError("a fold holds one class only, so its score is no number")
+    return max(scores, key=lambda s: s["auc"])
 
 
 def cross_validated_auc(df: DataFrame, estimator: Estimator, **options) -> float:
@@ -92,7 +101,7 @@ def cross_validated_auc(df: DataFrame, estimator: Estimator, **options) -> float
 def best_key(scores: DataFrame, key: str, score: str) -> DataFrame:
     """Key with the highest score; the smallest key on a tie."""
     return scores.agg(
-        F.max_by(key, F.struct(F.col(score), -F.col(key))).alias(f"best_{key}"),
+        F.min_by(key, F.struct(-F.col(score), F.col(key))).alias(f"best_{key}"),
         F.max(score).alias(f"best_{score}"),
     )
 
@@ -130,8 +139,8 @@ def staged_tune(
 
 
 def _as_param(estimator: Estimator, name: str, value):
-    """MLlib takes the per-node feature share as text."""
-    return str(value) if name == "featureSubsetStrategy" else value
+    """MLlib takes the per-node feature share as text; "1" would mean one feature, "1.0" all."""
+    return str(float(value)) if name == "featureSubsetStrategy" and not isinstance(value, str) else value
 
 
 def tabulate(spark: SparkSession, rows: Sequence[Mapping], schema: str) -> DataFrame:
@@ -153,15 +162,18 @@ def sweep_neighbors(
     """Cross-validated AUC per number of neighbours.
 
     ``upto`` is the output of ``neighbor_features_upto``; ``base`` has keys, own features and
-    label; ``k = 0`` uses the own features alone.
+    label; ``k = 0`` uses the own features alone. Every k is scored on the same rows: those that
+    have all features for every k.
     """
     rows = []
+    wide = upto.filter(F.col("k").isin([k for k in ks if k])).groupBy(*keys).pivot("k", sorted(k for k in ks if k))
+    wide = wide.agg(*[F.first(c).alias(c) for c in summarised]) if any(ks) else None
+    # Spark names a pivoted column by the value alone if there is one aggregate.
+    column = {(k, c): f"{k}_{c}" if len(summarised) > 1 else str(k) for k in ks if k for c in summarised}
+    data = base if wide is None else base.join(wide, list(keys))
+    data = materialise(data.na.drop(subset=[*own, *column.values()]), "sweep")
     for k in ks:
-        data = base
-        names = list(own)
-        if k:
-            data = base.join(upto.filter(F.col("k") == k).drop("k"), list(keys))
-            names += list(summarised)
+        names = list(own) + [column[k, c] for c in summarised if k]
         rows.append({"k": k, "auc": cross_validated_auc(data, estimator_for(names), **options)})
     return tabulate(base.sparkSession, rows, "k int, auc double")
 
@@ -177,13 +189,13 @@ def sweep_alpha(
     **options,
 ) -> DataFrame:
     """Per L1 penalty: which features survive, and the AUC of a forest on the survivors."""
-    rows = []
+    rows, known = [], {(): None}
     for alpha in alphas:
         model = fit(train, with_features(lasso(alpha, label), names))
-        kept = selected_features(model.stages[-1], names)
-        auc = None
-        if kept:
+        kept = tuple(selected_features(model.stages[-1], names))
+        if kept not in known:  # many penalties leave the same features
             forest = with_features(random_forest(label, trees=trees, seed=seed), kept)
-            auc = cross_validated_auc(train, forest, label=label, seed=seed, **options)
+            known[kept] = cross_validated_auc(train, forest, label=label, seed=seed, **options)
+        auc = known[kept]
         rows.append({"alpha": float(alpha), "kept": len(kept), "names": ",".join(kept), "auc": auc})
     return tabulate(train.sparkSession, rows, "alpha double, kept int, names string, auc double")

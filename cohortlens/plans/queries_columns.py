@@ -21,7 +21,7 @@ from cohortlens.operators import dataset, profile
 from cohortlens.operators.cohort import group_percentile
 from cohortlens.operators.metrics import positive_class
 from cohortlens.operators.neighbor_features import prefixed
-from cohortlens.operators.scale import join_group_stats
+from cohortlens.operators.scale import join_group_stats, materialise
 from cohortlens.plans.derived_tables import (
     attribute_table,
     count_table,
@@ -403,6 +403,34 @@ def random_split_rows(spark, sf_dir):
     return sizes[0].unionByName(sizes[1])
 
 
+@query("U04", "select true as complete, true as disjoint, true as near_share")
+def random_split_parts(spark, sf_dir):
+    """Spark's split puts every order in exactly one part, about four fifths of them in one."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    train, test = dataset.random_split(orders, 0.8, 42)
+    parts = train.withColumn("p", F.lit(1)).unionByName(test.withColumn("p", F.lit(0)))
+    per_key = parts.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("p").alias("p"))
+    seen = per_key.agg(F.count("*").alias("keys"), F.max("n").alias("most"), F.avg("p").alias("share"))
+    total = orders.agg(F.count_distinct("o_orderkey").alias("total"))
+    return seen.select(
+        (F.col("keys") == total.scalar()).alias("complete"), (F.col("most") == 1).alias("disjoint"),
+        F.col("share").between(0.75, 0.85).alias("near_share"),
+    )
+
+
+@query("U05", sql("select 1 - quality as rare, case when quality = 0 then count(*) end as kept, true as balanced from docs group by quality", "docs"))
+def undersampled_random_balance(spark, sf_dir):
+    """The stratified sample keeps the rare class whole and thins the other to about its size."""
+    docs = materialise(document_features(spark, sf_dir).select("doc_id", (1 - F.col("quality")).alias("rare")), "docs")
+    ratio = profile.class_ratio(docs, "rare").first()["ratio"]
+    counts = dataset.undersample_random(docs, "rare", ratio or 1.0, 42).groupBy("rare").agg(F.count("*").alias("rows"))
+    rare = docs.agg(F.count_if(F.col("rare") == 1).alias("of_rare"))
+    return counts.withColumn("of_rare", rare.scalar()).select(
+        "rare", F.when(F.col("rare") == 1, F.col("rows")).alias("kept"),
+        (F.abs(F.col("rows") - F.col("of_rare")) <= 4 * F.sqrt("of_rare")).alias("balanced"),
+    )
+
+
 @query(
     "U05 E11",
     sql(f"""select doc_id, quality from docs where quality = 1 and ({hash_unit('doc_id', seed='sample-42')} <
@@ -419,7 +447,7 @@ def undersampled_majority(spark, sf_dir):
 
 @query("U05")
 def undersampled_random(spark, sf_dir):
-    """Spark's stratified sample, class counts."""
+    """Spark's stratified sample of the majority class, class counts."""
     docs = document_features(spark, sf_dir).select("doc_id", (1 - F.col("quality")).alias("rare"))
     ratio = profile.class_ratio(docs, "rare").first()["ratio"]
     sampled = dataset.undersample_random(docs, "rare", ratio or 1.0, 42)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators import dataset, metrics, models, profile, tuning
@@ -16,7 +20,7 @@ from cohortlens.plans.derived_tables import (
     table,
 )
 from cohortlens.plans.oracles import hash_unit, sql
-from cohortlens.plans.queries_panel import study_matrix
+from cohortlens.plans.queries_panel import MODEL_SETTINGS, study_matrix
 from cohortlens.plans.registry import query
 from cohortlens.plans.study import LABEL, MODEL_FEATURES
 
@@ -32,7 +36,7 @@ def _documents(spark, sf_dir):
 
 def _study(spark, sf_dir):
     """Balanced training rows and test rows of the study."""
-    matrix = materialise(study_matrix(spark, sf_dir), "matrix")
+    matrix = materialise(study_matrix(spark, sf_dir, MODEL_SETTINGS), "matrix")
     train, test = dataset.hash_split(matrix, ["GEO_ID", "year"])
     return dataset.undersample(train, LABEL, ["GEO_ID", "year"]), test
 
@@ -144,6 +148,144 @@ def lasso_features(spark, sf_dir):
     return tuning.tabulate(spark, rows, "feature string, coefficient double, kept boolean")
 
 
+def _study_models():
+    """The models that the study compares, with their scaling."""
+    layers = models.network_layers(len(MODEL_FEATURES), base=32, depth=1)
+    return {
+        "naive_bayes": (models.gaussian_naive_bayes(LABEL), None),
+        "logistic_regression": (models.logistic_regression(LABEL, reg=0.01), "minmax"),
+        "random_forest": (models.random_forest(LABEL, trees=50), None),
+        "boosted_trees": (models.boosted_trees(LABEL, rounds=20), None),
+        "network": (models.perceptron(layers, LABEL, solver="l-bfgs", rounds=100), "standard"),
+    }
+
+
+@query("M04 M05 M06 M07 M09 U05 E01 E02 E03 E05 E06 E07")
+def study_model_figures(spark, sf_dir):
+    """Held-out figures of every model of the study: counts, precision, recall, F1 and AUC."""
+    train, test = _study(spark, sf_dir)
+    train, rows = materialise(train, "train"), []
+    for name, (estimator, scaling) in _study_models().items():
+        model = models.fit(train, models.with_features(estimator, MODEL_FEATURES, scaling))
+        scored = materialise(models.score(model, test, [LABEL]), "scored")
+        m = metrics.class_metrics(scored, LABEL).select(
+            F.lit(name).alias("model"), "tp", "fp", "fn", "tn", "precision_1", "recall_1", "f1_1", "accuracy"
+        )
+        auc = materialise(metrics.area_under_roc(scored, LABEL), "auc")
+        rows.append(m.withColumn("auc", auc.select("auc").scalar()))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def _forest_on_test(spark, sf_dir):
+    """Test tracts of the study with the forest's prediction and their features."""
+    train, test = _study(spark, sf_dir)
+    model = models.fit(train, models.with_features(models.random_forest(LABEL), MODEL_FEATURES, None))
+    keep = list(dict.fromkeys(["GEO_ID", "state", "year", *MODEL_FEATURES, LABEL]))
+    return materialise(models.score(model, test, [c for c in keep if c in test.columns]), "scored")
+
+
+@query("E08 F07 M06")
+def study_slices(spark, sf_dir):
+    """The forest's figures on all test tracts and where the neighbourhood passes each predicate.
+
+    A diagnostic of the model; it must not steer how resources are allocated.
+    """
+    scored = _forest_on_test(spark, sf_dir)
+    middle = scored.agg(*[F.median(c).alias(c) for c in ("race_white", "n_ed_total", "n_land_area")]).first()
+    white, educated = F.col("race_white") > middle["race_white"], F.col("n_ed_total") > middle["n_ed_total"]
+    compact = F.col("n_land_area") < middle["n_land_area"]
+    return metrics.slice_metrics(scored, {
+        "all": F.lit(True), "white_or_educated": white | educated, "compact": compact, "both": (white | educated) & compact,
+    }, LABEL)
+
+
+@query("E09 X08 M06")
+def study_residuals(spark, sf_dir):
+    """Feature means and deviations per residual class of the forest."""
+    return metrics.residual_profile(_forest_on_test(spark, sf_dir), MODEL_FEATURES, LABEL)
+
+
+@query("E10 J10 M06")
+def study_outcomes(spark, sf_dir):
+    """Outcome class of each test tract by the forest, the data behind a map."""
+    return metrics.outcome(_forest_on_test(spark, sf_dir).select("GEO_ID", LABEL, "prediction"), LABEL)
+
+
+@query("M05", "select unnest(['n_chars', 'n_words', 'distinct_share', 'n_punct', 'intercept']) as feature, true as solved")
+def logistic_score_equations(spark, sf_dir):
+    """An unpenalised logistic regression solves sum((p - y) x) = 0 for every feature."""
+    train, _ = _documents(spark, sf_dir)
+    packed = dataset.fit_scaling(train, DOCUMENT_FEATURES).transform(train)
+    packed = packed.select("label", F.col("scaled").alias("features"))
+    model = models.fit(packed, models.logistic_regression().setMaxIter(500).setTol(1e-10))
+    names = [*DOCUMENT_FEATURES, "intercept"]
+    gap = vector_to_array(model.transform(packed)["probability"])[1] - F.col("label")
+    values = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    scored = model.transform(packed).select(gap.alias("gap"), values.alias("x"))
+    means = scored.agg(*[F.abs(F.avg(F.col("gap") * F.col("x")[i])).alias(n) for i, n in enumerate(names)])
+    return means.unpivot([], names, "feature", "mean").select("feature", (F.col("mean") < 1e-3).alias("solved"))
+
+
+@query("M08", "select unnest(['n_chars', 'n_words', 'distinct_share', 'n_punct']) as feature, true as optimal")
+def lasso_conditions(spark, sf_dir):
+    """An L1 penalty is optimal: residual correlation at the penalty if kept, within it if not."""
+    train, _ = _documents(spark, sf_dir)
+    alpha = 0.01
+    packed = dataset.fit_scaling(train, DOCUMENT_FEATURES).transform(train).select("label", F.col("scaled").alias("features"))
+    model = models.fit(packed, models.lasso(alpha).setMaxIter(500).setTol(1e-12))
+    scored = model.transform(packed).select((F.col("label") - F.col("prediction")).alias("rest"), vector_to_array("features").alias("x"))
+    means = scored.agg(*[F.avg(F.col("rest") * F.col("x")[i]).alias(n) for i, n in enumerate(DOCUMENT_FEATURES)])
+    kept = {n: float(c) for n, c in zip(DOCUMENT_FEATURES, model.coefficients.toArray())}
+    weight = F.create_map(*[F.lit(v) for pair in kept.items() for v in pair])
+    rows = means.unpivot([], list(DOCUMENT_FEATURES), "feature", "mean").withColumn("weight", weight[F.col("feature")])
+    held = F.abs(F.col("mean") - alpha * F.signum("weight")) < 1e-4
+    return rows.select("feature", F.when(F.col("weight") != 0, held).otherwise(F.abs("mean") <= alpha + 1e-4).alias("optimal"))
+
+
+@query("S09 M11", sql("select doc_id, true as equal from test", "docs", test=_TEST))
+def saved_model_equality(spark, sf_dir):
+    """A model gives the same scores before it is saved and after it is loaded."""
+    train, test = _documents(spark, sf_dir)
+    model = models.fit(train, models.with_features(models.random_forest(trees=5), DOCUMENT_FEATURES, None))
+    path = new_table_path(spark, "model")
+    models.save_model(model, path)
+    before, after = (models.score(m, test, ["doc_id"]) for m in (model, models.load_model(path)))
+    both = before.join(after.withColumnsRenamed({"score": "score2", "prediction": "prediction2"}), "doc_id")
+    return both.select("doc_id", ((F.col("score") == F.col("score2")) & (F.col("prediction") == F.col("prediction2"))).alias("equal"))
+
+
+@query(
+    "M06 M11 U04",
+    sql("select doc_id, quality as label, true as in_range from test", "docs", test=_TEST),
+)
+def forest_score_ranges(spark, sf_dir):
+    """Every test document gets a score in 0 to 1 and the class on its side of one half."""
+    train, test = _documents(spark, sf_dir)
+    model = models.fit(train, models.with_features(models.random_forest(trees=5), DOCUMENT_FEATURES, None))
+    scored = models.score(model, test, ["doc_id", "label"])
+    side = (F.col("score") > 0.5) == (F.col("prediction") == 1)
+    return scored.select("doc_id", "label", (F.col("score").between(0, 1) & (side | (F.col("score") == 0.5))).alias("in_range"))
+
+
+@query(
+    "M12 M14 M16 A17",
+    "select unnest([0.0, 0.01, 0.1]) as regParam, true as in_range, 1 as winners",
+)
+def grid_search_winner(spark, sf_dir):
+    """A grid lists each setting once, scores in 0 to 1; the best setting has the highest score."""
+    train, _ = _documents(spark, sf_dir)
+    folded = dataset.fold_column(train, ["doc_id"], 5)
+    found = tuning.grid_search(
+        folded, models.with_features(models.logistic_regression(), DOCUMENT_FEATURES),
+        {"regParam": [0.0, 0.01, 0.1]}, fold_col="fold",
+    )
+    scores = tuning.grid_scores(found)
+    best = tuning.best_setting(found)
+    winners = sum(s["auc"] == max(x["auc"] for x in scores) for s in scores if s["regParam"] == best["regParam"])
+    rows = [{"regParam": s["regParam"], "in_range": 0 <= s["auc"] <= 1, "winners": winners} for s in scores]
+    return tuning.tabulate(spark, rows, "regParam double, in_range boolean, winners int")
+
+
 @query("S09 M11")
 def saved_model_scores(spark, sf_dir):
     """A fitted model saved, loaded again and applied."""
@@ -184,31 +326,31 @@ def staged_tuning(spark, sf_dir):
 
 @query("M15 A17 A18")
 def neighbor_count_sweep(spark, sf_dir):
-    """Cross-validated AUC for 0, 1, 5 and 10 neighbours, on labelled vectors."""
+    """Five-fold AUC for 0 to 20 neighbours on labelled vectors, and the best count."""
     points = materialise(
         embedding_points(spark, sf_dir).withColumn("year", F.lit(2010)).na.fill({"f2": 0.0}), "points"
     )
-    near = nearest(points, "id", "lat", "lon", ["state", "year"], 10, stored=True)
+    near = nearest(points, "id", "lat", "lon", ["state", "year"], 20, stored=True)
     upto = materialise(
         neighbor_features_upto(near, points, id="id", weight="pop", mean_cols=["f1", "f2"], sum_cols=["pop"]), "upto"
     )
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    base = dataset.fold_column(points.join(labels, "id"), ["id"], 3)
+    base = dataset.fold_column(points.join(labels, "id"), ["id"], 5)
     scores = tuning.sweep_neighbors(
-        upto, base, ["id", "year"], ["lat", "lon", "f1", "f2"], ["n_f1", "n_f2", "n_pop"], [0, 1, 5, 10],
+        upto, base, ["id", "year"], ["lat", "lon", "f1", "f2"], ["n_f1", "n_f2", "n_pop"], range(21),
         lambda names: models.with_features(models.logistic_regression(), names),
-        folds=3, fold_col="fold",
+        folds=5, fold_col="fold",
     )
     return scores.join(F.broadcast(tuning.best_key(scores, "k", "auc").select(F.col("best_k").alias("k"), F.lit(True).alias("best"))), "k", "left")
 
 
 @query("M16 M08 A17")
 def penalty_sweep(spark, sf_dir):
-    """Lasso penalty sweep scored by a forest on the surviving features."""
+    """Lasso sweep over all penalties scored by a forest on the surviving features."""
     train, _ = _documents(spark, sf_dir)
-    folded = dataset.fold_column(train, ["doc_id"], 2)
+    folded = dataset.fold_column(train, ["doc_id"], 5)
     return tuning.sweep_alpha(
-        folded, DOCUMENT_FEATURES, [0.0005, 0.0205], trees=5, folds=2, fold_col="fold"
+        folded, DOCUMENT_FEATURES, tuning.PENALTIES, trees=5, folds=5, fold_col="fold"
     )
 
 
@@ -358,8 +500,7 @@ def outcome_classes(spark, sf_dir):
 def best_group(spark, sf_dir):
     """Group with the best rate, the first one on a tie."""
     rates = profile.positive_rate(document_features(spark, sf_dir), ["lang"], "quality")
-    best = rates.orderBy(F.desc("positive_rate"), "lang").limit(1)
-    return best.select(F.col("lang").alias("best_lang"), F.col("positive_rate").alias("best_rate"))
+    return tuning.best_key(rates, "lang", "positive_rate").withColumnRenamed("best_positive_rate", "best_rate")
 
 
 @query(

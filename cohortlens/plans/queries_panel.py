@@ -13,7 +13,7 @@ from cohortlens.operators.neighbor_features import (
     neighbor_features,
     neighbor_features_upto,
 )
-from cohortlens.operators.scale import materialise
+from cohortlens.operators.scale import join_group_stats, materialise, new_table_path
 from cohortlens.plans.derived_tables import (
     MAX_BASE_YEAR,
     attribute_table,
@@ -21,7 +21,7 @@ from cohortlens.plans.derived_tables import (
     embedding_points,
     spend_panel,
 )
-from cohortlens.plans.oracles import sql
+from cohortlens.plans.oracles import CTES, sql
 from cohortlens.plans.registry import query
 from cohortlens.plans.study import (
     MODEL_FEATURES,
@@ -34,13 +34,16 @@ from cohortlens.plans.study import (
     tract_neighbors,
     with_attributes,
 )
+from cohortlens.sources.tables import read_csv, write_csv
 
 SETTINGS = StudySettings(max_base_year=MAX_BASE_YEAR)
+#: Thresholds that fill both classes on the derived tables, for the models.
+MODEL_SETTINGS = StudySettings(max_base_year=MAX_BASE_YEAR, growth=4.0, benchmark_p=0.8)
 
 
-def study_matrix(spark, sf_dir):
+def study_matrix(spark, sf_dir, settings=SETTINGS):
     """The study's model matrix over the derived tables."""
-    return model_matrix(count_table(spark, sf_dir), attribute_table(spark, sf_dir), SETTINGS)
+    return model_matrix(count_table(spark, sf_dir), attribute_table(spark, sf_dir), settings)
 
 
 def _panel(spark, sf_dir):
@@ -58,6 +61,49 @@ def percentile_10(spark, sf_dir):
     return p.withColumn("p10", F.round("p10", 4))
 
 
+@query(
+    "A03 A04",
+    sql("""select state, year, round(quantile_cont(cast(med as double), 0.1), 4) as p10,
+                  round(quantile_cont(cast(med as double), 0.2), 4) as p20 from spend group by state, year""", "spend"),
+)
+def percentiles_of_large_groups(spark, sf_dir):
+    """The way for large groups (sketch, brackets, range blocks) on every group of more than 20 rows."""
+    p = group_percentile(
+        spend_panel(spark, sf_dir), ["state", "year"], "med", {"p10": 0.1, "p20": 0.2}, whole_group_rows=20
+    )
+    return p.withColumns({c: F.round(c, 4) for c in ("p10", "p20")})
+
+
+@query(
+    "F05 J03",
+    sql("""select s.id, s.state, s.year, s.med, t.top from spend s
+           join (select state, year, max(med) as top from spend group by all) t using (state, year)""", "spend"),
+)
+def salted_group_maximum(spark, sf_dir):
+    """Group statistics joined the way that is used when they are too many to broadcast."""
+    spend = spend_panel(spark, sf_dir).select("id", "state", "year", "med")
+    top = spend.groupBy("state", "year").agg(F.max("med").alias("top"))
+    return join_group_stats(spend, top, ["state", "year"], max_broadcast_rows=0)
+
+
+@query(
+    "J08 W01 T03 D02",
+    """with p as (
+         select vec_id as id, label as state,
+                case when vec_id % 100 = 7 then 1e16 else cast(embedding[1] as double) end as x, cast(embedding[2] as double) as y
+         from embeddings)
+       select a.id, cast(r as integer) as rank, nid, round(dist, 6) as dist from (
+         select a.id, b.id as nid, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist,
+                row_number() over (partition by a.id order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) as r
+         from p a join p b on a.state = b.state and a.id <> b.id) a where r <= 3""",
+)
+def nearest_points_with_outliers(spark, sf_dir):
+    """Neighbours when one point in a hundred lies 1e16 away from the rest."""
+    points = embedding_points(spark, sf_dir).withColumn("lat", F.when(F.col("id") % 100 == 7, F.lit(1e16)).otherwise(F.col("lat")))
+    near = nearest(points, "id", "lat", "lon", ["state"], 3)
+    return near.select("id", "rank", "nid", F.round("dist", 6).alias("dist"))
+
+
 @query(
     "A04",
     sql("select state, year, round(quantile_cont(cast(med as double), 0.2), 4) as p20 from spend group by all", "spend"),
@@ -308,3 +354,57 @@ _ROUNDED = [f"n_{c}" for c in NEIGHBOR_MEANS]
 def study_model_matrix(spark, sf_dir):
     """The whole study up to the model matrix: 27 features and the label."""
     return study_matrix(spark, sf_dir).withColumns({c: F.round(c, 6) for c in _ROUNDED})
+
+
+#: One frame of all states: percentiles per year, neighbours over the whole frame of the year.
+FRAME_SETTINGS = StudySettings(max_base_year=MAX_BASE_YEAR, group=(), neighbor_group=(), neighbors=20)
+
+
+def _whole_frame(text: str) -> str:
+    """The same SQL with the year alone as group, and 20 neighbours."""
+    for old, new in (
+        ("select state, year, quantile", "select year, quantile"), ("group by state, year", "group by year"),
+        ("using (state, year)", "using (year)"), ("p20.state = f.state and ", ""),
+        ("q.state = c.state and ", ""), ("rank <= 10", "rank <= 20"),
+    ):
+        text = text.replace(old, new)
+    return text
+
+
+_FRAME = {n: _whole_frame(CTES[n]) for n in ("p10", "p20", "cohort", "labelled", "located", "placed", "near", "around")}
+_KEPT = [*MODEL_FEATURES, "ed_fem", "ed_male"]
+
+
+@query(
+    "M18 J04 J08 A03 A04",
+    sql("select placed.GEO_ID, state, "
+        + ", ".join(f"round({c}, 6) as {c}" if c in _ROUNDED else ("placed.year" if c == "year" else c) for c in _KEPT)
+        + ", gent from placed join around on around.GEO_ID = placed.GEO_ID and around.year = placed.year where "
+        + " and ".join(f"{'placed.' if c == 'year' else ''}{c} is not null" for c in _KEPT),
+        "panel", "attributes", **_FRAME),
+)
+def single_frame_matrix(spark, sf_dir):
+    """The study over one frame: no state in any group, 20 neighbours, both degree shares kept."""
+    matrix = model_matrix(count_table(spark, sf_dir), attribute_table(spark, sf_dir), FRAME_SETTINGS, keep_all=True)
+    return matrix.withColumns({c: F.round(c, 6) for c in _ROUNDED})
+
+
+_NATIONAL = [*NEIGHBOR_MEANS, "population", "ALAND10", "ed_fem", "ed_male"]
+
+
+@query(
+    "S07 J09 P04",
+    sql("select n.GEO_ID, n.year, "
+        + ", ".join(f"round(any_value(p.{c}) filter (rank = {r + 1}), 9) as \"{r}_{c}\"" for r in range(10) for c in _NATIONAL)
+        + " from near n join located p on p.GEO_ID = n.nid and p.year = n.year group by n.GEO_ID, n.year", "near", "located"),
+)
+def wide_neighbor_table(spark, sf_dir):
+    """The final wide table, ten neighbours by fifteen columns, written as CSV and read back by name."""
+    panel = _panel(spark, sf_dir)
+    located = materialise(with_attributes(panel, attribute_table(spark, sf_dir)), "located")
+    near = tract_neighbors(located, 10, cohort(panel, SETTINGS))
+    wide = neighbor_columns_wide(near, located, id="GEO_ID", year="year", columns=_NATIONAL, k=10)
+    path = new_table_path(spark, "wide-csv")
+    write_csv(wide, path)
+    back = read_csv(spark, path, wide.schema)
+    return back.select("GEO_ID", "year", *[F.round(c, 9).alias(c) for c in back.columns if c not in ("GEO_ID", "year")])

@@ -97,6 +97,44 @@ def json_array_tables(spark, sf_dir):
     )
 
 
+@query(
+    "S03 S04",
+    """select cast(n_nationkey as bigint) as nation, cast(c_custkey as bigint) as customer, c_mktsegment as segment
+       from customer join nation on c_nationkey = n_nationkey""",
+)
+def json_document_files(spark, sf_dir):
+    """JSON tables of one document per file (pretty to read whole), one file per nation."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("nation"), F.col("c_custkey").cast("string").alias("customer"), F.col("c_mktsegment").alias("segment")
+    )
+    # The line is split over several so that only a reader of whole files can parse it.
+    rows = customers.select("nation", F.concat(F.lit(",\n"), F.to_json(F.array("customer", "segment", F.col("nation").cast("string")))).alias("value"))
+    ends = customers.select("nation").distinct().select(
+        "nation", F.explode(F.array(F.lit('[["customer", "segment", "nation"]'), F.lit("]"))).alias("value")
+    )
+    ordered = rows.unionByName(ends).repartition(25, "nation").sortWithinPartitions(
+        "nation", F.when(F.col("value").startswith("[["), 0).when(F.col("value") == "]", 2).otherwise(1)
+    )
+    path = new_table_path(spark, "json-files")
+    ordered.write.partitionBy("nation").text(path)
+    back = io.read_json_tables(spark, f"{path}/nation=*", ["nation", "customer", "segment"])
+    return back.select(
+        F.col("nation").try_cast("bigint").alias("nation"), F.col("customer").try_cast("bigint").alias("customer"), "segment"
+    )
+
+
+@query("S01", sql("select state, year, count(*) as rows, cast(sum(B01003_001E) as bigint) as people from raw group by state, year", "raw"))
+def csv_columns_by_name(spark, sf_dir):
+    """Files with the columns in two different orders, read by glob and by name."""
+    path = new_table_path(spark, "ordered-csv")
+    counts = count_table(spark, sf_dir).select("GEO_ID", "state", "year", "B01003_001E")
+    io.write_csv(counts.filter("year % 2 = 0"), f"{path}/census_even")
+    io.write_csv(counts.filter("year % 2 = 1").select("B01003_001E", "year", "GEO_ID", "state"), f"{path}/census_odd")
+    wanted = "year int, state string, B01003_001E bigint"
+    back = io.read_csv_files(spark, [f"{path}/census_e*", f"{path}/census_o*"], wanted)
+    return back.groupBy("state", "year").agg(F.count("*").alias("rows"), F.sum("B01003_001E").alias("people"))
+
+
 @query(
     "S04 X03",
     sql("select state, year, count(*) as rows, cast(sum(B01003_001E) as bigint) as people from raw group by state, year", "raw"),
@@ -162,7 +200,10 @@ select page_id, cast(pos as integer) as pos, list_extract(texts, pos) as text
 from (select page_id, texts, unnest(generate_series(1, len(texts))) as pos
       from (select page_id, {texts} as texts from pages))
 """
-_ALL = "regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)"
+_ALL = (
+    r"list_transform(regexp_extract_all(html, '(?is)<a\b[^>]*>(.*?)</a\s*>', 1), "
+    r"lambda t: regexp_replace(t, '(?s)<[^>]*>', '', 'g'))"
+)
 
 
 @query("S11", _ANCHORS.format(texts=_ALL))

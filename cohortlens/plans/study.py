@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,12 @@ LABEL = "gent"
 
 @dataclass(frozen=True)
 class StudySettings:
-    """Thresholds and sizes of the study."""
+    """Thresholds, sizes and grouping of the study.
+
+    ``group`` are the columns that, with the year, form the groups of percentiles and benchmarks;
+    ``neighbor_group`` those inside which neighbours are searched. Columns in ``screened`` must be
+    above 0 (``keep_zero``: not below 0) for a row to count.
+    """
 
     cohort_p: float = 0.10
     benchmark_p: float = 0.20
@@ -64,6 +70,10 @@ class StudySettings:
     neighbors: int = 10
     benchmark: str = "future"
     match: str = "any"
+    group: tuple[str, ...] = ("state",)
+    neighbor_group: tuple[str, ...] = ("state",)
+    screened: tuple[str, ...] = ("B19013_001E",)
+    keep_zero: bool = False
 
 
 def strip_prefix(counts: DataFrame) -> DataFrame:
@@ -71,9 +81,14 @@ def strip_prefix(counts: DataFrame) -> DataFrame:
     return counts.withColumn("GEO_ID", text_after("GEO_ID", "US"))
 
 
-def clean_counts(counts: DataFrame) -> DataFrame:
-    """Complete rows with a positive median income."""
-    return positive_rows(complete_rows(strip_prefix(counts)), ["B19013_001E"])
+def clean_counts(counts: DataFrame, s: StudySettings = StudySettings()) -> DataFrame:
+    """Complete rows whose screened columns are positive, by default the median income."""
+    complete = complete_rows(strip_prefix(counts))
+    if not s.keep_zero:
+        return positive_rows(complete, s.screened)
+    for c in s.screened:
+        complete = complete.filter(F.col(c) >= 0)
+    return complete
 
 
 def derived_features() -> dict[str, Column]:
@@ -90,10 +105,10 @@ def derived_features() -> dict[str, Column]:
     }
 
 
-def feature_panel(counts: DataFrame) -> DataFrame:
+def feature_panel(counts: DataFrame, s: StudySettings = StudySettings()) -> DataFrame:
     """Six keys and fourteen features per tract and year."""
     features = derived_features()
-    return clean_counts(counts).select(*PANEL_KEYS, *[features[f].alias(f) for f in FEATURES])
+    return clean_counts(counts, s).select(*PANEL_KEYS, *[features[f].alias(f) for f in FEATURES])
 
 
 def typed_attributes(attributes: DataFrame) -> DataFrame:
@@ -117,17 +132,18 @@ def with_attributes(rows: DataFrame, attributes: DataFrame, how: str = "inner")
 
 
 def income_percentiles(panel: DataFrame, s: StudySettings = StudySettings()) -> DataFrame:
-    """Cohort threshold and benchmark per state and year, from the same passes, stored."""
+    """Cohort threshold and benchmark per group and year, from the same passes, stored."""
     both = {"threshold": s.cohort_p, "benchmark": s.benchmark_p}
-    return materialise(group_percentile(panel, ["state", "year"], "med_house_inc", both), "income")
+    return materialise(group_percentile(panel, [*s.group, "year"], "med_house_inc", both), "income")
 
 
 def cohort(
     panel: DataFrame, s: StudySettings = StudySettings(), income: DataFrame | None = None
 ) -> DataFrame:
-    """Tracts with a low median income in their state and base year."""
+    """Tracts with a low median income in their group and base year."""
     return eligible_cohort(
-        panel, ["state", "year"], "med_house_inc", s.cohort_p, max_year=s.max_base_year, thresholds=income
+        panel, [*s.group, "year"], "med_house_inc", s.cohort_p, max_year=s.max_base_year, thresholds=income,
+        stored=income is not None,
     )
 
 
@@ -138,7 +154,7 @@ def labelled_cohort(panel: DataFrame, s: StudySettings = StudySettings()) -> Dat
         cohort(panel, s, income),
         panel,
         id="GEO_ID",
-        group=["state"],
+        group=list(s.group),
         growth_col="per_cap_inc",
         level_col="med_house_inc",
         horizon=s.horizon,
@@ -147,14 +163,17 @@ def labelled_cohort(panel: DataFrame, s: StudySettings = StudySettings()) -> Dat
         benchmark=s.benchmark,
         match=s.match,
         benchmarks=income.drop("threshold"),
+        stored=True,
         label=LABEL,
     )
 
 
-def tract_neighbors(located: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """The k nearest tracts in the same state and year; ``located`` is a stored table."""
+def tract_neighbors(
+    located: DataFrame, k: int, queries: DataFrame | None = None, group: Sequence[str] = ("state",)
+) -> DataFrame:
+    """The k nearest tracts in the same group and year; ``located`` is a stored table."""
     return nearest(
-        located, "GEO_ID", "INTPTLAT10", "INTPTLON10", ["state", "year"], k, queries, stored=True
+        located, "GEO_ID", "INTPTLAT10", "INTPTLON10", [*group, "year"], k, queries, stored=True
     )
 
 
@@ -176,11 +195,11 @@ def model_matrix(
     ``ed_fem`` and ``ed_male`` too.
     """
     attributes = materialise(typed_attributes(attributes), "attributes")
-    panel = materialise(feature_panel(counts), "panel")
+    panel = materialise(feature_panel(counts, s), "panel")
     labelled = labelled_cohort(panel, s)
     located = materialise(with_attributes(panel, attributes), "located")
     rows = materialise(with_attributes(labelled, attributes), "labelled")
-    near = tract_neighbors(located, s.neighbors, rows.select("GEO_ID", "state", "year"))
+    near = tract_neighbors(located, s.neighbors, rows.select("GEO_ID", "state", "year"), s.neighbor_group)
     around = tract_neighbor_features(near, located)
     extra = ["ed_fem", "ed_male"] if keep_all else []
     return (

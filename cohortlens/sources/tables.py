@@ -24,19 +24,31 @@ def read_csv(
 ) -> DataFrame:
     """CSV files with a header, by path, list or glob.
 
-    A declared ``schema`` costs no extra pass; ``infer`` samples types with one more pass; with
-    neither every column is a string.
+    A declared ``schema`` names the columns wanted and their types; they are found by the names
+    in the header of the first file, in whatever order, and every other file must have the same
+    header, else reading it raises. ``infer`` samples types with one more pass; with neither
+    every column is a string.
     """
     reader = spark.read.option("header", True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif infer:
-        reader = reader.option("inferSchema", True)
-    return reader.csv(paths)
+    if schema is None:
+        return (reader.option("inferSchema", True) if infer else reader).csv(paths)
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    header = reader.csv(paths).columns
+    absent = [f.name for f in wanted if f.name not in header]
+    if absent:
+        raise ValueError(f"columns {absent} are not in the header {header}")
+    types = {f.name: f.dataType for f in wanted}
+    by_header = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    return reader.option("enforceSchema", False).schema(by_header).csv(paths).select(*wanted.names)
+
+
+def read_csv_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str) -> DataFrame:
+    """Files (or folders or globs) whose headers list the same columns in different orders."""
+    return combine([read_csv(spark, p, schema) for p in paths])
 
 
 def read_counts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Count tables of any number of states and years, matched by column order of the header."""
+    """Count tables of any number of states and years, columns found by name."""
     return read_csv(spark, paths, COUNT_SCHEMA)
 
 
@@ -50,8 +62,10 @@ def parse_json_tables(documents: DataFrame, column: str, names: Sequence[str], k
 
     Fields are found by their position in each document's own header, so documents may order
     their columns differently. Every field is text; ``keep`` carries columns of the document.
+    A document that is no such array raises; NULL and blank documents have no rows.
     """
-    table = F.from_json(F.col(column), "array<array<string>>")
+    text = F.when(F.trim(F.col(column)) != "", F.col(column))
+    table = F.from_json(text, "array<array<string>>", {"mode": "FAILFAST"})
     parsed = documents.select(*keep, table.alias("_t")).withColumn("_header", F.get("_t", F.lit(0)))
     rows = parsed.select(
         *keep, "_header", F.explode(F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1)))).alias("_row")
@@ -74,14 +88,17 @@ def read_json_tables(
 def read_json_rows(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str]) -> DataFrame:
     """JSON tables with one inner array per line, all with the same known header.
 
-    Lines are parsed on their own, so a large file is split over many tasks.
+    Lines are parsed on their own, so a large file is split over many tasks. Blank lines and the
+    outer brackets are skipped; any other line that is no array raises.
     """
     line = F.regexp_extract("value", r"^\s*\[?(\[.*?\])\]?,?\s*$", 1)
-    row = F.from_json(line, "array<string>")
+    row = F.from_json(F.nullif(line, F.lit("")), "array<string>", {"mode": "FAILFAST"})
     names = F.array(*[F.lit(h) for h in header])
-    parsed = spark.read.text(paths).select(row.alias("_row")).filter(
-        F.col("_row").isNotNull() & ~F.col("_row").eqNullSafe(names)
+    wrong = F.raise_error(F.concat(F.lit("no JSON row: "), F.col("value"))).cast("boolean")
+    known = F.when(F.col("_row").isNotNull(), ~F.col("_row").eqNullSafe(names)).otherwise(
+        F.when(F.col("value").rlike(r"^\s*[\[\]]?\s*,?\s*$"), F.lit(False)).otherwise(wrong)
     )
+    parsed = spark.read.text(paths).select("value", row.alias("_row")).filter(known)
     return parsed.select(*[F.get("_row", F.lit(i)).alias(h) for i, h in enumerate(header)])
 
 
@@ -96,10 +113,10 @@ def stamp(df: DataFrame, **values) -> DataFrame:
 
 
 def stamp_from_path(df: DataFrame, pattern: str = COUNT_FILE_PATTERN) -> DataFrame:
-    """State (text) and year (int) read from each row's file name."""
+    """State (text) and year (int) read from each row's file name; NULL if it has none."""
     path = F.col("_metadata.file_path")
     return df.withColumns({
-        "state": F.regexp_extract(path, pattern, 1),
+        "state": F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")),
         "year": typed(F.regexp_extract(path, pattern, 2), "int"),
     })
 
@@ -115,9 +132,11 @@ def combine(tables: Sequence[DataFrame]) -> DataFrame:
 def anchors(pages: DataFrame, id: str, html: str, first: int | None = None, length: int | None = None) -> DataFrame:
     """Texts of the links of each page, in order, with their position.
 
-    ``first`` and ``length`` take a positional slice of the list, counted from 1.
+    Tags inside a link are taken out of its text. ``first`` and ``length`` take a positional
+    slice of the list, counted from 1.
     """
-    texts = F.regexp_extract_all(F.col(html), F.lit("<a [^>]*>([^<]*)</a>"), F.lit(1))
+    inner = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1))
+    texts = F.transform(inner, lambda t: F.regexp_replace(t, "(?s)<[^>]*>", ""))
     if first is not None:
         texts = F.slice(texts, F.lit(first), F.lit(length))
     return pages.select(id, F.posexplode(texts).alias("pos", "text")).select(

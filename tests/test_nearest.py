@@ -67,6 +67,44 @@ def test_a_stray_point_does_not_merge_the_others(spark):
     np.testing.assert_array_equal(got["nid"].to_numpy(), want["nid"].to_numpy())
 
 
+def exact_distance(ax, ay, bx, by):
+    near = np.sqrt((ax - bx) ** 2 + (ay - by) ** 2)
+    far = 2.0 * np.hypot(ax * 0.5 - bx * 0.5, ay * 0.5 - by * 0.5)
+    return np.where((near > 1e-150) & (near < 1e150), near, far)
+
+
+def expected_ids(pdf, k):
+    rows = []
+    for w, g in pdf.groupby("w"):
+        ids, x, y = g["id"].to_numpy(), g["x"].to_numpy(), g["y"].to_numpy()
+        for i in range(len(g)):
+            with np.errstate(over="ignore", invalid="ignore"):
+                d = exact_distance(x[i], y[i], x, y)
+            others = ids != ids[i]
+            rows += [(w, ids[i], r + 1, ids[others][j]) for r, j in enumerate(np.lexsort((ids[others], d[others]))[:k])]
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("outliers", [[1e16], [1e200], [1e308, -1e308], [1e16, 1e200, 1e308, -1e308, 1e-300]])
+def test_far_outliers_cost_no_rows(spark, monkeypatch, outliers):
+    monkeypatch.setattr(nearest_module, "CROWDED_PLACES", 50)
+    pdf = clustered(600, 21)
+    for i, v in enumerate(outliers):
+        pdf.loc[i * 7, "x"] = v
+        pdf.loc[i * 7 + 3, ["x", "y"]] = [v, -v]
+    got = nearest(spark.createDataFrame(pdf), "id", "x", "y", ["w"], 4).collect()
+    assert sorted((r["w"], r["id"], r["rank"], r["nid"]) for r in got) == expected_ids(pdf, 4)
+
+
+def test_points_far_closer_than_the_grid(spark):
+    rng = np.random.default_rng(9)
+    n = 3000
+    pdf = pd.DataFrame({"w": 0, "id": np.arange(n), "x": rng.random(n) * 2.0**-50, "y": rng.random(n) * 2.0**-50})
+    pdf.loc[0, ["x", "y"]] = [1.0, 1.0]
+    got = nearest(spark.createDataFrame(pdf), "id", "x", "y", ["w"], 3).collect()
+    assert sorted((r["w"], r["id"], r["rank"], r["nid"]) for r in got) == expected_ids(pdf, 3)
+
+
 def test_some_points_search_among_all(spark):
     pdf = clustered(400, 3)
     df = spark.createDataFrame(pdf)
