@@ -60,20 +60,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _features(index: np.ndarray, lengths: np.ndarray, n_pos: int, prior: float, settings: TrainingSettings) -> np.ndarray:
-    """Which words are features, from their document counts in positives and unlabelled text."""
-    n_unl, n_words = len(lengths) - n_pos, int(index.max(initial=-1)) + 1
-    cut = lengths[:n_pos].sum()
-    k, m = np.bincount(index[:cut], minlength=n_words), np.bincount(index[cut:], minlength=n_words)
-    p, q = k / n_pos, m / n_unl
-    both = (k + m) / (n_pos + n_unl)
-    z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_pos + 1 / n_unl))
-    posterior = prior * p / np.maximum(q, 0.5 / n_unl)
-    return (k >= settings.least_documents) & (z >= settings.least_z) & (posterior >= settings.least_posterior)
-
-
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: TrainingSettings = TrainingSettings()) -> ToxicityModel:
-    """Linear classifier on word presence that minimises the non-negative PU risk.
+    """Linear classifier on the given word hashes that minimises the non-negative PU risk.
 
     Risk: prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]) with the logistic
     loss. When the corrected negative part is below zero, the step goes uphill on it (scaled by
@@ -86,12 +74,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     docs = positive + unlabelled
     lengths = np.array([len(d) for d in docs])
     flat = np.concatenate([np.asarray(d, np.int64) for d in docs]) if lengths.sum() else np.zeros(0, np.int64)
-    words, index = np.unique(flat, return_inverse=True)
-    frequent = _features(index, lengths, len(positive), prior, settings)
-    column = np.cumsum(frequent) - 1
-    row = np.repeat(np.arange(len(docs)), lengths)[frequent[index]]
-    col = column[index[frequent[index]]]
-    words, n_words, n_docs, n_pos = words[frequent], int(frequent.sum()), len(docs), len(positive)
+    words, col = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(docs)), lengths)
+    n_words, n_docs, n_pos = len(words), len(docs), len(positive)
     share = np.zeros(n_docs)
     share[:n_pos] = 1 / n_pos
     of_unlabelled = np.zeros(n_docs)
@@ -147,10 +132,32 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     chosen = stored(chosen.groupBy("id").agg(F.collect_set("kind").alias("kinds")), "sample")
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "kinds", _hashes(F.col("text")).alias("words"))
-    frame = rows.dropDuplicates(["id"]).toPandas().sort_values("id")
-    words = [np.asarray(w, np.int64) for w in frame["words"]]
-    of_kind = [[w for w, kinds in zip(words, frame["kinds"]) if kind in kinds] for kind in (1, 0)]
-    return fit_nnpu(*of_kind, min(max(prior, 1e-3), 0.999), settings)
+    rows = stored(rows.dropDuplicates(["id"]), "words")
+    sizes = rows.agg(*[F.count_if(F.array_contains("kinds", kind)) for kind in (1, 0)]).first()
+    prior = min(max(prior, 1e-3), 0.999)
+    words = rows.select("id", "kinds", F.explode("words").alias("word"))
+    features = _features(words, *sizes, prior, settings) if all(sizes) else words.select("word").limit(0)
+    held = words.join(F.broadcast(stored(features, "features")), "word").groupBy("id", "kinds").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    found = held.orderBy("id").collect()
+    of_kind = []
+    for kind, size in zip((1, 0), sizes):
+        own = [np.array(r["words"], np.int64) for r in found if kind in r["kinds"]]
+        of_kind.append(own + [np.zeros(0, np.int64)] * (size - len(own)))
+    return fit_nnpu(*of_kind, prior, settings)
+
+
+def _features(words: DataFrame, n_pos: int, n_unl: int, prior: float, settings: TrainingSettings) -> DataFrame:
+    """Words of the sampled documents that are features, from their counts in both samples.
+
+    Each needs ``least_documents`` positives to hold it, so there are at most a third as many as
+    the positives have words.
+    """
+    counts = words.groupBy("word").agg(*[F.count_if(F.array_contains("kinds", kind)).alias(name) for kind, name in ((1, "k"), (0, "m"))])
+    p, q = F.col("k") / n_pos, F.col("m") / n_unl
+    both = (F.col("k") + F.col("m")) / (n_pos + n_unl)
+    z = (p - q) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / n_pos + 1 / n_unl))
+    posterior = prior * p / F.greatest(q, F.lit(0.5 / n_unl))
+    return counts.where((F.col("k") >= settings.least_documents) & (z >= settings.least_z) & (posterior >= settings.least_posterior)).select("word")
 
 
 def score_column(text: Column, model: ToxicityModel) -> Column:
