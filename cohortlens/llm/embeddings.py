@@ -120,15 +120,19 @@ def _search(index: ProductIndex, queries: pd.DataFrame, members: pd.DataFrame, l
     """Links between the queries that probe a block of one list and the members of the block.
 
     Distances from code tables, less what a member's code is off by, never exceed the true ones;
-    members within the radius by that bound are compared exactly. Returns for each linked query
-    the number of vectors it links to, and links enough to connect what is connected.
+    members within the radius by that bound are compared exactly. Queries of the list itself come
+    in both roles; of two other lists only the lower one asks, so there a link counts for both
+    its ends. Returns the number of links found for each end, and links enough to connect what is
+    connected.
     """
     q, x = _units(queries["asked_vector"]), _units(members["vector"])
     own = int(members["list"].iloc[0])
     codes = np.stack([np.frombuffer(c, np.uint8) for c in members["code"]])
     off = members["off"].to_numpy()
     radius = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
-    weight = members["times"].to_numpy()
+    weight, q_weight = members["times"].to_numpy(), queries["asked_times"].to_numpy()
+    elsewhere = queries["asked_own"].to_numpy() != own
+    for_members = np.zeros(len(x), np.int64)
     q_id, x_id = queries["asked_node"].to_numpy(), members["node"].to_numpy()
     place = {n: i for i, n in enumerate(dict.fromkeys([*x_id.tolist(), *q_id.tolist()]))}
     forest, rows = _Forest(len(place)), []
@@ -142,9 +146,12 @@ def _search(index: ProductIndex, queries: pd.DataFrame, members: pd.DataFrame, l
         i, j = i[linked], j[linked]
         links = np.bincount(i, weights=weight[j], minlength=1).astype(np.int64)
         rows += [(q_id[s + k], None, int(links[k])) for k in np.flatnonzero(links)]
+        other = elsewhere[s + i]
+        for_members += np.bincount(j[other], weights=q_weight[s + i[other]], minlength=len(x)).astype(np.int64)
         for a, b in zip(q_id[s + i].tolist(), x_id[j].tolist()):
             if forest.join(place[a], place[b]):
                 rows.append((a, b, 0))
+    rows += [(x_id[k], None, int(for_members[k])) for k in np.flatnonzero(for_members)]
     return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"a": "int64", "b": "Int64", "links": "int64"})
 
 
@@ -213,7 +220,8 @@ def _links_of_width(nodes: DataFrame, n: int, least: float, settings: IndexSetti
                 own = _squared(units, index.centres).argmin(1)
                 codes = index.codes(units, own)
                 off = np.sqrt(((units - index.rebuilt(codes, own)) ** 2).sum(1))
-                probes = [np.flatnonzero(p).tolist() for p in index.probes(units, radius)]
+                probes = [np.flatnonzero(p[k:]).tolist() for p, k in zip(index.probes(units, radius), own)]
+                probes = [[k + i for i in row] for row, k in zip(probes, own.tolist())]
                 yield pd.DataFrame({
                     "node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "vector": part["vector"].to_numpy(),
                     "times": part["times"].to_numpy(), "list": own, "code": [c.tobytes() for c in codes], "off": off, "probes": probes,
@@ -225,7 +233,7 @@ def _links_of_width(nodes: DataFrame, n: int, least: float, settings: IndexSetti
     sizes = small_or_not(stored(sizes, "sizes"))
     spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = indexed.join(sizes, ["label", "list"]).withColumn("block", spread)
-    asked = indexed.select("node", "label", "vector", F.explode("probes").alias("list"))
+    asked = indexed.select("node", "label", "vector", "times", F.col("list").alias("own"), F.explode("probes").alias("list"))
     asked = asked.join(sizes, ["label", "list"]).withColumn("part", spread)
     # Every block of members meets every part of the queries in a task of its own.
     members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -237,7 +245,7 @@ def _links_of_width(nodes: DataFrame, n: int, least: float, settings: IndexSetti
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "links": pd.Series(dtype="int64")})
         return _search(shared.value, queries, blocks, least)
 
-    named = asked.select(*[F.col(c).alias(f"asked_{c}") for c in (*group, "node", "vector")])
+    named = asked.select(*[F.col(c).alias(f"asked_{c}") for c in (*group, "node", "vector", "times", "own")])
     left = named.groupBy(*[f"asked_{c}" for c in group])
     right = members.select(*group, "node", "vector", "times", "code", "off").groupBy(*group)
     return left.cogroup(right).applyInPandas(search, "a long, b long, links long")
