@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from cohortlens.llm.common import tokenizer_bytes
 
 #: Distinct words whose ids a worker remembers; later words are encoded each time they occur.
-_REMEMBERED = 600_000
+_REMEMBERED = 1_200_000
 #: A separate token of one id between words that are encoded together.
 _MARK = "\x01"
 
@@ -26,7 +26,7 @@ class WordEncoder:
     """Ids of texts for a tokenizer that drops white space and never joins across it.
 
     The library encodes each distinct word once per chunk of texts at most; the ids of a text
-    are those of its words in order. White space here is the ASCII kind, so words may still hold
+    are those of its words in order, kept as little-endian bytes. White space here is the ASCII kind, so words may still hold
     other spaces, which the library treats as in the whole text.
     """
 
@@ -34,43 +34,38 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._library = Tokenizer.from_str(definition.decode("utf-8"))
         self._mark = self._library.encode(_MARK, add_special_tokens=False).ids
-        self._slots: dict[bytes, np.ndarray] = {}
+        self._known: dict[bytes, bytes] = {}
 
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         plain = [w for w in words if _MARK.encode() not in w]
         joined = f" {_MARK} "
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         texts = [joined.join(w.decode("utf-8", "surrogatepass") for w in g) for g in groups]
-        found: dict[bytes, np.ndarray] = {}
+        found: dict[bytes, bytes] = {}
         for group, encoding in zip(groups, self._library.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(encoding.ids, np.uint32)
+            ids = np.array(encoding.ids, "<u4")
             ends = np.flatnonzero(ids == self._mark[0])
             if len(self._mark) != 1 or len(ends) != len(group) - 1:
                 found.update((w, self._alone(w)) for w in group)
                 continue
-            starts = [0, *(ends + 1).tolist()]
-            for word, start, end in zip(group, starts, [*ends.tolist(), len(ids)]):
-                found[word] = ids[start:end]
+            data, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+            for word, start, end in zip(group, starts, [*(4 * ends).tolist(), len(data)]):
+                found[word] = data[start:end]
         found.update((w, self._alone(w)) for w in words if _MARK.encode() in w)
         return found
 
-    def _alone(self, word: bytes) -> np.ndarray:
-        return np.array(self._library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32)
+    def _alone(self, word: bytes) -> bytes:
+        return np.array(self._library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        slots = self._slots
+        known = self._known
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        unknown = [w for w in set().union(*split) if w not in slots]
-        new = self._encode_words(unknown)
-        if len(slots) < _REMEMBERED:
-            for word in unknown[: _REMEMBERED - len(slots)]:
-                slots[word] = new[word].copy()
-        get = slots.get
-        empty = np.zeros(0, np.uint32)
-        result = []
-        for words in split:
-            parts = [ids if (ids := get(w)) is not None else new[w] for w in words]
-            result.append(np.concatenate(parts) if parts else empty)
+        unknown = [w for w in set().union(*split) if w not in known]
+        room = max(0, _REMEMBERED - len(known))
+        known.update(self._encode_words(unknown))
+        result = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        for word in unknown[room:]:
+            del known[word]
         return result
 
 
