@@ -219,7 +219,7 @@ def logistic_score_equations(spark, sf_dir):
     packed = packed.select("label", F.col("scaled").alias("features"))
     model = models.fit(packed, models.logistic_regression().setMaxIter(500).setTol(1e-10))
     names = [*DOCUMENT_FEATURES, "intercept"]
-    gap = vector_to_array(model.transform(packed)["probability"])[1] - F.col("label")
+    gap = vector_to_array("probability")[1] - F.col("label")
     values = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
     scored = model.transform(packed).select(gap.alias("gap"), values.alias("x"))
     means = scored.agg(*[F.abs(F.avg(F.col("gap") * F.col("x")[i])).alias(n) for i, n in enumerate(names)])
@@ -269,7 +269,7 @@ def forest_score_ranges(spark, sf_dir):
 
 @query(
     "M12 M14 M16 A17",
-    "select unnest([0.0, 0.01, 0.1]) as regParam, true as in_range, 1 as winners",
+    "select unnest(cast([0.0, 0.01, 0.1] as double[])) as regParam, true as in_range, 1 as winners",
 )
 def grid_search_winner(spark, sf_dir):
     """A grid lists each setting once, scores in 0 to 1; the best setting has the highest score."""
