@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes as written, that may be sent to every task.
 BROADCAST_BYTES = 32 << 20
+#: Rows that go to a Python worker at once; texts are long, so the usual 10,000 take much memory.
+BATCH_ROWS = 1000
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and keep batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

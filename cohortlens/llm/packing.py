@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from cohortlens.llm.common import tokenizer_bytes
 
 #: Distinct words whose ids a worker remembers; later words are encoded each time they occur.
-_REMEMBERED = 1_200_000
+_REMEMBERED = 500_000
 #: A separate token of one id between words that are encoded together.
 _MARK = "\x01"
 

@@ -55,7 +55,7 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
 
 @cache
 def _code() -> tuple[np.ndarray, np.ndarray]:
-    """Codeword for each index, and the error pattern for each syndrome."""
+    """Syndrome of each 23-bit word, and the error pattern of each syndrome."""
 
     def remainder(x: np.ndarray) -> np.ndarray:
         for bit in range(22, 10, -1):
@@ -69,7 +69,8 @@ def _code() -> tuple[np.ndarray, np.ndarray]:
     patterns = np.array(patterns, np.int64)
     errors = np.zeros(2048, np.int64)
     errors[remainder(patterns)] = patterns
-    syndromes = remainder(np.arange(1 << 23, dtype=np.int64)).astype(np.int16)
+    step = 1 << 16
+    syndromes = np.concatenate([remainder(np.arange(i, i + step)).astype(np.int16) for i in range(0, 1 << 23, step)])
     return syndromes, errors
 
 

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from cohortlens.llm.common import tokenizer_bytes
 
 #: Pre-tokens whose count a worker remembers; later ones are counted once per slice of texts.
-_REMEMBERED = 600_000
+_REMEMBERED = 500_000
 _SLICE = 1000
 #: A run of white space keeps its last character back if text follows; a space joins that text.
 _UNITS = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
