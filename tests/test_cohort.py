@@ -75,7 +75,7 @@ class FakeSession:
     def __init__(self, master, configured=None):
         self.master, self.folder = master, None
         self.conf = {"spark.checkpoint.dir": configured} if configured else {}
-        self.sparkContext = self
+        self.sparkContext, self.applicationId = self, f"app-{id(self)}"
 
     def getCheckpointDir(self):
         return self.folder
@@ -91,6 +91,7 @@ def test_shared_folder_comes_from_the_session():
     local = FakeSession("local[2]")
     first = scale.shared_folder(local)
     assert first and scale.shared_folder(local) == first
+    assert local.folder is None  # the session's own setting stays as it is
 
 
 def test_materialised_table_is_pruned_by_partition(spark):
