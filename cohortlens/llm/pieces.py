@@ -17,6 +17,8 @@ _SPACE = "▁"
 _NEVER = np.iinfo(np.int32).max
 #: Characters of text that are encoded together.
 _CHUNK = 4_000_000
+#: Distinct words whose ids a worker remembers; later ones are merged once per chunk of texts.
+_REMEMBERED = 500_000
 
 
 class PieceTable:
@@ -60,7 +62,8 @@ class PieceTable:
         self.bytes_length = np.array([len(t) for t in text], np.int64)
         self.bytes_start = np.cumsum(self.bytes_length) - self.bytes_length
         self.bytes_pool = np.frombuffer(b"".join(text), np.uint8)
-        self._run_ids: dict[int, list[int]] = {}
+        self._run_ids: dict[int, bytes] = {}
+        self._known: dict[str, bytes] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair, or never, and the piece that it becomes."""
@@ -112,8 +115,9 @@ class PieceTable:
             rank[place] = _NEVER
             at = np.cumsum(keep)[place] - 1
             symbol, word, rank, merged = symbol[keep], word[keep], rank[keep], merged[keep]
-            around = np.unique(np.concatenate([at, at - 1]))
-            around = around[(around >= 0) & (around < len(symbol))]
+            touched = np.zeros(len(symbol) + 1, bool)
+            touched[at], touched[at - 1] = True, True  # -1 is the spare last place
+            around = np.flatnonzero(touched[:-1])
             rank[around] = _NEVER
             around = around[around < len(symbol) - 1]
             around = around[word[around] == word[around + 1]]
@@ -136,7 +140,7 @@ class PieceTable:
             of += [w] * len(spelt)
         return np.array(ids, np.int64), np.bincount(of, minlength=len(counts))
 
-    def _run(self, n: int) -> list[int]:
+    def _run(self, n: int) -> bytes:
         """Ids of n spaces alone: equal scores merge from the left."""
         if n not in self._run_ids:
             sizes, i = [1] * n, 0
@@ -148,51 +152,48 @@ class PieceTable:
                     i += 1
             if len(self._run_ids) > 1000:
                 self._run_ids.clear()
-            self._run_ids[n] = [self.runs[s] for s in sizes]
+            self._run_ids[n] = np.array([self.runs[s] for s in sizes], "<u4").tobytes()
         return self._run_ids[n]
 
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words with a space in front, as little-endian bytes."""
+        ids, counts = self._spelt(*self.merge_words([_SPACE + w for w in words]))
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return {w: data[start:end] for w, start, end in zip(words, [0, *ends], ends)}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text between the begin and the end id."""
+        known = self._known
         units = [t.replace(_SPACE, " ").split(" ") if t else [] for t in texts]
-        distinct = dict.fromkeys(w for words in units for w in words)
-        slot = dict(zip(distinct, range(len(distinct))))
-        symbols, counts = self.merge_words([_SPACE + w for w in distinct])
-        ids, counts = self._spelt(symbols, counts)
-        starts = np.cumsum(counts) - counts
+        unknown = [w for w in set().union(*units) if w not in known]
+        room = max(0, _REMEMBERED - len(known))
+        known.update(self._word_ids(unknown))
+        begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
         result = []
         for words in units:
-            if not words:
-                result.append(np.array([self.begin, self.end], np.uint32))
-                continue
-            at = np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
-            if "" in words:
-                result.append(self._with_runs(words, at, ids, starts, counts))
-                continue
-            lengths = counts[at]
-            ends = np.cumsum(lengths)
-            flat = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - lengths), lengths)
-            out = np.empty(ends[-1] + 2, np.uint32)
-            out[0], out[-1] = self.begin, self.end
-            out[1:-1] = ids[flat]
-            result.append(out)
+            inner = self._with_runs(words) if "" in words else b"".join(map(known.__getitem__, words))
+            result.append(np.frombuffer(begin + inner + end, "<u4"))
+        for word in unknown[room:]:
+            del known[word]
         return result
 
-    def _with_runs(self, words: list[str], at: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """As above for a text with several spaces in a row; an empty word is one more space."""
-        out, spaces = [self.begin], 0
-        for w, k in zip(words, at.tolist()):
+    def _with_runs(self, words: list[str]) -> bytes:
+        """Ids of a text with several spaces in a row; an empty word is one more space."""
+        out, spaces, space = [], 0, np.array([self.space], "<u4").tobytes()
+        for w in words:
             spaces += 1
             if w:
-                own = ids[starts[k] : starts[k] + counts[k]].tolist()
-                if own[0] == self.space:
-                    own = own[1:]
-                else:
-                    spaces -= 1
-                out += self._run(spaces) if spaces else []
-                out += own
+                own = self._known[w]
+                if own.startswith(space):
+                    out.append(self._run(spaces))
+                    own = own[len(space) :]
+                elif spaces > 1:
+                    out.append(self._run(spaces - 1))
+                out.append(own)
                 spaces = 0
-        out += self._run(spaces) if spaces else []
-        return np.array([*out, self.end], np.uint32)
+        if spaces:
+            out.append(self._run(spaces))
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of one id sequence; the space that encoding puts in front goes."""
