@@ -25,6 +25,18 @@ from cohortlens.operators.scale import materialise
 PENALTIES = tuple(round(0.0005 + 0.002 * i, 4) for i in range(25))
 
 
+#: Grids of the published stage-wise tuning (fixed values): rate, rounds, depth and leaf size, gain,
+#: row and column share; then both shares again in steps of a hundredth.
+FULL_STAGES = (
+    {"stepSize": [round(0.01 * i, 2) for i in range(1, 61)]},
+    {"maxIter": list(range(100, 2001, 100))},
+    {"maxDepth": list(range(3, 10)), "minInstancesPerNode": [1, 3, 5]},
+    {"minInfoGain": [*[round(0.1 * i, 1) for i in range(16)], 2.0]},
+    {"subsamplingRate": [0.6, 0.7, 0.8, 0.9, 1.0], "featureSubsetStrategy": [0.6, 0.7, 0.8, 0.9, 1.0]},
+)
+FULL_REFINE = {n: [-0.02, -0.01, 0.0, 0.01, 0.02] for n in ("subsamplingRate", "featureSubsetStrategy")}
+
+
 def _auc(label: str) -> BinaryClassificationEvaluator:
     # Ranked by probability: naive Bayes keeps unnormalised likelihoods in its raw column.
     return BinaryClassificationEvaluator(
@@ -109,9 +121,9 @@ def best_key(scores: DataFrame, key: str, score: str) -> DataFrame:
 def staged_tune(
     df: DataFrame,
     estimator: Estimator,
-    stages: Sequence[Mapping[str, Sequence]],
+    stages: Sequence[Mapping[str, Sequence]] = FULL_STAGES,
     *,
-    refine: Mapping[str, Sequence[float]] | None = None,
+    refine: Mapping[str, Sequence[float]] | None = FULL_REFINE,
     **options,
 ) -> tuple[dict, list[dict]]:
     """Tune group after group of parameters, keeping the best values found so far.
@@ -129,7 +141,10 @@ def staged_tune(
             grid = {
                 n: sorted({round(min(max(float(chosen[n]) + d, 0.01), 1.0), 6) for d in offsets})
                 for n, offsets in grid.items()
+                if n in chosen
             }
+            if not grid:
+                break
         typed = {n: [_as_param(estimator, n, v) for v in values] for n, values in grid.items()}
         fixed = {n: [_as_param(estimator, n, v)] for n, v in chosen.items() if n not in grid}
         best = best_setting(grid_search(df, estimator, {**fixed, **typed}, **options))
