@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
@@ -15,6 +16,19 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Rows that go to a Python worker at once; texts are long, so the usual 10,000 take much memory.
 BATCH_ROWS = 1000
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold_memory(owner: str, release: Callable[[], object] | None = None) -> None:
+    """Note in a Python worker that it works for ``owner`` now; what it remembers for others goes.
+
+    Workers are used again by later stages, so tables of one operator would stay beside those of
+    the next.
+    """
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    if release is not None:
+        _HELD[owner] = release
 
 
 def ship_package(spark: SparkSession) -> None:

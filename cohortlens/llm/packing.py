@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm.common import tokenizer_bytes
+from cohortlens.llm.common import hold_memory, tokenizer_bytes
 
 #: Distinct words whose ids a worker remembers; later words are encoded each time they occur.
 _REMEMBERED = 500_000
@@ -251,6 +251,7 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     source = docs.select(F.col(f"`{id_column}`").cast("string").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold_memory("packing", word_encoder.cache_clear)
         encode = word_encoder(definition)
         packer = _Packer(capacity, windows, spare, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], np.uint32)

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from cohortlens.llm.common import tokenizer_bytes
+from cohortlens.llm.common import hold_memory, tokenizer_bytes
 
 _SPACE = "▁"
 _NEVER = np.iinfo(np.int32).max
@@ -273,6 +273,7 @@ def encode_column(text: Column, model: str = "piece_bpe_32k.model") -> Column:
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
+        hold_memory("pieces", piece_table.cache_clear)
         pieces = piece_table(definition)
         rows = [t if isinstance(t, str) else "" for t in texts]
         return pd.Series([x.astype("<u4").tobytes() for chunk in _chunks(rows) for x in pieces.encode(chunk)], dtype=object)
@@ -286,6 +287,7 @@ def decode_column(ids: Column, model: str = "piece_bpe_32k.model") -> Column:
 
     @F.pandas_udf("string")
     def decode(rows: pd.Series) -> pd.Series:
+        hold_memory("pieces", piece_table.cache_clear)
         pieces = piece_table(definition)
         return pd.Series([pieces.decode(np.frombuffer(x or b"", "<u4")) for x in rows], dtype=object)
 

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import hold_memory
+
 _SPACES = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
 
@@ -99,6 +101,7 @@ def quality_columns(docs: DataFrame, text: str = "text", bands: Bands = Bands(),
     """
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold_memory("quality")
         compressor = zstandard.ZstdCompressor(level=bands.level)
         for texts in batches:
             rows = []

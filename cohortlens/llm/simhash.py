@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import hold_memory, stored
 from cohortlens.llm.links import components
 
 #: The 64 bits are cut into three segments; each is padded with zeros to the 23 bits of the code.
@@ -47,6 +47,7 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
 
     @F.pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:
+        hold_memory("simhash", _code.cache_clear)
         values = [fingerprint(t if isinstance(t, str) else None, shingle) for t in texts]
         return pd.Series(np.array(values, np.uint64).view(np.int64))
 
@@ -111,6 +112,7 @@ def bucket_keys(values: np.ndarray) -> list[np.ndarray]:
 def _keys(fp: Column) -> Column:
     @F.pandas_udf("array<long>")
     def keys(fingerprints: pd.Series) -> pd.Series:
+        hold_memory("simhash", _code.cache_clear)
         return pd.Series(bucket_keys(fingerprints.to_numpy(np.int64).view(np.uint64)), dtype=object)
 
     return keys(fp)

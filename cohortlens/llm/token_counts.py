@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from cohortlens.llm.common import tokenizer_bytes
+from cohortlens.llm.common import hold_memory, tokenizer_bytes
 
 #: Pre-tokens whose count a worker remembers; later ones are counted once per slice of texts.
 _REMEMBERED = 500_000
@@ -93,6 +93,7 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = "byte_bpe
     definition = tokenizer_bytes(tokenizer)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold_memory("token_counts", piece_counter.cache_clear)
         counter = piece_counter(tokenizer, definition)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]

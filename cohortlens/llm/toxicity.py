@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from cohortlens.llm.common import id_remainder, stored
+from cohortlens.llm.common import hold_memory, id_remainder, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -104,6 +104,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 def _hashes(text: Column) -> Column:
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
+        hold_memory("toxicity")
         return pd.Series([sorted(word_hashes(t if isinstance(t, str) else None)) for t in texts], dtype=object)
 
     return hashes(text)
@@ -166,6 +167,7 @@ def score_column(text: Column, model: ToxicityModel) -> Column:
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
+        hold_memory("toxicity")
         return pd.Series([shared.score(t if isinstance(t, str) else None) for t in texts], dtype=float)
 
     return scores(text)
