@@ -17,7 +17,9 @@ from tokenizers import Tokenizer
 from cohortlens.llm.common import hold_memory, tokenizer_bytes
 
 #: Distinct words whose ids a worker remembers; later words are encoded each time they occur.
-_REMEMBERED = 500_000
+_REMEMBERED = 400_000
+#: Words that go to the library at once, which bounds the memory of its results.
+_AT_ONCE = 8192
 #: A separate token of one id between words that are encoded together.
 _MARK = "\x01"
 
@@ -62,7 +64,8 @@ class WordEncoder:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         unknown = [w for w in set().union(*split) if w not in known]
         room = max(0, _REMEMBERED - len(known))
-        known.update(self._encode_words(unknown))
+        for i in range(0, len(unknown), _AT_ONCE):
+            known.update(self._encode_words(unknown[i : i + _AT_ONCE]))
         result = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
         for word in unknown[room:]:
             del known[word]
@@ -262,8 +265,8 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             names = [d if isinstance(d, str) else None for d in batch["doc_id"]]
-            for i in range(0, len(texts), 500):
-                for doc_id, tokens in zip(names[i : i + 500], encode(texts[i : i + 500])):
+            for i in range(0, len(texts), 250):
+                for doc_id, tokens in zip(names[i : i + 250], encode(texts[i : i + 250])):
                     packer.add(doc_id, np.concatenate([tokens, end]))
                 for rows in packer.groups():
                     yield frame(rows)
