@@ -225,8 +225,9 @@ def main_text(source: str | None, template: dict[int, float] | None = None, sett
 def host_templates(pages: DataFrame, settings: TemplateSettings = TemplateSettings()) -> DataFrame:
     """``host``, ``template``: tokens of the valid classes of each host with their mean places.
 
-    ``pages`` has columns ``host`` and ``html``. The occurrence vector of a token (its count in
-    each page of the host) is summarised by sums of hashes of (page, count), which combine before
+    ``pages`` has columns ``host`` and ``html``. Copies of a page on a host count once: they are
+    reduced to one row before they are cut into tokens. The occurrence vector of a token (its count
+    in each different page of the host) is summarised by sums of hashes of (page, count), which combine before
     the shuffle, so a host with a third of all pages is a few rows per task. Tokens with equal
     summaries form a class. A token that is in nearly all pages of a host can only be one of those
     on an average page, so a template is bounded by the size of a page.
@@ -243,7 +244,7 @@ def host_templates(pages: DataFrame, settings: TemplateSettings = TemplateSettin
                 ]
                 yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "place"])
 
-    keyed = pages.select("host", F.xxhash64("html").alias("page"), "html")
+    keyed = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.first("html").alias("html"))
     found = keyed.mapInPandas(tokens, "host string, page long, token long, n int, place int")
     vectors = found.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"),
@@ -251,10 +252,9 @@ def host_templates(pages: DataFrame, settings: TemplateSettings = TemplateSettin
         F.sum(F.pmod(F.xxhash64("n", "page"), F.lit(1 << 36))).alias("mark2"),
         F.avg("place").alias("place"),
     )
-    hosts = keyed.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies"))
-    hosts = hosts.groupBy("host").agg(F.sum("copies").alias("of"), F.count(F.lit(1)).alias("different"))
+    hosts = pages.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("different"))
     hosts = small_or_not(stored(hosts.where(F.col("different") >= settings.least_pages), "hosts"))
-    frequent = vectors.join(hosts, "host").where(F.col("pages") >= settings.share * F.col("of"))
+    frequent = vectors.join(hosts, "host").where(F.col("pages") >= settings.share * F.col("different"))
     classes = frequent.groupBy("host", "pages", "mark", "mark2").agg(F.collect_list(F.struct("token", "place")).alias("tokens"))
     valid = classes.where(F.size("tokens") >= settings.least_tokens)
     return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))

@@ -319,6 +319,17 @@ def test_template_words_are_no_content(spark):
     assert extract_main_text(pages, settings=TemplateSettings(least_pages=100)).where("page_id = 0").first()["text"].startswith("Welcome")
 
 
+def test_copies_of_a_page_count_once(spark):
+    ship_package(spark)
+    page = lambda i: f"<div><div>Welcome to our site</div><p>Story{i} a{i} b{i}</p><p>c{i} d{i}</p><div>Tell your friends now</div></div>"
+    story = lambda i: f"Story{i} a{i} b{i}\n\nc{i} d{i}"
+    # One page a thousand times beside ten others; copies of a page without the template beside 40 pages with it.
+    rows = [("http://a.org/x", page(0), story(0))] * 1000 + [("http://a.org/x", page(i), story(i)) for i in range(1, 11)]
+    rows += [("http://b.org/x", "<p>Plain page</p>", "Plain page")] * 50 + [("http://b.org/x", page(i), story(i)) for i in range(40)]
+    got = extract_main_text(spark.createDataFrame(rows, "url string, html string, expected string"))
+    assert got.count() == len(rows) and got.where("text <> expected").count() == 0
+
+
 def test_articles_of_the_test_pages(spark):
     rows = QUERIES["op1_template_extraction"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
