@@ -50,6 +50,12 @@ _NOT_ARTICLE = frozenset(
 )
 #: Such words that only count outside the article.
 _PAGE_HEADER = frozenset({"header"})
+#: Elements that no such word drops: on them it tells about the page (has-sidebar, comments-open).
+_WRAPPERS = frozenset("html body main article".split())
+#: Such words that name lists of other articles (readers' comments, teasers) and their entries.
+_OTHER_ARTICLES = frozenset("comment comments commentlist respond reply replies discussion related recommended recommendations".split())
+#: Class names that tell a state of an article, not what it is.
+_STATE = re.compile(r"\b(?:has|no|with|without)-[\w-]+|\b[\w-]+-(?:open|closed|enabled|disabled|on|off)\b", re.I)
 
 
 @dataclass(frozen=True)
@@ -90,7 +96,7 @@ class _Page:
     def __init__(self, source: str) -> None:
         self.blocks: list[Block] = []
         self.paths: list[str] = []
-        self._open: list[tuple[str, str, bool, bool]] = []  # name, path, in article, dropped
+        self._open: list[tuple[str, str, bool, bool, frozenset[str] | None]] = []  # name, path, in article, dropped, by which words (None: not by words alone)
         self._text: list[str] = []
         self._read(source)
 
@@ -98,7 +104,7 @@ class _Page:
         words = entities.unescape("".join(self._text)).split()
         self._text = []
         if words:
-            _, path, inside, dropped = self._open[-1] if self._open else ("", "", False, False)
+            _, path, inside, dropped, _ = self._open[-1] if self._open else ("", "", False, False, frozenset())
             self.blocks.append(Block(path, words, inside, dropped))
 
     def _start(self, name: str, rest: str) -> None:
@@ -108,16 +114,20 @@ class _Page:
             while self._open and name in _CLOSED_BY.get(self._open[-1][0], ()):
                 self._open.pop()
         label, parts = _names(rest) if "=" in rest else ("", set())
-        _, path, inside, dropped = self._open[-1] if self._open else ("", "", False, False)
-        own_drop = name in _NO_TEXT or bool(parts & _NOT_ARTICLE) or bool(rest and _HIDDEN.search(rest))
-        if not inside and (name == "header" or parts & _PAGE_HEADER):
-            own_drop = True
+        _, path, inside, dropped, by = self._open[-1] if self._open else ("", "", False, False, frozenset())
+        fixed = name in _NO_TEXT or bool(rest and _HIDDEN.search(rest)) or name == "header" and not inside
+        words = parts & (_NOT_ARTICLE if inside else _NOT_ARTICLE | _PAGE_HEADER) if name not in _WRAPPERS else set()
+        own_drop = fixed or bool(words)
         if name in _VOID or not (block or own_drop):
             return
         article = name in ("article", "main") or "main" in parts and "role=" in rest
+        if name in ("article", "main") and dropped and by is not None and not (by & _OTHER_ARTICLES and _names(_STATE.sub("", rest))[1] & _OTHER_ARTICLES):
+            dropped, by = False, frozenset()
         path = f"{path}/{name}{label}"
         self.paths.append(path)
-        self._open.append((name, path, inside or article and not (dropped or own_drop), dropped or own_drop))
+        by = None if fixed or by is None else by | words
+        dropped = dropped or own_drop
+        self._open.append((name, path, inside or article and not dropped, dropped, by))
 
     def _end(self, name: str) -> None:
         for i in range(len(self._open) - 1, -1, -1):
@@ -266,7 +276,9 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", se
     Templates are deduced from all pages of a host, then each page is read on its own. Hosts with
     few different pages, and pages without a host, have no template; there and everywhere,
     elements that HTML or their names mark as no article are left out, and if a page has an
-    article element, only what stands in it is text. Blocks are joined by an empty line, white
+    article element, only what stands in it is text. A class word never drops html, body, main or
+    article, and an article or main inside an element that only a class word drops is kept, unless
+    both are named as comments or related articles (a list and its entry). Blocks are joined by an empty line, white
     space inside them is one space. Null and empty html give the empty text; all rows and columns
     stay; copies of a page get equal texts and do not make its article a template by themselves;
     an empty table stays empty; a column called ``name`` is replaced. Templates are broadcast if

@@ -287,6 +287,24 @@ def test_article_is_what_remains():
     assert main_text(page) == "Big title\n\nOne & two three\n\nOpen.\n\nNext <3"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='no-search'><body class='home has-sidebar header-fixed'><p>Text</p></body></html>",
+        "<body><article class='post comments-open'><p>Text</p></article><div class='sidebar'>Side</div></body>",
+        "<body><main class='search'><p>Text</p></main></body>",
+        "<body><div class='no-nav content'><p>Around</p><article><p>Text</p></article><p>After</p></div></body>",
+        "<main><div class='with-sidebar'><div class='no-banner'><article><p>Text</p><div class='share'>Share</div></article></div></div></main>",
+        "<article><p>Text</p><section id='comments'><article class='comment'><p>First!</p></article></section></article>",
+        "<article><p>Text</p></article><div class='related'><article class='related-item'><p>Other</p></article></div><aside><article><p>Side</p></article></aside>",
+        "<div class='layout comments-open'><article class='post comments-open'><p>Text</p></article></div>",
+        "<div class='popup' hidden><article><p>Hidden</p></article></div><p>Text</p>",
+    ],
+)
+def test_class_words_on_wrappers_keep_the_article(page):
+    assert main_text(page) == "Text"
+
+
 @pytest.mark.parametrize("source", [None, "", "   ", "<", "<p", "a < b", "<p a='x>y", "<!-- x", "<script>x", "</p></div>", "<a>" * 500, "&#x41;&bogus;"])
 def test_broken_pages_do_not_crash(source):
     assert isinstance(main_text(source), str)
