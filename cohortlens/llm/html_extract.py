@@ -233,7 +233,9 @@ def main_text(source: str | None, template: dict[int, float] | None = None, sett
 
 
 def host_templates(pages: DataFrame, settings: TemplateSettings = TemplateSettings()) -> DataFrame:
-    """``host``, ``template``: tokens of the valid classes of each host with their mean places.
+    """``host``, ``template``: tokens of the large, frequent classes of each host with their mean places.
+
+    Classes are neither checked for order and overlap nor nested; optional parts have no template.
 
     ``pages`` has columns ``host`` and ``html``. Copies of a page on a host count once: they are
     reduced to one row before they are cut into tokens. The occurrence vector of a token (its count
