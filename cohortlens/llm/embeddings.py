@@ -169,8 +169,8 @@ def cosine_links(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     or hold a null or non-finite component link with nothing. Rows with equal label and vector are
     one node with a number of copies; copies link with each other and are never paired up. Nodes
     are indexed all; each is a query against all lists that its radius reaches, so no link is
-    lost. A long list is cut into blocks of members, and the queries of a block into as many
-    parts, so no task grows with a list. Repeated rows and ids count as rows of their own; a
+    lost. A long list is cut into blocks of members, and the queries that probe it into
+    parts by their own number, so no task grows with a list or with those who probe it. Repeated rows and ids count as rows of their own; a
     component's id is its smallest id; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
@@ -229,14 +229,17 @@ def _links_of_width(nodes: DataFrame, n: int, least: float, settings: IndexSetti
 
     narrow = nodes.select("node", F.col("key.label").cast("string").alias("label"), "key.vector", "times")
     indexed = stored(narrow.mapInPandas(index_rows, "node long, label string, vector array<double>, times long, list int, code binary, off double, probes array<int>"), "index")
-    sizes = indexed.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))
-    sizes = small_or_not(stored(sizes, "sizes"))
-    spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = indexed.join(sizes, ["label", "list"]).withColumn("block", spread)
+    cuts = F.ceil(F.count(F.lit(1)) / settings.block).cast("int")
+    sizes = indexed.groupBy("label", "list").agg(cuts.alias("blocks"))
+    askers = indexed.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(cuts.alias("parts"))
+    # Every node asks in its own list, so a list with members has parts.
+    sizes = small_or_not(stored(sizes.join(askers, ["label", "list"]), "sizes"))
+    spread = lambda pieces: F.pmod(F.xxhash64("node"), F.col(pieces)).cast("int")
+    members = indexed.join(sizes, ["label", "list"]).withColumn("block", spread("blocks"))
     asked = indexed.select("node", "label", "vector", "times", F.col("list").alias("own"), F.explode("probes").alias("list"))
-    asked = asked.join(sizes, ["label", "list"]).withColumn("part", spread)
+    asked = asked.join(sizes, ["label", "list"]).withColumn("part", spread("parts"))
     # Every block of members meets every part of the queries in a task of its own.
-    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["label", "list", "block", "part"]
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortlens.llm import simhash
+from cohortlens.llm import embeddings, simhash
 from cohortlens.llm.common import ship_package
 from cohortlens.llm.embeddings import IndexSettings, ProductIndex, cosine_links
 from cohortlens.llm.html_extract import TemplateSettings, extract_main_text, main_text
@@ -178,6 +178,25 @@ def test_cosine_links_equal_brute_force(spark, block):
         assert (r["n_links"], r["component_id"]) == (sum(i in pair for pair in linked), groups[i])
 
 
+def test_queries_of_a_short_list_are_cut_by_their_own_number(spark, monkeypatch):
+    ship_package(spark)
+    rng = np.random.default_rng(7)
+    frame = spark.createDataFrame([(i, ([1.0, 0, 0, 0] + rng.normal(size=4) * 0.1).tolist(), 0) for i in range(1500)], "vec_id long, embedding array<double>, label int")
+    search = embeddings._search
+
+    def bounded(index, queries, members, least):
+        assert len(queries) <= 128 and len(members) <= 128, (len(queries), len(members))
+        return search(index, queries, members, least)
+
+    monkeypatch.setattr(embeddings, "_search", bounded)
+    got = cosine_links(frame, settings=IndexSettings(least_lists=64, subspaces=2, codewords=8, block=64)).collect()
+    rows = frame.collect()
+    units = np.array([r["embedding"] for r in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    links = (units @ units.T >= 0.98).sum(1) - 1
+    assert {r["id"]: r["n_links"] for r in got} == {r["vec_id"]: k for r, k in zip(rows, links.tolist())}
+
+
 def test_probes_reach_every_list_within_the_radius():
     rng = np.random.default_rng(6)
     units = rng.normal(size=(400, 8))
