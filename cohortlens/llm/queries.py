@@ -12,9 +12,12 @@ from cohortlens.llm import language
 from cohortlens.llm.common import ship_package, table
 from cohortlens.llm.embeddings import cosine_links
 from cohortlens.llm.html_extract import extract_main_text
-from cohortlens.llm.oracles import COSINE_LINKS_SQL, URL_RULES, url_filter_sql
+from cohortlens.llm.oracles import COSINE_LINKS_SQL, PREFIX_TRIE_SQL, RING_SHARDS_SQL, URL_RULES, url_filter_sql
+from cohortlens.llm.periodic_runs import run_columns
 from cohortlens.llm.pieces import decode_column, encode_column
+from cohortlens.llm.prefix_trie import conversation_trie
 from cohortlens.llm.quality import quality_columns
+from cohortlens.llm.sharding import ring_shards
 from cohortlens.llm.simhash import hex_fingerprint, simhash_groups
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.toxicity import held_out, score_documents
@@ -83,6 +86,35 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards, counts at most one apart. A null text has no bytes; a null id is placed as the
+    empty text; repeated rows get a slot each; equal rows are interchangeable; no documents give no rows."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    placed = ring_shards(docs, "doc_id", shards=40, virtual_nodes=64, ties=("size", "text_crc32"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "placed.shard", "placed.slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations. Null roles and texts are empty; rows without a conversation id
+    are left out; equal turn numbers are ordered by content; no conversations give no rows."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document's words. Null and empty texts have none; a null id leaves its text as it is;
+    ties go to the smaller start, then period; repeated rows get equal results; no documents give no rows."""
+    found = run_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = ("start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return found.select("doc_id", F.size("periodic.runs").cast("long").alias("n_runs"), *[f"periodic.{c}" for c in best])
+
+
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +128,9 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_groups,
         op9_toxicity,
         op10_compression_bands,
+        op11_ring_shards,
+        op12_prefix_trie,
+        op13_periodic_runs,
     )
 }
 _RUNS["pipeline"] = corpus_pipeline.run
@@ -110,6 +145,11 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES = {name: _shipped(run) for name, run in _RUNS.items()}
-ORACLES: dict[str, str] = {"op3_embedding_links": COSINE_LINKS_SQL, "op5_url_filters": url_filter_sql(URL_RULES)}
+ORACLES: dict[str, str] = {
+    "op3_embedding_links": COSINE_LINKS_SQL,
+    "op5_url_filters": url_filter_sql(URL_RULES),
+    "op11_ring_shards": RING_SHARDS_SQL,
+    "op12_prefix_trie": PREFIX_TRIE_SQL,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
