@@ -9,12 +9,15 @@ from cohortlens.functions.arithmetic import (
     weighted_mean,
 )
 from cohortlens.functions.geometry import planar_distance
+from cohortlens.functions.ordering import bits_value, ordered_bits
 from cohortlens.functions.text import join_key, leading, text_after, without_first, without_last
 
 __all__ = [
+    "bits_value",
     "flag",
     "join_key",
     "leading",
+    "ordered_bits",
     "planar_distance",
     "relative_growth",
     "safe_ratio",

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.scale import join_group_stats, materialise, range_blocks
+from cohortlens.functions import bits_value, ordered_bits
+from cohortlens.operators.scale import join_group_stats, materialise
 
-#: Accuracy of the sketch that brackets a percentile; the rank error is at most n / ACCURACY.
+#: Accuracy of the sketch of ``method="approx"``; the rank error is at most n / ACCURACY.
 ACCURACY = 10_000
-#: Groups up to this size are ranked whole; in larger ones a bracket spans many ranks.
-WHOLE_GROUP_ROWS = 10 * ACCURACY
+#: Groups up to this size go to Spark's ``percentile``, whose state holds their distinct values.
+WHOLE_GROUP_ROWS = 100_000
+#: Bits of a value that one round of the rank search settles; a round counts at most 2^13 prefixes a rank.
+ROUND_BITS = 13
 
 
 def group_percentile(
@@ -33,10 +34,11 @@ def group_percentile(
 
     * ``exact``: keys and values are written once and group sizes counted. Up to
       ``whole_group_rows`` (default ``WHOLE_GROUP_ROWS``) rows per group, Spark's ``percentile``
-      is used, whose state is then bounded. If a group is larger, a sketch brackets the wanted
-      ranks, rows outside the brackets collapse to counts before the shuffle, and the distinct
-      values inside a bracket are ranked over range blocks: no task ever holds the values of a
-      large group, or of its bracket.
+      is used, whose state is then bounded. If a group is larger, ranks are searched for: rows
+      are counted per leading bits of their value, the prefix that holds a rank is picked, and only
+      rows with that prefix are counted by their next bits, until all bits are known. Five rounds
+      at most, counts combine before the shuffle, and no task holds the values of a group. Right
+      for groups of any size.
     * ``hash``: Spark's ``percentile``; holds the distinct values of a group in memory, for
       values with few distinct levels.
     * ``approx``: the sketch alone.
@@ -59,7 +61,7 @@ def group_percentile(
     largest = narrow.groupBy(*by).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
     if (largest or 0) <= most:
         return _whole_group_percentile(narrow, by, F.col("_v"), wanted)
-    return _bracketed_percentile(narrow, by, F.col("_v"), wanted, most)
+    return _searched_percentile(narrow, by, F.col("_v"), wanted)
 
 
 def _whole_group_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float]) -> DataFrame:
@@ -69,80 +71,61 @@ def _whole_group_percentile(df: DataFrame, by: list[str], v: Column, wanted: Map
     )
 
 
-def _bracketed_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float], most: int) -> DataFrame:
-    """Percentiles of large groups from brackets around the wanted ranks."""
-    keys = by or ["_all"]
-    rows = df.select(*by, v.alias("_v")) if by else df.select(F.lit(0).alias("_all"), v.alias("_v"))
-    rows = rows.filter(F.col("_v").isNotNull())
-    margin = 2.0 / ACCURACY
-    edges = [min(max(q + s * margin, 0.0), 1.0) for q in wanted.values() for s in (-1, 1)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_edges"),
+def _searched_percentile(df: DataFrame, by: list[str], v: Column, wanted: Mapping[str, float]) -> DataFrame:
+    """Percentiles by a search for the wanted ranks over the ordered bits of the values."""
+    groups = [f"g{i}" for i in range(len(by))] or ["g0"]
+    named = [F.col(f"`{c}`").alias(g) for c, g in zip(by, groups)] or [F.lit(0).alias("g0")]
+    rows = materialise(df.select(*named, ordered_bits(v).alias("bits")), "bits")
+    groups_of = rows.groupBy(*groups).agg(F.count("bits").alias("n"), F.min("bits").alias("low"), F.max("bits").alias("high"))
+    # Bits above the first one in which some group's values differ need no search.
+    open_bits = F.when(F.col("low") < 0, F.lit(64)).otherwise(F.length(F.bin(F.col("low").bitwiseXOR(F.col("high")))))
+    groups_of = materialise(groups_of.withColumn("open_bits", open_bits), "groups")
+    shift = groups_of.agg(F.max("open_bits")).first()[0] or 0
+    ranks = []
+    for q in wanted.values():
+        at = F.lit(float(q)) * (F.col("n") - 1)
+        ranks += [F.floor(at).cast("long"), F.ceil(at).cast("long")]
+    targets = groups_of.where("n > 0").select(
+        *groups, F.explode(F.array_distinct(F.array(*ranks))).alias("rank"), _prefix(F.col("low"), shift).alias("prefix")
     )
-    joined = join_group_stats(rows, sketch, keys)
-
-    whole = F.col("_n") <= most
-    sides = range(len(wanted))
-    lows = [F.when(whole, F.col("_min")).otherwise(F.col("_edges")[2 * i]) for i in sides]
-    highs = [F.when(whole, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]) for i in sides]
-    inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in zip(lows, highs)])
-    # A row outside every bracket only counts towards the ranks of the next bracket above it.
-    next_low = F.array_min(F.array(*[F.when(lo > F.col("_v"), lo) for lo in lows]))
-    counts = (
-        joined.select(
-            *keys,
-            "_n",
-            *[lo.alias(f"_low{i}") for i, lo in enumerate(lows)],
-            inside.alias("_inside"),
-            F.when(inside, F.col("_v")).otherwise(next_low).alias("_key"),
-        )
-        .filter(F.col("_key").isNotNull())
-        .groupBy(*keys, "_key", "_inside")
-        .agg(
-            F.count("*").alias("_c"),
-            F.max("_n").alias("_n"),
-            *[F.max(f"_low{i}").alias(f"_low{i}") for i in sides],
-        )
-    )
-    ranked = _running_counts(counts, keys).filter("_inside")
-    picks, outputs = [], []
-    for i, (out, q) in enumerate(wanted.items()):
-        position = F.lit(float(q)) * (F.col("_n") - 1)
-        picks += [
-            F.min(F.when(F.col("_upto") > F.floor(position), F.col("_key"))).alias(f"_a{i}"),
-            F.min(F.when(F.col("_upto") > F.ceil(position), F.col("_key"))).alias(f"_b{i}"),
-            F.min(F.when(F.col("_key") >= F.col(f"_low{i}"), F.col("_upto") - F.col("_c"))).alias(f"_s{i}"),
-        ]
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        between = (F.ceil(position) - position) * a + (position - F.floor(position)) * b
-        # The sketch's error bound makes a miss impossible; a wrong value must never pass silently.
-        found = b.isNotNull() & (F.col(f"_s{i}") <= F.floor(position))
-        missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
-        outputs.append(F.when(~found, missed).when(a == b, a).otherwise(between).alias(out))
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks).select(*by, *outputs)
-
-
-def _running_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``_upto``: the rows of the group up to each key, summed over range blocks.
-
-    Each block starts from the totals of the group's earlier blocks, so a group with very many
-    distinct values is spread over blocks; the totals are one row per group and block.
+    targets = materialise(targets.withColumn("left", F.col("rank")), "ranks")
+    while shift:
+        step = min(ROUND_BITS, shift)
+        targets = materialise(_one_round(rows, targets, groups, shift, shift - step), "ranks")
+        shift -= step
+    valued = targets.select(*groups, "rank", bits_value(F.col("prefix")).alias("value"))
+    found = valued.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("found"))
+    outputs = []
+    for (name, q), low, high in zip(wanted.items(), ranks[::2], ranks[1::2]):
+        at = F.lit(float(q)) * (F.col("n") - 1)
+        a, b = (F.element_at("found", r) for r in (low, high))
+        between = (F.ceil(at) - at) * a + (at - F.floor(at)) * b
+        outputs.append(F.when(low == high, a).when(a == b, a).otherwise(between).alias(name))
+    keys = [F.col(g).alias(c) for c, g in zip(by, groups)]
+    return groups_of.join(found, groups, "left").select(*keys, *outputs)
+
+
+def _prefix(bits: Column, shift: int) -> Column:
+    """What is left of the bits above the ``shift`` lowest; 64 leaves nothing."""
+    return F.lit(0).cast("long") if shift >= 64 else F.shiftright(bits, shift)
+
+
+def _one_round(rows: DataFrame, targets: DataFrame, groups: list[str], shift: int, next_shift: int) -> DataFrame:
+    """Targets with the next bits of the value at their rank.
+
+    ``targets`` has one row per group and rank: ``prefix`` of the value, and ``left``, the rank
+    among the group's rows with that prefix.
     """
-    blocks = range_blocks(counts, [*keys, "_key", "_inside"])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.groupBy(*keys, "_block").agg(F.sum("_c").alias("_t"))
-    starts = starts.select(*keys, "_block", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"))
-    within = (
-        Window.partitionBy("_block", *keys)
-        .orderBy("_key", "_inside")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    own = blocks.withColumn("_own", F.sum("_c").over(within))
-    joined = join_group_stats(own, starts, [*keys, "_block"])
-    return joined.withColumn("_upto", F.col("_start") + F.col("_own"))
+    open_prefixes = targets.groupBy(*groups).agg(F.collect_set("prefix").alias("prefixes"))
+    inside = join_group_stats(rows, open_prefixes, groups).where(F.array_contains("prefixes", _prefix(F.col("bits"), shift)))
+    counts = inside.groupBy(
+        *groups, _prefix(F.col("bits"), shift).alias("prefix"), _prefix(F.col("bits"), next_shift).alias("next")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    # At most 2^ROUND_BITS rows per group and prefix.
+    upto = Window.partitionBy(*groups, "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("upto", F.sum("n").over(upto))
+    hit = counts.join(targets, [*groups, "prefix"]).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
+    return hit.select(*groups, "rank", F.col("next").alias("prefix"), (F.col("left") - F.col("upto") + F.col("n")).alias("left"))
 
 
 def at_or_below(

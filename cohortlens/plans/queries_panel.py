@@ -67,7 +67,7 @@ def percentile_10(spark, sf_dir):
                   round(quantile_cont(cast(med as double), 0.2), 4) as p20 from spend group by state, year""", "spend"),
 )
 def percentiles_of_large_groups(spark, sf_dir):
-    """The way for large groups (sketch, brackets, range blocks) on every group of more than 20 rows."""
+    """The way for large groups, a search for ranks over the bits of the values, on all groups."""
     p = group_percentile(
         spend_panel(spark, sf_dir), ["state", "year"], "med", {"p10": 0.1, "p20": 0.2}, whole_group_rows=20
     )
