@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,29 +18,87 @@ from tokenizers import Tokenizer
 
 from cohortlens.llm.common import hold_memory, tokenizer_bytes
 
-#: Distinct words whose ids a worker remembers; later words are encoded each time they occur.
-_REMEMBERED = 400_000
-#: Words that go to the library at once, which bounds the memory of its results.
+#: Words, and pieces of words, whose ids a worker remembers in each of two generations.
+_REMEMBERED = 250_000
+#: Pieces that go to the library at once, which bounds the memory of its results.
 _AT_ONCE = 8192
+#: Texts that are encoded together.
+_SLICE = 1000
 #: A separate token of one id between words that are encoded together.
 _MARK = "\x01"
+#: What ends the last token of every pre-token.
+_WORD_END = "</w>"
+#: Pre-tokens of plain words: runs of ASCII and Latin-1 letters, single digits, runs of ASCII marks.
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_MARKS = rb"[!-&(-/:-@\[-`{-~]+"
+_SIMPLE = re.compile(rb"(%s)(%s)?" % (_LETTERS, _MARKS))
+_PLAIN = re.compile(rb"(?:%s|[0-9]|%s)+" % (_LETTERS, _MARKS))
+_PIECES = re.compile(rb"%s|[0-9]|%s" % (_LETTERS, _MARKS))
+
+
+class _Remembered:
+    """Ids of what was seen lately: two generations, so what recurs stays and the rest goes."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def unknown(self, keys: set[bytes]) -> list[bytes]:
+        """Keys that neither generation has; those of the old one come over to the young one."""
+        known = keys & self._old.keys()
+        self.young.update(zip(known, map(self._old.__getitem__, known)))
+        return list(keys - known)
+
+    def grow_old(self) -> None:
+        if len(self.young) > self.most:
+            self._old, self.young = self.young, {}
 
 
 class WordEncoder:
     """Ids of texts for a tokenizer that drops white space and never joins across it.
 
-    The library encodes each distinct word once per chunk of texts at most; the ids of a text
-    are those of its words in order, kept as little-endian bytes. White space here is the ASCII kind, so words may still hold
-    other spaces, which the library treats as in the whole text.
+    The ids of a text are those of its words in order, kept as little-endian bytes. White space
+    here is the ASCII kind, so words may still hold other spaces, which the library treats as in the
+    whole text. ASCII capitals are lowered first, as the library does itself, unless the text may
+    hold a special string. A word of ASCII and Latin-1 letters, digits and marks (no apostrophe,
+    which starts endings of its own) falls into the library's pre-tokens by plain rules; each of
+    them goes to the library once per slice of texts at most, and ends where a token with the
+    end-of-word sign does. Other words go to the library whole.
     """
 
     def __init__(self, definition: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._library = Tokenizer.from_str(definition.decode("utf-8"))
         self._mark = self._library.encode(_MARK, add_special_tokens=False).ids
-        self._known: dict[bytes, bytes] = {}
+        self._specials = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
+        names = self._library.get_vocab()
+        self._ends = np.zeros(max(names.values()) + 1, bool)
+        self._ends[[i for t, i in names.items() if t.endswith(_WORD_END)]] = True
+        self._words = _Remembered(_REMEMBERED)
+        self._pieces = _Remembered(_REMEMBERED)
+
+    def _split_ids(self, group: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> dict[bytes, bytes]:
+        data = ids.tobytes()
+        starts = [0, *(4 * (ends[:-1] + 1)).tolist()]
+        return {w: data[s:e] for w, s, e in zip(group, starts, (4 * (ends + 1 - gap)).tolist())}
+
+    def _encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of single pre-tokens, many in one text."""
+        groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        texts = [b" ".join(g).decode("utf-8") for g in groups]
+        found: dict[bytes, bytes] = {}
+        for group, encoding in zip(groups, self._library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoding.ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids])
+            if len(ends) == len(group) and ends[-1] == len(ids) - 1:
+                found.update(self._split_ids(group, ids, ends, 0))
+            else:
+                found.update((w, self._alone(w)) for w in group)
+        return found
 
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _encode_whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of any kind, many in one text with marks between them."""
         plain = [w for w in words if _MARK.encode() not in w]
         joined = f" {_MARK} "
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
@@ -46,29 +106,72 @@ class WordEncoder:
         found: dict[bytes, bytes] = {}
         for group, encoding in zip(groups, self._library.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(encoding.ids, "<u4")
-            ends = np.flatnonzero(ids == self._mark[0])
-            if len(self._mark) != 1 or len(ends) != len(group) - 1:
+            ends = np.append(np.flatnonzero(ids == self._mark[0]), len(ids))
+            if len(self._mark) != 1 or len(ends) != len(group):
                 found.update((w, self._alone(w)) for w in group)
-                continue
-            data, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
-            for word, start, end in zip(group, starts, [*(4 * ends).tolist(), len(data)]):
-                found[word] = data[start:end]
+            else:
+                found.update(self._split_ids(group, ids, ends, 1))
         found.update((w, self._alone(w)) for w in words if _MARK.encode() in w)
         return found
 
     def _alone(self, word: bytes) -> bytes:
         return np.array(self._library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known = self._known
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        unknown = [w for w in set().union(*split) if w not in known]
-        room = max(0, _REMEMBERED - len(known))
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        simple: list[tuple[bytes, bytes | None, bytes]] = []
+        mixed: dict[bytes, list[bytes]] = {}
+        other = []
+        together = b" ".join(words)
+        special = any(s in together for s in self._specials)
+        match = _SIMPLE.fullmatch
+        for w in words:
+            m = match(w)
+            if special and any(s in w for s in self._specials):
+                other.append(w)
+            elif m is not None:
+                simple.append((m[1], m[2], w))
+            elif _PLAIN.fullmatch(w):
+                mixed[w] = _PIECES.findall(w)
+            else:
+                other.append(w)
+        pieces = self._pieces
+        distinct = {x[0] for x in simple}.union((x[1] for x in simple if x[1]), *mixed.values())
+        unknown = pieces.unknown(distinct.difference(pieces.young))
         for i in range(0, len(unknown), _AT_ONCE):
-            known.update(self._encode_words(unknown[i : i + _AT_ONCE]))
-        result = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
-        for word in unknown[room:]:
-            del known[word]
+            pieces.young.update(self._encode_pieces(unknown[i : i + _AT_ONCE]))
+        get = pieces.young.__getitem__
+        found = {w: get(letters) + get(marks) if marks else get(letters) for letters, marks, w in simple}
+        found.update((w, b"".join(map(get, parts))) for w, parts in mixed.items())
+        pieces.grow_old()
+        for i in range(0, len(other), _AT_ONCE):
+            found.update(self._encode_whole(other[i : i + _AT_ONCE]))
+        return found
+
+    def _lowered(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass")
+        lowered = raw.lower()
+        # A special string is one only as it is written.
+        return (raw if any(s in lowered for s in self._specials) else lowered).split()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        # Nothing here refers to itself; collecting would only walk over all that is remembered.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self._lowered(t) for t in texts]
+        words = self._words
+        missing = set().union(*split).difference(words.young)
+        if missing:
+            words.young.update(self._encode_words(words.unknown(missing)))
+        get = words.young.__getitem__
+        result = [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in split]
+        words.grow_old()
         return result
 
 
@@ -265,8 +368,8 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             names = [d if isinstance(d, str) else None for d in batch["doc_id"]]
-            for i in range(0, len(texts), 250):
-                for doc_id, tokens in zip(names[i : i + 250], encode(texts[i : i + 250])):
+            for i in range(0, len(texts), _SLICE):
+                for doc_id, tokens in zip(names[i : i + _SLICE], encode(texts[i : i + _SLICE])):
                     packer.add(doc_id, np.concatenate([tokens, end]))
                 for rows in packer.groups():
                     yield frame(rows)
