@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,31 +21,45 @@ _SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of bytes per compressed byte.
-
-    ``whole`` lists (bytes up to which it holds, least ratio, largest ratio); the last entry
-    holds for anything longer. Short texts compress badly whatever they say, and long ones find
-    more to refer back to, so the limits rise with the length. ``chunk`` is the band of one
-    chunk of ``chunk_bytes``; a text is rejected if more than ``bad_share`` of its full chunks
-    lie outside. The values leave all running text inside and are far below repeated text.
+    """Limits of bytes per compressed byte, for a text or a chunk of any length.
+
+    ``knots`` lists (bytes, least ratio, largest ratio) in ascending order; between two knots the
+    limits rise with the logarithm of the length, outside they stay. Short texts compress badly
+    whatever they say, and long ones find more to refer back to. A whole text must lie inside the band of
+    its length. So must its chunks: for each of ``chunk_bytes`` the text is cut into chunks of that
+    size, the rest at the end judged by the band of its own length, and the text is rejected if
+    chunks with more than ``bad_share`` of its bytes lie outside. The limits leave running text
+    of several languages inside; random bytes in base 64 (ratio 1.05 to 1.31) are below them from 256
+    bytes on, in hexadecimal (1.92 at 4096 bytes) from 4096 on, repeated sentences above from 256 on.
     """
 
-    whole: tuple[tuple[float, float, float], ...] = (
-        (128, 0.0, 1.9),
-        (256, 0.6, 2.3),
-        (512, 1.0, 2.6),
-        (1024, 1.15, 2.8),
-        (2048, 1.3, 3.1),
-        (4096, 1.4, 3.4),
-        (16384, 1.45, 3.8),
-        (65536, 1.5, 4.2),
-        (float("inf"), 1.5, 5.0),
+    knots: tuple[tuple[int, float, float], ...] = (
+        (64, 0.0, 2.0),
+        (128, 0.9, 2.0),
+        (256, 1.15, 2.1),
+        (512, 1.3, 2.4),
+        (1024, 1.5, 2.7),
+        (2048, 1.72, 3.0),
+        (4096, 1.95, 3.4),
+        (8192, 2.02, 3.7),
+        (16384, 2.1, 4.0),
+        (65536, 2.2, 4.5),
     )
-    chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (1.25, 3.4)
-    bad_share: float = 0.34
+    chunk_bytes: tuple[int, ...] = (4096, 1024)
+    bad_share: float = 0.2
     level: int = 3
 
+    def limits(self, size: int) -> tuple[float, float]:
+        """Least and largest ratio of ``size`` bytes."""
+        sizes = [math.log2(k[0]) for k in self.knots]
+        place = math.log2(max(1, size))
+        at = bisect.bisect_right(sizes, place)
+        if at in (0, len(sizes)):
+            return self.knots[at and -1][1:]
+        share = (place - sizes[at - 1]) / (sizes[at] - sizes[at - 1])
+        (_, low, high), (_, next_low, next_high) = self.knots[at - 1 : at + 1]
+        return low + share * (next_low - low), high + share * (next_high - high)
+
 
 def base_counters(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
@@ -69,25 +85,29 @@ def _ratio(data: bytes | memoryview, compressor: zstandard.ZstdCompressor) -> fl
     return len(data) / max(1, len(compressor.compress(data)))
 
 
+def _inside(data: bytes | memoryview, bands: Bands, compressor: zstandard.ZstdCompressor) -> bool:
+    low, high = bands.limits(len(data))
+    return low <= _ratio(data, compressor) <= high
+
+
 def compression_verdict(text: str, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of chunks outside the chunk band, and whether it passes."""
+    """Ratio of the whole text, largest share of its bytes in chunks outside their band, and whether it passes."""
     data = text.encode("utf-8", "surrogatepass")
     if not data:
         return 0.0, 0.0, False
     ratio = _ratio(data, compressor)
-    low, high = next((low, high) for most, low, high in bands.whole if len(data) <= most)
-    full = len(data) // bands.chunk_bytes
-    view, bad = memoryview(data), 0
-    for i in range(full):
-        r = _ratio(view[i * bands.chunk_bytes : (i + 1) * bands.chunk_bytes], compressor)
-        bad += not bands.chunk[0] <= r <= bands.chunk[1]
-    share = bad / full if full else 0.0
+    low, high = bands.limits(len(data))
+    view, share = memoryview(data), 0.0
+    for size in bands.chunk_bytes:
+        chunks = [view[i : i + size] for i in range(0, len(data), size)]
+        bad = sum(len(c) for c in chunks if not _inside(c, bands, compressor))
+        share = max(share, bad / len(data))
     return ratio, share, low <= ratio <= high and share <= bands.bad_share
 
 
 _SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "ratio double, bad_chunk_share double, base_failed boolean, kept boolean"
+    "ratio double, bad_share double, base_failed boolean, kept boolean"
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import zlib
@@ -191,18 +192,60 @@ def test_base_counters_equal_plain_ones():
         assert base_counters(text) == plain_counters(text), text
 
 
-def test_bands_reject_repeats_and_noise_and_keep_prose():
+def plain_verdict(text):
+    """Whole text and chunks of 4096 and 1024 bytes against limits read off the knots by interpolation."""
+    data, knots = text.encode(), np.array(Bands().knots)
+
+    def outside(part):
+        ratio = len(part) / len(zstandard.compress(part, 3))
+        low, high = (np.interp(np.log2(len(part)), np.log2(knots[:, 0]), knots[:, k]) for k in (1, 2))
+        return not low <= ratio <= high
+
+    if not data or outside(data):
+        return False
+    for size in (4096, 1024):
+        parts = [data[i : i + size] for i in range(0, len(data), size)]
+        if sum(len(p) for p in parts if outside(p)) > 0.2 * len(data):
+            return False
+    return True
+
+
+def mixed_texts(texts, rng):
+    """Texts with half as much again of something that is no prose, at the end or in the middle."""
+    for t in texts:
+        n = len(t) // 2
+        noise = base64.b64encode(rng.randbytes(n)).decode()[:n]
+        yield t + noise
+        yield t[:n] + noise + t[n:]
+        yield t + rng.randbytes(n).hex()[:n]
+        yield t + (t[:80] * (n // 80 + 1))[:n]
+
+
+def test_bands_reject_repeats_and_noise_and_keep_prose(spark):
     compressor, rng = zstandard.ZstdCompressor(level=3), random.Random(6)
-    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
-    for n in (60, 300, 3000):
-        prose = " ".join(rng.choice(vocabulary) for _ in range(n))
-        assert compression_verdict(prose, Bands(), compressor)[2]
-        assert not compression_verdict("buy cheap things here now. " * n, Bands(), compressor)[2]
-    noise = "".join(chr(rng.randrange(33, 0x2FFF)) for _ in range(5000))
-    assert not compression_verdict(noise, Bands(), compressor)[2]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    prose = [r for r in docs if plain_counters(r["text"] or "")[0] >= 50]
+    for language in ("en", "de", "fr", "es"):
+        kept = [compression_verdict(r["text"], Bands(), compressor)[2] for r in prose if r["lang"] == language and plain_counters(r["text"])[4] == 0]
+        assert len(kept) > 50 and np.mean(kept) >= 0.99
+    long = [r["text"] for r in prose if len(r["text"]) > 6000 and plain_counters(r["text"])[4] == 0][:40]
+    mixed = list(mixed_texts(long, rng))
+    assert [compression_verdict(t, Bands(), compressor)[2] for t in mixed] == [plain_verdict(t) for t in mixed]
+    rejected = np.array([not plain_verdict(t) for t in mixed]).reshape(-1, 4).mean(axis=0)
+    assert rejected[0] == rejected[1] == 1 and (rejected >= 0.9).all()
+    for n in (256, 512, 1024, 4096, 20_000):
+        assert not compression_verdict(base64.b64encode(rng.randbytes(n)).decode()[:n], Bands(), compressor)[2]
+        assert not compression_verdict(("buy cheap things here now. " * n)[:n], Bands(), compressor)[2]
+        assert compression_verdict(rng.randbytes(n).hex()[:n], Bands(), compressor)[2] == (n < 4096)
     assert compression_verdict("", Bands(), compressor) == (0.0, 0.0, False)
-    half = " ".join(rng.choice(vocabulary) for _ in range(1500)) + " again and again" * 900
-    assert compression_verdict(half, Bands(), compressor)[1] > 0.3
+
+
+def test_limits_between_knots():
+    bands = Bands()
+    assert [bands.limits(k[0]) for k in bands.knots] == [k[1:] for k in bands.knots]
+    assert bands.limits(1) == bands.limits(64) and bands.limits(10**9) == bands.limits(65536)
+    lows = [bands.limits(n)[0] for n in range(64, 70_000, 97)]
+    assert lows == sorted(lows)
 
 
 def test_quality_query_and_odd_rows(spark):
@@ -211,7 +254,7 @@ def test_quality_query_and_odd_rows(spark):
         counts = plain_counters(r["text"] or "")
         assert tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts
         failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-        passed = compression_verdict(r["text"], Bands(), zstandard.ZstdCompressor(level=3))[2]
+        passed = plain_verdict(r["text"] or "")
         assert r["base_failed"] == failed and r["kept"] == (passed and not failed)
     docs = odd_documents(spark)
     judged = quality_columns(docs)
