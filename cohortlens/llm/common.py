@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Rows that go to a Python worker at once; texts are long, so the usual 10,000 take much memory.
 BATCH_ROWS = 1000
+_LOCAL_FOLDERS: dict[str, str] = {}
 _HELD: dict[str, Callable[[], object]] = {}
 
 
@@ -48,15 +49,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; a local session without it gets one that leaves its settings alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="llm-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="llm-")
+    return _LOCAL_FOLDERS[application]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        free.append(name)
+    return free
 
 
 def stored(df: DataFrame, label: str = "table") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cohortlens.llm.common import small_or_not, stored
+from cohortlens.llm.common import free_names, small_or_not, stored
 from cohortlens.llm.urls import host_column
 
 _MARKUP = re.compile(
@@ -286,9 +286,10 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", se
     an empty table stays empty; a column called ``name`` is replaced. Templates are broadcast if
     their files are small, else joined by host.
     """
-    keyed = pages.withColumn("_host", host_column(F.col(f"`{url}`")))
-    narrow = keyed.select(F.col("_host").alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
-    templates = stored(host_templates(narrow, settings), "templates").withColumnRenamed("host", "_host").withColumnRenamed("template", "_template")
+    host, template = free_names(pages, "host", "template")
+    keyed = pages.withColumn(host, host_column(F.col(f"`{url}`")))
+    narrow = keyed.select(F.col(host).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
+    templates = stored(host_templates(narrow, settings), "templates").withColumnsRenamed({"host": host, "template": template})
 
     @F.pandas_udf("string")
     def extract(sources: pd.Series, rows: pd.Series) -> pd.Series:
@@ -298,5 +299,6 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", se
             texts.append(main_text(source if isinstance(source, str) else None, template, settings))
         return pd.Series(texts, dtype=object)
 
-    joined = keyed.join(small_or_not(templates), "_host", "left")
-    return joined.withColumn(name, extract(F.col(f"`{html}`").cast("string"), F.col("_template"))).select(*[c for c in pages.columns if c != name], name)
+    joined = keyed.join(small_or_not(templates), host, "left")
+    text = extract(F.col(f"`{html}`").cast("string"), F.col(template)).alias(name)
+    return joined.select(*[F.col(f"`{c}`") for c in pages.columns if c != name], text)

@@ -379,3 +379,13 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     schema = "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return source.mapInPandas(pack, schema).withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of :func:`pack_documents` in windows of 4096 tokens, their ids as a checksum.
+
+    Null and empty texts are a document of one id; repeated rows are packed each; no documents
+    give no rows; columns other than ``doc_id`` and ``text`` are not read.
+    """
+    pieces = pack_documents(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

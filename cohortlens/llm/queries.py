@@ -13,6 +13,7 @@ from cohortlens.llm.common import ship_package, table
 from cohortlens.llm.embeddings import cosine_links
 from cohortlens.llm.html_extract import extract_main_text
 from cohortlens.llm.oracles import COSINE_LINKS_SQL, PREFIX_TRIE_SQL, RING_SHARDS_SQL, URL_RULES, url_filter_sql
+from cohortlens.llm.packing import packed_pieces
 from cohortlens.llm.periodic_runs import run_columns
 from cohortlens.llm.pieces import decode_column, encode_column
 from cohortlens.llm.prefix_trie import conversation_trie
@@ -58,7 +59,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.packed_pieces(table(spark, sf_dir, "documents"))
+    return packed_pieces(table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cohortlens.llm.common import hold_memory, stored
+from cohortlens.llm.common import free_names, hold_memory, small_or_not, stored
 from cohortlens.llm.links import components
 
 #: The 64 bits are cut into three segments; each is padded with zeros to the 23 bits of the code.
@@ -162,21 +162,30 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     """One row of ``docs`` for each group: the one with the smallest id, with all its columns.
 
     If several rows of a group have that id (repeated rows), or the group has no id at all, one of
-    them stays. The decision is made on narrow tables; the texts move once, in a join that
-    adaptive execution can split, and again only for groups with such repeated rows.
+    them stays. The decision is made on narrow tables. Rows whose id occurs once are kept by a join
+    on the id, broadcast if the ids are small as written; only rows whose id occurs several times
+    get their fingerprint computed again. Null and empty texts are documents like others; an empty
+    table stays empty; columns may have any names.
     """
-    id_, key = F.col(f"`{id_column}`"), "_simhash_group"
-    rows = docs.withColumn("_simhash", fingerprint_column(F.col(f"`{text}`"), shingle))
+    id_ = F.col(f"`{id_column}`")
     groups = stored(simhash_groups(docs, id_column, text, shingle, max_bits), "groups")
-    first = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = stored(first.groupBy("fp", "id").agg(F.first("group").alias(key), F.count(F.lit(1)).alias("times")), "first")
-    several = first.groupBy(key).agg(F.sum("times").alias("_n")).where("_n > 1")
-    marked = stored(first.join(several, key, "left").select(F.col("fp").alias("_simhash"), F.col("id").alias("_id"), key, F.coalesce("_n", F.lit(1)).alias("_n")), "first")
-    kept = rows.join(marked, (rows["_simhash"] == marked["_simhash"]) & id_.eqNullSafe(marked["_id"])).drop(marked["_simhash"])
-    if marked.where("_n > 1").isEmpty():
-        return kept.select(docs.columns)
-    once = kept.where("_n = 1").select(docs.columns)
-    return once.unionByName(kept.where("_n > 1").dropDuplicates([key]).select(docs.columns))
+    chosen = F.col("id").eqNullSafe(F.col("component_id"))
+    ids = groups.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.count_if(chosen).alias("chosen")).where("chosen > 0")
+    ids = stored(ids.select(F.col("id").alias("kept_id"), (F.col("times") == 1).alias("single")), "ids")
+    single = small_or_not(stored(ids.where("single").select("kept_id"), "single-ids"))
+    once = docs.join(single, id_.eqNullSafe(single["kept_id"]), "left_semi")
+    several = ids.where("NOT single").select("kept_id")
+    if several.isEmpty():
+        return once
+    several = small_or_not(stored(several, "several-ids"))
+    fp, group = free_names(docs, "simhash", "simhash_group")
+    rows = docs.join(several, id_.eqNullSafe(several["kept_id"]), "left_semi").withColumn(fp, fingerprint_column(F.col(f"`{text}`"), shingle))
+    marked = groups.where(chosen).join(several, groups["id"].eqNullSafe(several["kept_id"]), "left_semi")
+    marked = marked.groupBy(F.col("fp").alias("marked_fp"), F.col("id").alias("marked_id")).agg(F.first("group").alias(group))
+    marked = small_or_not(stored(marked, "marked"))
+    found = rows.join(marked, (F.col(fp) == marked["marked_fp"]) & id_.eqNullSafe(marked["marked_id"]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.unionByName(found.drop(marked["marked_fp"], marked["marked_id"]).dropDuplicates([group]).select(*columns))
 
 
 def hex_fingerprint(fp: Column) -> Column:

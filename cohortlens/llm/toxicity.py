@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     Positives are documents labelled 1; the unlabelled text is drawn from all usable documents,
     whatever their label, so it has the mixture that the class prior describes. The prior is the
     share of 1 among the labelled usable documents. Both samples are bounded by ``settings`` and
-    chosen by hash. Null ids and null labels are not used; repeated rows count once.
+    chosen by hash. Null ids and null labels are not used; repeated rows count once, and of different
+    texts with one id one counts. No documents or no labels give a model with the prior alone.
     """
     ids = docs.select(F.col(f"`{id_column}`").alias("id")).where("id IS NOT NULL").where(usable)
     known = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label}`").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(usable)
@@ -133,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     chosen = stored(chosen.groupBy("id").agg(F.collect_set("kind").alias("kinds")), "sample")
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "kinds", _hashes(F.col("text")).alias("words"))
-    rows = stored(rows.dropDuplicates(["id"]), "words")
+    # Of several texts with one id the one whose words come first counts, whatever the partitioning.
+    rows = stored(rows.groupBy("id", "kinds").agg(F.min("words").alias("words")), "words")
     sizes = rows.agg(*[F.count_if(F.array_contains("kinds", kind)) for kind in (1, 0)]).first()
     prior = min(max(prior, 1e-3), 0.999)
     words = rows.select("id", "kinds", F.explode("words").alias("word"))

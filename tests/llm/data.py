@@ -20,6 +20,7 @@ def odd_documents(spark: SparkSession) -> DataFrame:
     """Odd texts with ids, nulls, repeated rows and extra columns named like the operators' own."""
     rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(odd_texts())]
     rows += [(100, None, "fr"), (None, "no id at all", None), (None, None, None), (5, "one two", "en"), (5, "one two", "en")]
-    columns = "id fp key node label host quality tokens toxicity language group".split()
+    columns = "id fp key node label host quality tokens toxicity language group template simhash simhash_group kept_id".split()
+    columns += "_template _host _n _id _simhash _simhash_group _quality _toxicity".split()
     schema = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in columns)
     return spark.createDataFrame([(*r, *("x" for _ in columns)) for r in rows], schema)

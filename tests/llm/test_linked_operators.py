@@ -126,6 +126,7 @@ def test_one_document_of_each_group_stays(spark):
     docs = odd_documents(spark)
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
+    assert set(map(str, kept.collect())) <= set(map(str, docs.collect()))
     prints = {plain_fingerprint(r["text"]) for r in docs.collect()}
     groups = set(groups_of(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2]).values())
     assert kept.count() == len(groups)
@@ -346,8 +347,11 @@ def test_template_words_are_no_content(spark):
         expected[i] = "\n\n".join(text)
     rows += [(100 + i, "http://b.org/x", "<p>The same page each time, all of it</p><p>And more</p>") for i in range(30)]
     rows += [(200, None, "<p>No host</p>"), (201, "http://a.org/y", None), (202, "http://c.org", "")]
-    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, template string")
-    got = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+    extra = ("host", "template", "_host", "_template")
+    pages = spark.createDataFrame([(*r, *extra) for r in rows], "page_id long, url string, html string, host string, template string, _host string, _template string")
+    extracted = extract_main_text(pages).collect()
+    assert all(tuple(r[c] for c in extra) == extra for r in extracted)
+    got = {r["page_id"]: r["text"] for r in extracted}
     assert len(got) == len(rows)
     assert all(got[i] == t for i, t in expected.items())
     assert all(got[100 + i] == "The same page each time, all of it\n\nAnd more" for i in range(30))
