@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +25,15 @@ from cohortlens.llm.urls import judge_urls
 
 
 def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null and empty html give the empty text; copies of a page get equal texts; a null
+    url has no host and no template; no pages give no rows."""
     extracted = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return extracted.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op2_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text. Null texts and texts without a letter are ``und``; equal cosines go to the first
+    language; repeated rows get equal results; rows with a null id are predicted but teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     prototypes = language.learn_prototypes(docs, ~F.col("held_out") & F.col("doc_id").isNotNull())
     predicted = language.predict_columns(docs.select("doc_id", "held_out", "text"), prototypes)
@@ -38,11 +41,15 @@ def op2_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors. Null, zero and non-finite vectors and null labels link with nothing; equal
+    vectors link; a component is named by its smallest id; no vectors give no rows."""
     links = cosine_links(table(spark, sf_dir, "embeddings"), least=0.98)
     return links.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every text as checksums. A null text is encoded as the empty one; repeated rows get
+    equal results; texts of any length are encoded whole; no documents give no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = docs.select("doc_id", encode_column(F.col("text")).alias("ids"))
     return encoded.select(
@@ -54,25 +61,34 @@ def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url. A null url or one without ``://`` has no host and no path; the longest fitting rule
+    wins; null html has no links; repeated rows get equal verdicts; no pages give no rows."""
     judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def op6_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens. A null text is one end id; repeated rows are packed each;
+    no documents give no rows."""
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text. A null text has none; repeated rows get equal counts; no documents give no rows."""
     counted = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > 512).alias("over_limit"))
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates. Null texts and texts without words have fingerprint zero and are linked like
+    others; a group is named by its smallest id, null without one; no documents give no rows."""
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text. Null and empty texts get the score of the bias; labels of repeated ids count once,
+    1 before 0; a score of exactly 0.7 is predicted 1; no documents give no rows."""
     scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select(
         "doc_id",
@@ -83,6 +99,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counters and verdict of every text. Null and empty texts have no words and fail the base rule; repeated
+    rows get equal results; no documents give no rows."""
     judged = quality_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "quality.*")
 
@@ -134,7 +152,6 @@ _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_periodic_runs,
     )
 }
-_RUNS["pipeline"] = corpus_pipeline.run
 
 
 def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -152,5 +169,3 @@ ORACLES: dict[str, str] = {
     "op11_ring_shards": RING_SHARDS_SQL,
     "op12_prefix_trie": PREFIX_TRIE_SQL,
 }
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
