@@ -20,6 +20,8 @@ from cohortlens.llm.common import hold_memory, tokenizer_bytes
 #: Pre-tokens whose count a worker remembers; later ones are counted once per slice of texts.
 _REMEMBERED = 500_000
 _SLICE = 1000
+#: Longer units are counted each time, so what a worker remembers does not grow with texts.
+_LONGEST = 256
 #: A run of white space keeps its last character back if text follows; a space joins that text.
 _UNITS = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 
@@ -40,7 +42,8 @@ class PieceCounter:
             self._library = SentencePieceProcessor(model_proto=definition)
         else:
             self._library = Tokenizer.from_str(definition.decode("utf-8"))
-            self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
+            self._special = sorted((t.content for t in self._library.get_added_tokens_decoder().values()), key=len, reverse=True)
+            self._cuts = regex.compile("(" + "|".join(map(regex.escape, self._special)) + ")")
         self._remembered: dict[str, int] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -48,7 +51,8 @@ class PieceCounter:
         if not text:
             return []
         if any(s in text for s in self._special):
-            return [text]
+            # The library cuts a text at its special strings before anything else.
+            return [u for part in self._cuts.split(text) for u in ([part] if part in self._special else self.pre_tokens(part))]
         spaced = "  " in text
         if self.is_model:
             return [text] if spaced or text[0] == " " or text[-1] == " " or "▁" in text else text.split(" ")
@@ -71,7 +75,8 @@ class PieceCounter:
         new = dict(zip(unknown, self._count(unknown))) if unknown else {}
         pieces = {w: known[w] for w in distinct if w in known} | new
         for w in unknown[: max(0, _REMEMBERED - len(known))]:
-            known[w] = new[w]
+            if len(w) <= _LONGEST:
+                known[w] = new[w]
         return [sum(map(mul, f.values(), map(pieces.__getitem__, f))) for f in frequencies]
 
 
