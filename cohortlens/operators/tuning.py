@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from cohortlens.operators.models import fit, lasso, random_forest, selected_features, with_features
-from cohortlens.operators.scale import materialise
+from cohortlens.operators.models import random_forest, with_features
+from cohortlens.operators.lasso_path import lasso_path, moments
+from cohortlens.operators.metrics import area_under_roc_by
+from cohortlens.operators.scale import materialise, new_table_path
 
 
 #: Penalties of the published lasso study: 25 in even steps (fixed values).
@@ -110,6 +115,51 @@ def cross_validated_auc(df: DataFrame, estimator: Estimator, **options) -> float
     return float(grid_search(df, estimator, None, **options).avgMetrics[0])
 
 
+def cross_validated_scores(
+    df: DataFrame,
+    cases: Mapping[str, Estimator],
+    *,
+    label: str = "label",
+    fold_col: str = "fold",
+    parallelism: int = 4,
+) -> DataFrame:
+    """``case``, ``fold``, ``label``, ``score`` of every row when its fold is held out, stored.
+
+    Fits are Spark jobs, ``parallelism`` of them at a time; each writes its held-out scores into
+    one table, so figures of all cases and folds come from one job over it.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, "cross-validated")
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        folds = sorted(r[0] for r in cached.select(fold_col).distinct().collect())
+        names = list(cases)
+
+        def one(task: tuple[int, int]) -> None:
+            case, fold = task
+            model = cases[names[case]].fit(cached.where(F.col(fold_col) != fold))
+            held_out = model.transform(cached.where(F.col(fold_col) == fold))
+            score = vector_to_array(F.col("probability"))[1]
+            held_out = held_out.select(F.lit(names[case]).alias("case"), F.lit(fold).alias("fold"), F.col(label).cast("int").alias("label"), score.alias("score"))
+            held_out.coalesce(1 + held_out.rdd.getNumPartitions() // 8).write.parquet(f"{path}/case={case}/fold={fold}")
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            list(pool.map(inheritable_thread_target(spark)(one), product(range(len(names)), folds)))
+    finally:
+        cached.unpersist()
+    files = [f"{path}/case={c}/fold={f}" for c in range(len(names)) for f in folds]
+    return spark.read.schema("case string, fold int, label int, score double").parquet(*files)
+
+
+def mean_auc(scores: DataFrame, case: str = "case", fold: str = "fold") -> DataFrame:
+    """``case`` and its mean area under ROC over the folds, from one table of held-out scores.
+
+    A fold with one class has no area and is left out of the mean.
+    """
+    per_fold = area_under_roc_by(scores, [case, fold])
+    return per_fold.groupBy(case).agg(F.avg("auc").alias("auc"))
+
+
 def best_key(scores: DataFrame, key: str, score: str) -> DataFrame:
     """Key with the highest score; the smallest key on a tie."""
     return scores.agg(
@@ -172,25 +222,26 @@ def sweep_neighbors(
     summarised: Sequence[str],
     ks: Sequence[int],
     estimator_for,
-    **options,
+    *,
+    label: str = "label",
+    fold_col: str = "fold",
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Cross-validated AUC per number of neighbours.
+    """Cross-validated AUC per number of neighbours, all counts scored in one table.
 
     ``upto`` is the output of ``neighbor_features_upto``; ``base`` has keys, own features and
     label; ``k = 0`` uses the own features alone. Every k is scored on the same rows: those that
     have all features for every k.
     """
-    rows = []
     wide = upto.filter(F.col("k").isin([k for k in ks if k])).groupBy(*keys).pivot("k", sorted(k for k in ks if k))
     wide = wide.agg(*[F.first(c).alias(c) for c in summarised]) if any(ks) else None
     # Spark names a pivoted column by the value alone if there is one aggregate.
     column = {(k, c): f"{k}_{c}" if len(summarised) > 1 else str(k) for k in ks if k for c in summarised}
     data = base if wide is None else base.join(wide, list(keys))
     data = materialise(data.na.drop(subset=[*own, *column.values()]), "sweep")
-    for k in ks:
-        names = list(own) + [column[k, c] for c in summarised if k]
-        rows.append({"k": k, "auc": cross_validated_auc(data, estimator_for(names), **options)})
-    return tabulate(base.sparkSession, rows, "k int, auc double")
+    cases = {str(k): estimator_for(list(own) + [column[k, c] for c in summarised if k]) for k in ks}
+    scores = mean_auc(cross_validated_scores(data, cases, label=label, fold_col=fold_col, parallelism=parallelism))
+    return materialise(scores.select(F.col("case").cast("int").alias("k"), "auc"), "sweep-scores")
 
 
 def sweep_alpha(
@@ -201,16 +252,21 @@ def sweep_alpha(
     label: str = "label",
     trees: int = 20,
     seed: int = 42,
-    **options,
+    fold_col: str = "fold",
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Per L1 penalty: which features survive, and the AUC of a forest on the survivors."""
-    rows, known = [], {(): None}
-    for alpha in alphas:
-        model = fit(train, with_features(lasso(alpha, label), names))
-        kept = tuple(selected_features(model.stages[-1], names))
-        if kept not in known:  # many penalties leave the same features
-            forest = with_features(random_forest(label, trees=trees, seed=seed), kept)
-            known[kept] = cross_validated_auc(train, forest, label=label, seed=seed, **options)
-        auc = known[kept]
-        rows.append({"alpha": float(alpha), "kept": len(kept), "names": ",".join(kept), "auc": auc})
+    """Per L1 penalty: which features survive, and the AUC of a forest on the survivors.
+
+    The whole path comes from one table of moments; forests are fitted once per set of survivors
+    and fold, and scored in one table. A penalty that leaves no feature has no AUC.
+    """
+    path = lasso_path(moments(train, names, label), alphas)
+    kept = {alpha: tuple(n for n, w in zip(names, weights) if w) for alpha, weights in path.items()}
+    sets = sorted({k for k in kept.values() if k})
+    cases = {str(i): with_features(random_forest(label, trees=trees, seed=seed), s, None) for i, s in enumerate(sets)}
+    found = {}
+    if cases:
+        scores = cross_validated_scores(train, cases, label=label, fold_col=fold_col, parallelism=parallelism)
+        found = {sets[int(r["case"])]: r["auc"] for r in mean_auc(scores).collect()}
+    rows = [{"alpha": float(a), "kept": len(kept[float(a)]), "names": ",".join(kept[float(a)]), "auc": found.get(kept[float(a)])} for a in alphas]
     return tabulate(train.sparkSession, rows, "alpha double, kept int, names string, auc double")

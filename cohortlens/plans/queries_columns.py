@@ -193,16 +193,25 @@ def residual_rows(spark, sf_dir):
     )
 
 
+#: Even grids of the published study: 60 rates, 20 numbers of trees, 25 penalties.
+_GRIDS = {
+    "rate": ("score", [round(0.01 * i, 2) for i in range(1, 61)]),
+    "trees": ("n_chars", [float(n) for n in range(100, 2001, 100)]),
+    "penalty": ("distinct_share", [round(0.0005 + 0.002 * i, 4) for i in range(25)]),
+}
+
+
 @query(
     "X10 A02",
-    sql("""select g.cut, count(*) filter (score >= g.cut) as rows
-           from scored, (select unnest([0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85]::double[]) as cut) g group by g.cut""", "scored"),
+    sql(" union all ".join(
+        f"""select '{name}' as grid, g.cut, count(*) filter ({column} >= g.cut) as rows
+            from scored, (select unnest({cuts}::double[]) as cut) g group by g.cut""" for name, (column, cuts) in _GRIDS.items()), "scored"),
 )
 def threshold_grid(spark, sf_dir):
-    """Documents at or above each cut of an even grid, all cuts in one pass."""
-    cuts = [round(0.55 + 0.05 * i, 2) for i in range(7)]
+    """Documents at or above each cut of three even grids (60, 20 and 25 points), all cuts in one pass."""
     counted = scored_documents(spark, sf_dir).agg(F.array(*[
-        F.struct(F.lit(c).alias("cut"), F.count_if(F.col("score") >= c).alias("rows")) for c in cuts
+        F.struct(F.lit(name).alias("grid"), F.lit(c).alias("cut"), F.count_if(F.col(column) >= c).alias("rows"))
+        for name, (column, cuts) in _GRIDS.items() for c in cuts
     ]).alias("grid"))
     return counted.select(F.inline("grid"))
 

@@ -13,7 +13,7 @@ from cohortlens.operators.cohort import eligible_cohort, group_percentile
 from cohortlens.operators.dataset import complete_rows, positive_rows
 from cohortlens.operators.lookahead import lookahead_label
 from cohortlens.operators.nearest import nearest
-from cohortlens.operators.neighbor_features import neighbor_features
+from cohortlens.operators.neighbor_features import neighbor_features, neighbor_features_upto
 from cohortlens.operators.scale import materialise
 from cohortlens.sources.schemas import FEATURES, PANEL_KEYS
 
@@ -207,3 +207,22 @@ def model_matrix(
         .select("GEO_ID", "state", *MODEL_FEATURES, *extra, LABEL)
         .na.drop()
     )
+
+
+def neighbor_sweep_tables(
+    counts: DataFrame, attributes: DataFrame, most: int, s: StudySettings = StudySettings()
+) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows with their own features, and their neighbour summaries for 1 to ``most`` neighbours.
+
+    The neighbours are searched once; every count is a running summary over their ranks.
+    """
+    attributes = materialise(typed_attributes(attributes), "attributes")
+    panel = materialise(feature_panel(counts, s), "panel")
+    located = materialise(with_attributes(panel, attributes), "located")
+    rows = materialise(with_attributes(labelled_cohort(panel, s), attributes), "labelled")
+    near = tract_neighbors(located, most, rows.select("GEO_ID", "state", "year"), s.neighbor_group)
+    upto = neighbor_features_upto(
+        near, located.withColumn("land_area", F.col("ALAND10")), id="GEO_ID", weight="population",
+        mean_cols=NEIGHBOR_MEANS, sum_cols=NEIGHBOR_TOTALS,
+    )
+    return rows.select("GEO_ID", *OWN_FEATURES, LABEL).na.drop(), materialise(upto, "upto")

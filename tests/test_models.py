@@ -73,7 +73,7 @@ def test_grid_and_staged_search(rows):
 
 
 def test_penalty_sweep(rows):
-    got = tuning.sweep_alpha(rows, NAMES, [0.001, 10.0], trees=3, folds=3, fold_col="fold").collect()
+    got = tuning.sweep_alpha(rows, NAMES, [0.001, 10.0], trees=3).collect()
     assert got[0]["kept"] >= 2 and got[0]["auc"] > 0.8
     assert got[1]["kept"] == 0 and got[1]["auc"] is None
 

@@ -10,7 +10,7 @@ from tools.compare import TABLES, differences
 SF = "/root/testdata/sf0.001"
 SLOW = {
     "logistic_study", "boosted_trees_study", "network_study", "lasso_features", "neighbor_count_sweep",
-    "staged_tuning", "penalty_sweep", "network_grid", "forest_study", "study_model_figures",
+    "staged_tuning", "penalty_sweep", "network_grid", "forest_study", "study_model_figures", "boosted_trees_compared",
 }
 
 
