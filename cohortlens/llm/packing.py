@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from cohortlens.llm.common import hold_memory, tokenizer_bytes
 
 #: Words, and pieces of words, whose ids a worker remembers in each of two generations.
-_REMEMBERED = 250_000
+_REMEMBERED = 300_000
 #: Pieces that go to the library at once, which bounds the memory of its results.
 _AT_ONCE = 8192
 #: Texts that are encoded together.
@@ -147,13 +147,13 @@ class WordEncoder:
             found.update(self._encode_whole(other[i : i + _AT_ONCE]))
         return found
 
-    def _lowered(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "surrogatepass")
+    def _lowered(self, text: str | bytes) -> list[bytes]:
+        raw = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
         lowered = raw.lower()
         # A special string is one only as it is written.
         return (raw if any(s in lowered for s in self._specials) else lowered).split()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str | bytes]) -> list[np.ndarray]:
         # Nothing here refers to itself; collecting would only walk over all that is remembered.
         collecting = gc.isenabled()
         gc.disable()
@@ -163,7 +163,7 @@ class WordEncoder:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode(self, texts: list[str | bytes]) -> list[np.ndarray]:
         split = [self._lowered(t) for t in texts]
         words = self._words
         missing = set().union(*split).difference(words.young)
@@ -354,7 +354,7 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """
     definition = tokenizer_bytes(tokenizer)
     id_type = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.col(f"`{id_column}`").cast("string").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(F.col(f"`{id_column}`").cast("string").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold_memory("packing", word_encoder.cache_clear)
@@ -366,7 +366,7 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             return pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": object})
 
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = [t if isinstance(t, bytes) else b"" for t in batch["text"]]
             names = [d if isinstance(d, str) else None for d in batch["doc_id"]]
             for i in range(0, len(texts), _SLICE):
                 for doc_id, tokens in zip(names[i : i + _SLICE], encode(texts[i : i + _SLICE])):
