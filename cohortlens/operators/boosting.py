@@ -109,11 +109,12 @@ def _rows_limit(settings: BoostSettings) -> int:
     return int(settings.row_share * _PRIME)
 
 
-def best_splits(sums: np.ndarray, settings: BoostSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_splits(sums: np.ndarray, settings: BoostSettings, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per node the best feature (-1: none), its cut, and the node's weight.
 
     ``sums`` is (node, feature, bin, 2): gradients and hessians. A cut c sends bins up to c to the
-    left. Equal gains go to the first feature, then the lowest cut.
+    left. Equal gains go to the first feature, then the lowest cut. ``allowed`` says per node which
+    features may split it.
     """
     total = sums[:, 0].sum(axis=1)
 
@@ -133,6 +134,8 @@ def best_splits(sums: np.ndarray, settings: BoostSettings) -> tuple[np.ndarray,
     # Sums run in another order on a cluster; what is equal but for rounding must stay equal.
     gain = np.round(gain, 9)
     enough = (left[..., 1] >= settings.least_weight) & (right[..., 1] >= settings.least_weight)
+    if allowed is not None:
+        enough &= allowed[:, :, None]
     gain = np.where(enough, gain, -np.inf).reshape(len(sums), -1)
     if gain.shape[1] == 0:
         return np.full(len(sums), -1), np.zeros(len(sums), np.int64), weight

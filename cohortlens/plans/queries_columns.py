@@ -17,7 +17,7 @@ from cohortlens.functions import (
     without_last,
     join_key,
 )
-from cohortlens.operators import dataset, profile
+from cohortlens.operators import dataset, profile, sketches
 from cohortlens.operators.cohort import group_percentile
 from cohortlens.operators.metrics import positive_class
 from cohortlens.operators.neighbor_features import prefixed
@@ -461,3 +461,31 @@ def undersampled_random(spark, sf_dir):
     ratio = profile.class_ratio(docs, "rare").first()["ratio"]
     sampled = dataset.undersample_random(docs, "rare", ratio or 1.0, 42)
     return sampled.groupBy("rare").agg(F.count("*").alias("rows"))
+
+
+@query(
+    "A04 A05 A06",
+    sql("""select state, count(*) as rows, round(quantile_disc(cast(med as double), 0.1), 4) as p10,
+                  round(quantile_disc(cast(med as double), 0.5), 4) as p50, round(quantile_disc(cast(med as double), 0.9), 4) as p90
+           from spend group by state""", "spend"),
+)
+def sketched_percentiles(spark, sf_dir):
+    """Percentiles per state from stored sketches per state and year; exact for groups of this size."""
+    stored = sketches.sketch_table(spend_panel(spark, sf_dir), ["state", "year"], "med", "id")
+    by_state = sketches.merged(stored, ["state"])
+    found = sketches.percentiles(by_state, ["state", "rows"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return found.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p90")})
+
+
+@query(
+    "A15 J07",
+    sql("""select s.state, count(distinct s.id) as keys, count(distinct c.c_custkey) as known_keys
+           from spend s left join (select c_custkey from customer where c_acctbal > 0) c on s.id = c.c_custkey group by s.state""", "spend"),
+)
+def sketched_key_coverage(spark, sf_dir):
+    """Customers per state over all years, and those of them with a positive balance, by intersecting stored sketches."""
+    stored = sketches.sketch_table(spend_panel(spark, sf_dir), ["state", "year"], "med", "id")
+    positive = table(spark, sf_dir, "customer").filter("c_acctbal > 0").withColumn("all", F.lit(0))
+    reference = sketches.sketch_table(positive, ["all"], "c_acctbal", "c_custkey")
+    covered = sketches.common_keys(sketches.merged(stored, ["state"]), "state", reference)
+    return covered.select("state", F.col("keys").cast("bigint").alias("keys"), F.col("known_keys").cast("bigint").alias("known_keys"))

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators import boosting, dataset, lasso_path, metrics, models, profile, tuning
+from cohortlens.operators import boosting, dataset, forest, lasso_path, metrics, models, profile, tuning
 from cohortlens.operators.scale import materialise, new_table_path
 from cohortlens.plans.derived_tables import (
     DOCUMENT_FEATURES,
@@ -397,6 +397,49 @@ def boosted_stumps(spark, sf_dir):
     return boosting.score_boosted(model, test, ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_BAGS = forest.ForestSettings(trees=3, depth=1, features_a_node=4, least_weight=5.0)
+
+
+def _bag_sql() -> str:
+    """Row weights of each tree, the weighted split that lowers the variance most, and the mean of two shares."""
+    listed = ", ".join(f"('{f}', {i}, {c}, {e!r})" for i, (f, es) in enumerate(_STUMP_EDGES.items()) for c, e in enumerate(es))
+    value = "case feature " + " ".join(f"when '{f}' then {f}" for f in _STUMP_EDGES) + " end"
+    draw = f"cast(floor({hash_unit('doc_id', seed='draw-42')} * 2147483646) as bigint)"
+    parts, scores = [f"cuts as (select * from (values {listed}) v(feature, place, cut, edge))"], []
+    for t, m in enumerate(forest._multipliers(_BAGS)):
+        drawn = " + ".join(f"cast(u >= {x!r}::double as integer)" for x in forest.TIMES)
+        gain = "round(0.5 * (ly * ly / lw + (ty - ly) * (ty - ly) / (tw - lw) - ty * ty / tw), 9)"
+        parts += [
+            f"w{t} as materialized (select *, {drawn} as w from (select *, ({draw} * {m} % 2147483647) / 2147483647.0::double as u from train))",
+            f"t{t} as (select sum(w * quality)::double as ty, sum(w)::double as tw from w{t})",
+            f"l{t} as (select feature, place, cut, edge, sum(w * quality)::double as ly, sum(w)::double as lw from w{t}, cuts where {value} < edge group by all)",
+            f"b{t} as materialized (select * from l{t}, t{t} where lw >= 5 and tw - lw >= 5 and {gain} > 0 order by {gain} desc, place, cut limit 1)",
+            f"s{t} as (select doc_id, case when {value} < edge then ly / lw else (ty - ly) / (tw - lw) end as score from test, b{t})",
+        ]
+        scores.append(f"select * from s{t}")
+    return sql(f"select doc_id, round(avg(score), 6) as score from (with {', '.join(parts)} {' union all '.join(scores)}) group by doc_id", "docs", test=_TEST, train=_TRAIN)
+
+
+@query("M06 M11", _bag_sql())
+def bagged_stumps(spark, sf_dir):
+    """Three bagged stumps on documents, rows drawn by a hash of their key; scores of the test documents."""
+    train, test = _documents(spark, sf_dir)
+    edges = [[float(e) for e in es] for es in _STUMP_EDGES.values()]
+    model = forest.fit_forest(train, list(_STUMP_EDGES), "label", ["doc_id"], _BAGS, edges=edges)
+    return forest.score_forest(model, test, ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("M06 M11 E01 E02 E03 E06")
+def bagged_forest_study(spark, sf_dir):
+    """The forest that does not depend on partitions, on the study: its test figures beside MLlib's."""
+    train, test = _study(spark, sf_dir)
+    train = materialise(train, "train")
+    own = forest.score_forest(forest.fit_forest(train, MODEL_FEATURES, LABEL, ["GEO_ID", "year"]), test, [LABEL])
+    fitted = models.fit(train, models.with_features(models.random_forest(LABEL), MODEL_FEATURES, None))
+    both = {"by key": own, "by partition": models.score(fitted, test, [LABEL])}
+    return functools.reduce(DataFrame.unionByName, [_figures(s).select(F.lit(n).alias("bags"), "*") for n, s in both.items()])
+
+
 @query("M15 A17 A18 M14 M04 M05 M06")
 def neighbor_count_sweep(spark, sf_dir):
     """Five-fold AUC of the study for 0 to 20 neighbours, then the base models with the best count.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +35,58 @@ def read_csv(
     if schema is None:
         return (reader.option("inferSchema", True) if infer else reader).csv(paths)
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    header = reader.csv(paths).columns
+    return _csv_with_header(spark, paths, wanted, reader.csv(paths).columns)
+
+
+def _csv_with_header(spark: SparkSession, paths: str | Sequence[str], wanted: T.StructType, header: Sequence[str]) -> DataFrame:
     absent = [f.name for f in wanted if f.name not in header]
     if absent:
-        raise ValueError(f"columns {absent} are not in the header {header}")
+        raise ValueError(f"columns {absent} are not in the header {list(header)}")
     types = {f.name: f.dataType for f in wanted}
     by_header = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    return reader.option("enforceSchema", False).schema(by_header).csv(paths).select(*wanted.names)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    return reader.schema(by_header).csv(paths).select(*wanted.names)
+
+
+def csv_headers(spark: SparkSession, paths: Sequence[str], parallelism: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """Files under the paths (folders, globs) by the columns in their first line; empty files are left out.
+
+    Spark lists the files; of each only the start is read, through Hadoop's file systems and
+    codecs, several at a time.
+    """
+    files = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).inputFiles())
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def header(name: str) -> tuple[str, ...]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+            plain = codec.createInputStream(stream) if codec is not None else stream
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        return tuple(next(csv.reader([line.removeprefix("\ufeff")]))) if line else ()
+
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(parallelism) as pool:
+        for name, columns in zip(files, pool.map(header, files)):
+            if columns:
+                found.setdefault(columns, []).append(name)
+    return found
 
 
 def read_csv_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str) -> DataFrame:
-    """Files (or folders or globs) whose headers list the same columns in different orders."""
-    return combine([read_csv(spark, p, schema) for p in paths])
+    """Files (or folders or globs) whose headers list the columns in any orders, found by name.
+
+    Files are grouped by header and each group is one scan, however many files it has. A header
+    without a wanted column raises; paths without files give an empty table.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    groups = csv_headers(spark, paths)
+    if not groups:
+        return spark.createDataFrame([], wanted)
+    return combine([_csv_with_header(spark, files, wanted, header) for header, files in groups.items()])
 
 
 def read_counts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
