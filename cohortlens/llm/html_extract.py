@@ -1,4 +1,9 @@
-"""Main text of web pages by template deduction from equivalence classes of tokens."""
+"""Main text of web pages by template deduction from equivalence classes of tokens.
+
+Tokens with equal occurrence vectors over the pages of a host form a class. Classes on nearly all
+pages are the outer template; others are optional parts if they are valid: their tokens stand in
+one order, inside one gap of every class that is on more pages. What is left are the slots.
+"""
 
 from __future__ import annotations
 
@@ -62,15 +67,21 @@ _STATE = re.compile(r"\b(?:has|no|with|without)-[\w-]+|\b[\w-]+-(?:open|closed|e
 class TemplateSettings:
     """When a class of tokens with equal occurrence vectors belongs to a host's template.
 
-    It must hold ``least_tokens`` tokens, occur in ``share`` of the host's pages, and the host
-    must have ``least_pages`` different pages; then what its tokens say is no content.
-    A text block of up to ``word_block`` words is cut into words, a longer one is one token.
+    It must hold ``least_tokens`` tokens. In ``share`` of the different pages of a host with
+    ``least_pages`` of them it is the outer template. A class that occurs on ``least_support``
+    different pages and brings an element of its own, or is in ``share`` of the pages of a smaller
+    host, is an optional part if its tokens always stand in one order and inside one gap of each
+    class that is on more pages; a line without markup of its own may be quoted, and stays. Parts that would take more than ``most_dropped`` of a page's words are that page's text:
+    so near copies of an article are no template. A text block of up to ``word_block`` words is
+    cut into words, a longer one is one token.
     """
 
     least_pages: int = 8
     share: float = 0.95
     least_tokens: int = 2
     word_block: int = 12
+    least_support: int = 3
+    most_dropped: float = 0.4
 
 
 @dataclass
@@ -81,6 +92,7 @@ class Block:
     words: list[str]
     in_article: bool
     dropped: bool
+    place: int
 
 
 def _names(rest: str) -> tuple[str, set[str]]:
@@ -91,11 +103,11 @@ def _names(rest: str) -> tuple[str, set[str]]:
 
 
 class _Page:
-    """Cuts a page into blocks and notes the path of every element."""
+    """Cuts a page into blocks and notes the path and place of every element."""
 
     def __init__(self, source: str) -> None:
         self.blocks: list[Block] = []
-        self.paths: list[str] = []
+        self.elements: list[tuple[int, str]] = []
         self._open: list[tuple[str, str, bool, bool, frozenset[str] | None]] = []  # name, path, in article, dropped, by which words (None: not by words alone)
         self._text: list[str] = []
         self._read(source)
@@ -105,7 +117,7 @@ class _Page:
         self._text = []
         if words:
             _, path, inside, dropped, _ = self._open[-1] if self._open else ("", "", False, False, frozenset())
-            self.blocks.append(Block(path, words, inside, dropped))
+            self.blocks.append(Block(path, words, inside, dropped, len(self.blocks) + len(self.elements)))
 
     def _start(self, name: str, rest: str) -> None:
         block = name in _BLOCKS
@@ -124,7 +136,7 @@ class _Page:
         if name in ("article", "main") and dropped and by is not None and not (by & _OTHER_ARTICLES and _names(_STATE.sub("", rest))[1] & _OTHER_ARTICLES):
             dropped, by = False, frozenset()
         path = f"{path}/{name}{label}"
-        self.paths.append(path)
+        self.elements.append((len(self.blocks) + len(self.elements), path))
         by = None if fixed or by is None else by | words
         dropped = dropped or own_drop
         self._open.append((name, path, inside or article and not dropped, dropped, by))
@@ -181,19 +193,26 @@ def _block_tokens(block: Block, settings: TemplateSettings) -> list[int]:
     return [_hash("text", block.path, " ".join(block.words))]
 
 
-def page_tokens(source: str, settings: TemplateSettings) -> dict[int, tuple[int, int]]:
-    """Tokens of a page: how often each occurs and its first place.
+def page_tokens(source: str, settings: TemplateSettings) -> dict[int, tuple[int, int, bool]]:
+    """Tokens of a page: how often each occurs, its first place, and whether it is an element.
 
     A token is an element with its path, or a word (or a long text) with the path where it
-    stands, so equal words in different places are different tokens.
+    stands, so equal words in different places are different tokens. Elements and blocks are
+    numbered in page order.
     """
     page = _Page(source)
-    tokens = [_hash("tag", p) for p in page.paths]
+    found: dict[int, tuple[int, int, bool]] = {}
+
+    def note(token: int, place: int, element: bool) -> None:
+        n, first, _ = found.get(token, (0, place, element))
+        found[token] = n + 1, first, element
+
+    for place, path in page.elements:
+        note(_hash("tag", path), place * 4096, True)
     for block in page.blocks:
-        tokens += _block_tokens(block, settings)
-    times = Counter(tokens)
-    first = {t: i for i, t in reversed(list(enumerate(tokens)))}
-    return {t: (n, first[t]) for t, n in times.items()}
+        for i, token in enumerate(_block_tokens(block, settings), 1):
+            note(token, block.place * 4096 + i, False)
+    return found
 
 
 def _in_order(template: dict[int, float], tokens: list[int]) -> set[int]:
@@ -217,7 +236,15 @@ def _in_order(template: dict[int, float], tokens: list[int]) -> set[int]:
     return kept
 
 
-def main_text(source: str | None, template: dict[int, float] | None = None, settings: TemplateSettings = TemplateSettings()) -> str:
+@dataclass
+class Template:
+    """Tokens of a host's outer template with their mean places, and the tokens of each optional part."""
+
+    outer: dict[int, float]
+    parts: list[frozenset[int]]
+
+
+def main_text(source: str | None, template: Template | None = None, settings: TemplateSettings = TemplateSettings()) -> str:
     """Text of the slots that remain when the template and what is no article are taken away."""
     if not source:
         return ""
@@ -225,24 +252,56 @@ def main_text(source: str | None, template: dict[int, float] | None = None, sett
     blocks = [b for b in page.blocks if not b.dropped]
     if any(b.in_article for b in blocks):
         blocks = [b for b in blocks if b.in_article]
-    if template:
+    if template and template.outer:
         tokens = [_block_tokens(b, settings) for b in blocks]
-        valid = _in_order(template, [t for row in tokens for t in row])
+        valid = _in_order(template.outer, [t for row in tokens for t in row])
         blocks = [b for b, row in zip(blocks, tokens) if not all(t in valid for t in row)]
+    if template and template.parts:
+        on_page = page_tokens(source, settings)
+        # A part is on the page with all of its tokens or not at all.
+        inside = {t for part in template.parts if part <= on_page.keys() for t in part}
+        left = [b for b in blocks if not all(t in inside for t in _block_tokens(b, settings))]
+        words = sum(len(b.words) for b in blocks)
+        if words - sum(len(b.words) for b in left) <= settings.most_dropped * words:
+            blocks = left
     return "\n\n".join(" ".join(b.words) for b in blocks)
 
 
-def host_templates(pages: DataFrame, settings: TemplateSettings = TemplateSettings()) -> DataFrame:
-    """``host``, ``template``: tokens of the large, frequent classes of each host with their mean places.
+def class_gaps(classes: list[int], pages: list[int], places: list[int], ranks: list[int]) -> list[tuple[int, int, int, bool]]:
+    """Per class of a page and each class that is on more pages: (class, other, gap, valid).
 
-    Classes are neither checked for order and overlap nor nested; optional parts have no template.
+    The four lists have one entry per token: its class, on how many pages that is, where the token
+    stands, and its number in the class. ``gap`` is how many tokens of the other class come
+    before; valid says that the class stands in order and in one gap. A first row compares a class
+    with itself, for its order alone.
+    """
+    members: dict[int, list[tuple[int, int]]] = {}
+    support: dict[int, int] = {}
+    for c, n, place, rank in zip(classes, pages, places, ranks):
+        members.setdefault(c, []).append((rank, place))
+        support[c] = n
+    rows = {c: [p for _, p in sorted(m)] for c, m in members.items()}
+    out = []
+    for c, row in rows.items():
+        ordered = all(a < b for a, b in zip(row, row[1:]))
+        out.append((c, c, 0, ordered))
+        for other in rows:
+            if support[other] > support[c]:
+                before = bisect_left(rows[other], row[0])
+                out.append((c, other, before, ordered and before == bisect_left(rows[other], row[-1])))
+    return out
 
-    ``pages`` has columns ``host`` and ``html``. Copies of a page on a host count once: they are
-    reduced to one row before they are cut into tokens. The occurrence vector of a token (its count
-    in each different page of the host) is summarised by sums of hashes of (page, count), which combine before
-    the shuffle, so a host with a third of all pages is a few rows per task. Tokens with equal
-    summaries form a class. A token that is in nearly all pages of a host can only be one of those
-    on an average page, so a template is bounded by the size of a page.
+
+def host_templates(pages: DataFrame, settings: TemplateSettings = TemplateSettings()) -> DataFrame:
+    """``host``, ``outer`` (tokens and mean places of the outer template), ``parts`` (tokens of each optional part).
+
+    ``pages`` has columns ``host`` and ``html``. Copies of a page on a host count once: tokens are
+    kept once per (host, page hash, token), so no html is shuffled. The occurrence vector of a
+    token (its count in each different page of the host) is summarised by sums of hashes of (page,
+    count), which combine before the shuffle, so a host with a third of all pages is a few rows per
+    task. Tokens with equal summaries form a class. Classes are checked page by page for one
+    order, and for one gap in each class that is on more pages; one that fails on any page is no
+    part.
     """
     pages = pages.where("host <> '' AND html IS NOT NULL")
 
@@ -250,33 +309,57 @@ def host_templates(pages: DataFrame, settings: TemplateSettings = TemplateSettin
         for batch in batches:
             for s in range(0, len(batch), 500):
                 rows = [
-                    (host, page, token, n, place)
+                    (host, page, token, n, place, element)
                     for host, page, source in zip(batch["host"][s : s + 500], batch["page"][s : s + 500], batch["html"][s : s + 500])
-                    for token, (n, place) in page_tokens(source, settings).items()
+                    for token, (n, place, element) in page_tokens(source, settings).items()
                 ]
-                yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "place"])
+                yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "place", "element"])
 
-    keyed = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.first("html").alias("html"))
-    found = keyed.mapInPandas(tokens, "host string, page long, token long, n int, place int")
-    vectors = found.groupBy("host", "token").agg(
+    keyed = pages.select("host", F.xxhash64("html").alias("page"), "html")
+    found = keyed.mapInPandas(tokens, "host string, page long, token long, n int, place int, element boolean")
+    once = found.groupBy("host", "token", "page").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.first("element").alias("element"))
+    once = stored(once, "tokens")
+    vectors = once.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"),
         F.bit_xor(F.xxhash64("page", "n")).alias("mark"),
         F.sum(F.pmod(F.xxhash64("n", "page"), F.lit(1 << 36))).alias("mark2"),
         F.avg("place").alias("place"),
+        F.first("element").alias("element"),
+    ).where(F.col("pages") >= settings.least_support)
+    hosts = keyed.groupBy("host").agg(F.count_distinct("page").alias("different"))
+    hosts = small_or_not(stored(hosts.where(F.col("different") >= settings.least_support), "hosts"))
+    classes = vectors.join(hosts, "host").groupBy("host", "different", "pages", "mark", "mark2").agg(
+        F.sort_array(F.collect_list(F.struct("place", "token"))).alias("tokens"), F.bool_or("element").alias("element")
     )
-    hosts = pages.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("different"))
-    hosts = small_or_not(stored(hosts.where(F.col("different") >= settings.least_pages), "hosts"))
-    frequent = vectors.join(hosts, "host").where(F.col("pages") >= settings.share * F.col("different"))
-    classes = frequent.groupBy("host", "pages", "mark", "mark2").agg(F.collect_list(F.struct("token", "place")).alias("tokens"))
-    valid = classes.where(F.size("tokens") >= settings.least_tokens)
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    classes = classes.where(F.size("tokens") >= settings.least_tokens)
+    usual = F.col("pages") >= settings.share * F.col("different")
+    classes = classes.where(usual | F.col("element")).withColumn("outer", usual & (F.col("different") >= settings.least_pages))
+    classes = stored(classes.withColumn("class", F.xxhash64("pages", "mark", "mark2")), "classes")
+
+    @F.pandas_udf("array<struct<class:long,other:long,gap:int,valid:boolean>>")
+    def gaps(rows: pd.Series) -> pd.Series:
+        fields, out = ("class", "pages", "place", "rank"), ("class", "other", "gap", "valid")
+        return pd.Series([[dict(zip(out, x)) for x in class_gaps(*([t[f] for t in row] for f in fields))] for row in rows], dtype=object)
+
+    listed = classes.select("host", "class", "pages", F.posexplode("tokens").alias("rank", "t"))
+    listed = small_or_not(stored(listed.select("host", "class", "pages", "rank", F.col("t.token").alias("token")), "class-tokens"))
+    seen = once.select("host", "page", "token", "place").join(listed, ["host", "token"])
+    of_page = seen.groupBy("host", "page").agg(F.collect_list(F.struct("class", "pages", "place", "rank")).alias("rows"))
+    pairs = of_page.select("host", F.explode(gaps("rows")).alias("c")).groupBy("host", "c.class", "c.other")
+    pairs = pairs.agg((F.bool_and("c.valid") & (F.min("c.gap") == F.max("c.gap"))).alias("valid"))
+    checked = pairs.groupBy("host", "class").agg(F.bool_and("valid").alias("valid")).where("valid")
+    parts = classes.where("NOT outer").join(checked, ["host", "class"], "left_semi")
+    parts = parts.groupBy("host").agg(F.collect_list("tokens.token").alias("parts"))
+    outers = classes.where("outer").groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("outer"))
+    return outers.join(parts, "host", "full")
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", settings: TemplateSettings = TemplateSettings(), name: str = "text") -> DataFrame:
     """Add column ``name``: the main text of each page's whole html.
 
-    Templates are deduced from all pages of a host, then each page is read on its own. Hosts with
-    few different pages, and pages without a host, have no template; there and everywhere,
+    Templates are deduced from all pages of a host, then each page is read on its own: first
+    without the blocks of the outer template, then without those of optional parts. Hosts with
+    fewer than three different pages, and pages without a host, have no template; there and everywhere,
     elements that HTML or their names mark as no article are left out, and if a page has an
     article element, only what stands in it is text. A class word never drops html, body, main or
     article, and an article or main inside an element that only a class word drops is kept, unless
@@ -286,19 +369,21 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", se
     an empty table stays empty; a column called ``name`` is replaced. Templates are broadcast if
     their files are small, else joined by host.
     """
-    host, template = free_names(pages, "host", "template")
+    host, outer, parts = free_names(pages, "host", "outer", "parts")
     keyed = pages.withColumn(host, host_column(F.col(f"`{url}`")))
     narrow = keyed.select(F.col(host).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
-    templates = stored(host_templates(narrow, settings), "templates").withColumnsRenamed({"host": host, "template": template})
+    templates = stored(host_templates(narrow, settings), "templates").withColumnsRenamed({"host": host, "outer": outer, "parts": parts})
 
     @F.pandas_udf("string")
-    def extract(sources: pd.Series, rows: pd.Series) -> pd.Series:
+    def extract(sources: pd.Series, outers: pd.Series, optional: pd.Series) -> pd.Series:
         texts = []
-        for source, row in zip(sources, rows):
-            template = {t["token"]: t["place"] for t in row} if isinstance(row, (list, np.ndarray)) else None
+        for source, row, part in zip(sources, outers, optional):
+            listed = {t["token"]: t["place"] for t in row} if isinstance(row, (list, np.ndarray)) else {}
+            sets = [frozenset(int(t) for t in p) for p in part] if isinstance(part, (list, np.ndarray)) else []
+            template = Template(listed, sets) if listed or sets else None
             texts.append(main_text(source if isinstance(source, str) else None, template, settings))
         return pd.Series(texts, dtype=object)
 
     joined = keyed.join(small_or_not(templates), host, "left")
-    text = extract(F.col(f"`{html}`").cast("string"), F.col(template)).alias(name)
+    text = extract(F.col(f"`{html}`").cast("string"), F.col(outer), F.col(parts)).alias(name)
     return joined.select(*[F.col(f"`{c}`") for c in pages.columns if c != name], text)

@@ -16,7 +16,7 @@ import corpus_pipeline
 from cohortlens.llm import embeddings, simhash
 from cohortlens.llm.common import ship_package
 from cohortlens.llm.embeddings import IndexSettings, ProductIndex, cosine_links
-from cohortlens.llm.html_extract import TemplateSettings, extract_main_text, main_text
+from cohortlens.llm.html_extract import TemplateSettings, extract_main_text, host_templates, main_text, page_tokens
 from cohortlens.llm.links import components
 from cohortlens.llm.oracles import COSINE_LINKS_SQL, URL_RULES
 from cohortlens.llm.queries import ORACLES, QUERIES
@@ -413,3 +413,112 @@ def test_the_rest_does_not_need_this_package():
         "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1_') for k in q)"
     )
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+# --- optional parts of templates -----------------------------------------------------------------
+
+
+def story(rng, words=60):
+    paragraphs = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.randint(words // 2, words))) for _ in range(4)]
+    return paragraphs
+
+
+def texts_of(spark, rows):
+    """Extracted text by page; rows are (page_id, url, html)."""
+    ship_package(spark)
+    return {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_optional_parts_and_small_hosts_come_out_clean(spark):
+    rng, rows, want = random.Random(21), [], {}
+
+    def page(host, parts, notice="", frame=("", "")):
+        i = len(rows)
+        body = [f"<p>{p}</p>" for p in parts]
+        middle = len(body) // 2
+        html = "".join([frame[0], "<div>", *body[:middle], notice, *body[middle:], "</div>", frame[1]])
+        rows.append((i, f"http://{host}/{i}", html))
+        want[i] = "\n\n".join(parts)
+
+    # A notice on half of the pages, an offer on a third, sometimes both; no telling names.
+    for i in range(40):
+        notice = "<section><p>Read the rules of this place before you write to us</p></section>" * (i % 2) + "<div><span>Offer</span> of the week is here</div>" * (i % 3 == 0)
+        page("half.org", [*story(rng), *["As they say every rose has its thorn"] * (i % 4 > 1)], notice)
+    # Five pages with the same words around each story.
+    for i in range(5):
+        page("small.org", story(rng), frame=("<div>All about gardens and trees</div>", "<div>Written by the garden club, tell your friends</div>"))
+    got = texts_of(spark, rows)
+    assert got == want
+
+
+def test_near_copies_and_shared_passages_stay(spark):
+    rng, rows, want = random.Random(22), [], {}
+
+    def page(host, parts):
+        i = len(rows)
+        rows.append((i, f"http://{host}/{i}", "<div>" + "".join(f"<p>{p}</p>" for p in parts) + "</div>"))
+        want[i] = "\n\n".join(parts)
+
+    for _ in range(30):
+        page("news.org", story(rng))
+    # Six near copies of one story, each with another last paragraph; a passage quoted on five other pages.
+    copied, passage = story(rng), " ".join(story(rng)[0].split()[:40])
+    for _ in range(6):
+        page("news.org", [*copied[:3], story(rng)[0]])
+    for _ in range(5):
+        page("news.org", [*story(rng)[:3], passage, story(rng)[0]])
+    for _ in range(4):
+        page("copies.org", [*copied[:3], story(rng)[0]])
+    assert texts_of(spark, rows) == want
+
+
+def plain_classes(pages, settings):
+    """Parts of one host by comparing whole occurrence vectors, and every page by itself."""
+    tokens = [page_tokens(p, settings) for p in dict.fromkeys(pages)]
+    vectors = {t: tuple(p.get(t, (0,))[0] for p in tokens) for p in tokens for t in p}
+    classes = {}
+    for t, v in vectors.items():
+        classes.setdefault(v, []).append(t)
+    support = {v: sum(x > 0 for x in v) for v in classes}
+    element = {v: any(p[t][2] for t in ts for p in tokens if t in p) for v, ts in classes.items()}
+    large = {
+        v: sorted(ts, key=lambda t: np.mean([p[t][1] for p in tokens if t in p])) for v, ts in classes.items()
+        if len(ts) >= settings.least_tokens and support[v] >= settings.least_support
+        and (support[v] >= settings.share * len(tokens) or element[v])
+    }
+    outer = {v for v in large if len(tokens) >= settings.least_pages and support[v] >= settings.share * len(tokens)}
+    parts = set()
+    for v, ts in large.items():
+        gaps, valid = {}, v not in outer
+        for p, n in zip(tokens, v):
+            if n:
+                row = [p[t][1] for t in ts]
+                valid &= all(a < b for a, b in zip(row, row[1:]))
+                for w, us in large.items():
+                    if us[0] in p and support[w] > support[v]:
+                        before = {sum(p[u][1] < place for u in us) for place in row}
+                        valid &= gaps.setdefault(w, before) == before and len(before) == 1
+        if valid:
+            parts.add(frozenset(ts))
+    return {t for v in outer for t in large[v]}, parts
+
+
+def test_templates_equal_plain_deduction(spark):
+    ship_package(spark)
+    rng, settings = random.Random(23), TemplateSettings()
+    rows, hosts = [], {}
+    for h, n in enumerate((30, 12, 6, 3, 2)):
+        bits = [f"<div><b>bit{h}</b> {' '.join(story(rng)[0].split()[:4])}</div>" for _ in range(5)]
+        for i in range(n):
+            chosen = [b for k, b in enumerate(bits) if k == 0 or rng.random() < 0.5]
+            if rng.random() < 0.3:
+                rng.shuffle(chosen)
+            body = [f"<p>{p}</p>" for p in story(rng, 20)]
+            html = "<main>" + "".join([*chosen[:2], *body, *chosen[2:]]) + "</main>"
+            rows += [(f"h{h}", html)] * (1 + (i == 0))
+            hosts.setdefault(f"h{h}", []).append(html)
+    found = host_templates(spark.createDataFrame(rows, "host string, html string").repartition(4), settings).collect()
+    got = {r["host"]: ({t["token"] for t in r["outer"] or []}, {frozenset(p) for p in r["parts"] or []}) for r in found}
+    for host, pages in hosts.items():
+        assert got.get(host, (set(), set())) == plain_classes(pages, settings), host
+    assert any(parts for _, parts in got.values()) and any(outer for outer, _ in got.values())
