@@ -21,6 +21,8 @@ _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _GENERATOR = 0b101011100011
 #: A bucket with more fingerprints is joined in blocks of this size.
 _BLOCK = 512
+#: Ids are broadcast up to this many bytes as written; in memory they take some thirty times that.
+_SMALL_IDS = 4 << 20
 _SLICE = 1 << 15
 
 
@@ -172,12 +174,12 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     chosen = F.col("id").eqNullSafe(F.col("component_id"))
     ids = groups.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.count_if(chosen).alias("chosen")).where("chosen > 0")
     ids = stored(ids.select(F.col("id").alias("kept_id"), (F.col("times") == 1).alias("single")), "ids")
-    single = small_or_not(stored(ids.where("single").select("kept_id"), "single-ids"))
+    single = small_or_not(stored(ids.where("single").select("kept_id"), "single-ids"), _SMALL_IDS)
     once = docs.join(single, id_.eqNullSafe(single["kept_id"]), "left_semi")
     several = ids.where("NOT single").select("kept_id")
     if several.isEmpty():
         return once
-    several = small_or_not(stored(several, "several-ids"))
+    several = small_or_not(stored(several, "several-ids"), _SMALL_IDS)
     fp, group = free_names(docs, "simhash", "simhash_group")
     rows = docs.join(several, id_.eqNullSafe(several["kept_id"]), "left_semi").withColumn(fp, fingerprint_column(F.col(f"`{text}`"), shingle))
     marked = groups.where(chosen).join(several, groups["id"].eqNullSafe(several["kept_id"]), "left_semi")
