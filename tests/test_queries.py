@@ -8,6 +8,8 @@ from cohortlens.plans.catalog import ENTRIES
 from tools.compare import TABLES, differences
 
 SF = "/root/testdata/sf0.001"
+#: Large enough for groups that the ways for large groups really cut.
+ORACLE_SF = "/root/testdata/sf0.01"
 SLOW = {
     "logistic_study", "boosted_trees_study", "network_study", "lasso_features", "neighbor_count_sweep",
     "staged_tuning", "penalty_sweep", "network_grid", "forest_study", "study_model_figures", "boosted_trees_compared",
@@ -19,13 +21,13 @@ def duck():
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
     for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+        con.execute(f"create view {t} as select * from read_parquet('{ORACLE_SF}/{t}.parquet')")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
-    got = entry.queries()[name](spark, SF).toPandas()
+    got = entry.queries()[name](spark, ORACLE_SF).toPandas()
     assert differences(got, duck.sql(entry.oracle_sql()[name]).df()) == ""
 
 
