@@ -10,7 +10,6 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
