@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators import boosting, dataset, forest, lasso_path, metrics, models, profile, tuning
+from cohortlens.operators import boosting, dataset, forest, lasso_path, metrics, models, network, profile, tuning
 from cohortlens.operators.scale import materialise, new_table_path
 from cohortlens.plans.derived_tables import (
     DOCUMENT_FEATURES,
@@ -554,6 +554,93 @@ def network_grid(spark, sf_dir):
     return tuning.tabulate(spark, rows, "layers string, auc double")
 
 
+#: Starting weights of the checked network: 4 inputs, 2 tanh units, 2 outputs; and its settings.
+_NET_START = (
+    [[0.4, -0.2], [-0.3, 0.1], [0.2, 0.5], [0.1, -0.4]], [0.1, -0.1], [[0.3, -0.5], [-0.2, 0.6]], [0.05, -0.05],
+)
+_NET = network.NetworkSettings(base=2, depth=1, activation="tanh", rate=0.8, epochs=3)
+
+
+def _net_sql() -> str:
+    """Forward pass, derivatives and mean gradients of every step, one column per weight."""
+    n, (a, b, v, c) = len(DOCUMENT_FEATURES), _NET_START
+    weights = {f"a{i}{j}": a[i][j] for i in range(n) for j in (0, 1)} | {f"b{j}": b[j] for j in (0, 1)}
+    weights |= {f"v{j}{k}": v[j][k] for j in (0, 1) for k in (0, 1)} | {f"c{k}": c[k] for k in (0, 1)}
+    slopes = {f"a{i}{j}": f"x{i} * e{j}" for i in range(n) for j in (0, 1)} | {f"b{j}": f"e{j}" for j in (0, 1)}
+    slopes |= {f"v{j}{k}": f"h{j} * d{k}" for j in (0, 1) for k in (0, 1)} | {f"c{k}": f"d{k}" for k in (0, 1)}
+    scaled = ", ".join(f"({f} - avg_{f}) / std_{f} as x{i}" for i, f in enumerate(DOCUMENT_FEATURES))
+    parts = [
+        f"z as (select doc_id, quality as y, {hash_unit('doc_id')} < 0.8 as training, {scaled} from docs, stats)",
+        "p0 as (select " + ", ".join(f"{value!r}::double as {w}" for w, value in weights.items()) + ")",
+    ]
+    for t in range(_NET.epochs + 1):
+        hidden = ", ".join("tanh(" + " + ".join(f"x{i} * a{i}{j}" for i in range(n)) + f" + b{j}) as h{j}" for j in (0, 1))
+        out = ", ".join(f"1 / (1 + exp(-(h0 * v0{k} + h1 * v1{k} + c{k}))) as s{k}" for k in (0, 1))
+        error = ", ".join(f"s{k} * (1 - s{k}) / (s0 + s1) - (y = {k})::integer * (1 - s{k}) as d{k}" for k in (0, 1))
+        back = ", ".join(f"(d0 * v{j}0 + d1 * v{j}1) * (1 - h{j} * h{j}) as e{j}" for j in (0, 1))
+        moved = ", ".join(f"any_value({w}) - {_NET.rate} * avg({slope}) as {w}" for w, slope in slopes.items())
+        parts += [
+            f"h{t} as (select *, {hidden} from z, p{t})",
+            f"o{t} as (select *, {out} from h{t})",
+            f"e{t} as (select *, {back} from (select *, {error} from o{t}))",
+            f"p{t + 1} as materialized (select {moved} from e{t} where training)",
+        ]
+    stats = "select " + ", ".join(f"avg({f}) as avg_{f}, stddev_pop({f}) as std_{f}" for f in DOCUMENT_FEATURES) + " from train"
+    body = f"select doc_id, round(s1 / (s0 + s1), 6) as score from (with {', '.join(parts)} select * from o{_NET.epochs}) where not training"
+    return sql(body, "docs", train=_TRAIN, stats=stats)
+
+
+@query("M09 M11", _net_sql())
+def network_steps(spark, sf_dir):
+    """Three steps of a small network along the mean gradient of all training documents; scores of the test documents."""
+    train, test = _documents(spark, sf_dir)
+    net = network.fit_network(train, DOCUMENT_FEATURES, "label", ["doc_id"], _NET, start=_NET_START)
+    return network.score_network(net, test, ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("M09 M10 M11 E01 E02 E03 E06")
+def network_compared(spark, sf_dir):
+    """The study's trial network (two layers, dropout, batch norm): trained on all rows, on a sample with early stopping, and MLlib's."""
+    train, test = _study(spark, sf_dir)
+    train, keys = materialise(train, "train"), ["GEO_ID", "year"]
+    trial = network.NetworkSettings(base=10, depth=2, drop=0.01, norm_every=1)
+    inner, outer = dataset.hash_split(train, keys, seed=7)
+    s, o = (network.network_sample(r.withColumn("fold", F.lit(0)), MODEL_FEATURES, LABEL, keys, "fold", 4_000, trial.seed) for r in (inner, outer))
+    fitted = {
+        "all rows": network.fit_network(train, MODEL_FEATURES, LABEL, keys, replace(trial, rate=0.3, momentum=0.9, epochs=60)),
+        "sample": network.fit_network_sample(s.x, s.y, s.draw, MODEL_FEATURES, trial, (o.x, o.y)),
+    }
+    scored = {n: network.score_network(net, test, [LABEL]) for n, net in fitted.items()}
+    layers = models.network_layers(len(MODEL_FEATURES), base=10, depth=2)
+    other = models.fit(train, models.with_features(models.perceptron(layers, LABEL, solver="l-bfgs", rounds=100), MODEL_FEATURES))
+    scored["sigmoid units"] = models.score(other, test, [LABEL])
+    return functools.reduce(DataFrame.unionByName, [_figures(r).select(F.lit(n).alias("network"), "*") for n, r in scored.items()])
+
+
+@query("M17 M10 M12")
+def network_tuning(spark, sf_dir):
+    """All 72 points of the published network grid on the study: five folds, 200 epochs, area under ROC.
+
+    The best point is fitted again on the training rows; ``test_auc``, ``precision_1`` and
+    ``recall_1`` are its figures on the test rows.
+    """
+    train, test = _study_folds(spark, sf_dir)
+    keys = ["GEO_ID", "year"]
+    chosen, history = network.tune_network(train, MODEL_FEATURES, LABEL, keys)
+    s = network.network_sample(train, MODEL_FEATURES, LABEL, keys, "fold", 4_000, chosen.seed)
+    winner = network.fit_network_sample(s.x, s.y, s.draw, MODEL_FEATURES, chosen)
+    figures = _figures(network.score_network(winner, test, [LABEL])).first()
+    names = list(network.PUBLISHED_GRID)
+    rows = [
+        {**h, "best": best, **{n: figures[c] if best else None for n, c in (("test_auc", "auc"), ("precision_1", "precision_1"), ("recall_1", "recall_1"))}}
+        for h in history for best in [all(h[n] == getattr(chosen, n) for n in names)]
+    ]
+    return tuning.tabulate(
+        spark, rows, "base int, depth int, drop double, norm_every int, activation string, auc double, best boolean, "
+        "test_auc double, precision_1 double, recall_1 double",
+    )
+
+
 @query("E01", sql("select label, prediction, count(*) as rows from scored group by all", "scored"))
 def confusion_counts(spark, sf_dir):
     return metrics.confusion(scored_documents(spark, sf_dir))
