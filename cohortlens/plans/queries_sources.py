@@ -9,7 +9,9 @@ from cohortlens.operators.scale import materialise, new_table_path
 from cohortlens.plans.derived_tables import attribute_table, count_table, spend_panel, table
 from cohortlens.plans.oracles import sql
 from cohortlens.plans.registry import query
-from cohortlens.plans.study import feature_panel, typed_attributes
+from cohortlens.plans.queries_panel import SETTINGS
+from cohortlens.plans.study import LABEL, feature_panel, labelled_cohort, typed_attributes
+from cohortlens.sources import arrivals
 from cohortlens.sources import tables as io
 from cohortlens.sources.schemas import ATTRIBUTES, COUNT_SCHEMA
 
@@ -153,6 +155,22 @@ def path_stamped_files(spark, sf_dir):
     )
 
 
+@query("S05 S06 S08 J04 A12", sql("select * from labelled", "labelled"))
+def years_arriving(spark, sf_dir):
+    """Labels of the study from files that arrive in three deliveries, each year derived again only if it can change."""
+    inbox, store = new_table_path(spark, "inbox"), new_table_path(spark, "store")
+    named = materialise(count_table(spark, sf_dir).withColumn("file", join_key(F.lit("census"), "state", F.col("year").cast("string"))), "named")
+    deliveries = (F.col("year") < 1995, F.col("year") == 1995, F.col("year") > 1995)
+    for number, delivered in enumerate(deliveries):
+        io.write_csv(named.where(delivered), f"{inbox}/delivery{number}", ["file"])
+        arrivals.take_arrivals(
+            spark, [inbox], store, COUNT_SCHEMA, lambda c: feature_panel(c, SETTINGS),
+            lambda p: labelled_cohort(materialise(p, "panel"), SETTINGS), "labels", SETTINGS.horizon,
+        )
+    panel = feature_panel(count_table(spark, sf_dir), SETTINGS).limit(0)
+    return arrivals.read_parts(spark, f"{store}/labels", panel.withColumn(LABEL, F.lit(0)))
+
+
 @query("S05 U01 U03", "select o_orderkey, o_custkey, cast(year(o_orderdate) as integer) as year from orders")
 def combined_year_tables(spark, sf_dir):
     """Yearly tables with different column orders appended by name."""
