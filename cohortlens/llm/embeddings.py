@@ -110,8 +110,21 @@ class _Forest:
         return True
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    rows = np.array([np.asarray(v, np.float64) for v in vectors])
+def _packed(rows: np.ndarray) -> list[bytes]:
+    """Each row's components as bytes, in single precision where that is exact, else in double."""
+    with np.errstate(over="ignore", under="ignore"):
+        single = rows.astype("<f4")
+    exact = (single.astype(np.float64) == rows).all(axis=1)
+    return [(s if e else d).tobytes() for s, d, e in zip(single, rows.astype("<f8"), exact.tolist())]
+
+
+def _unpacked(vectors: pd.Series, width: int) -> np.ndarray:
+    """Rows packed by :func:`_packed`, in double precision."""
+    return np.array([np.frombuffer(v, "<f4" if len(v) == 4 * width else "<f8") for v in vectors], np.float64)
+
+
+def _units(vectors: pd.Series | np.ndarray) -> np.ndarray:
+    rows = vectors if isinstance(vectors, np.ndarray) else np.array([np.asarray(v, np.float64) for v in vectors])
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -125,7 +138,8 @@ def _search(index: ProductIndex, queries: pd.DataFrame, members: pd.DataFrame, l
     its ends. Returns the number of links found for each end, and links enough to connect what is
     connected.
     """
-    q, x = _units(queries["asked_vector"]), _units(members["vector"])
+    width = int(index.bounds[-1])
+    q, x = _units(_unpacked(queries["asked_vector"], width)), _units(_unpacked(members["vector"], width))
     own = int(members["list"].iloc[0])
     codes = np.stack([np.frombuffer(c, np.uint8) for c in members["code"]])
     off = members["off"].to_numpy()
@@ -216,19 +230,20 @@ def _links_of_width(nodes: DataFrame, n: int, least: float, settings: IndexSetti
         for batch in batches:
             for s in range(0, len(batch), 2048):
                 part = batch.iloc[s : s + 2048]
-                units = _units(part["vector"])
+                vectors = np.array([np.asarray(v, np.float64) for v in part["vector"]])
+                units = _units(vectors)
                 own = _squared(units, index.centres).argmin(1)
                 codes = index.codes(units, own)
                 off = np.sqrt(((units - index.rebuilt(codes, own)) ** 2).sum(1))
                 probes = [np.flatnonzero(p[k:]).tolist() for p, k in zip(index.probes(units, radius), own)]
                 probes = [[k + i for i in row] for row, k in zip(probes, own.tolist())]
                 yield pd.DataFrame({
-                    "node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "vector": part["vector"].to_numpy(),
+                    "node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "vector": _packed(vectors),
                     "times": part["times"].to_numpy(), "list": own, "code": [c.tobytes() for c in codes], "off": off, "probes": probes,
                 })
 
     narrow = nodes.select("node", F.col("key.label").cast("string").alias("label"), "key.vector", "times")
-    indexed = stored(narrow.mapInPandas(index_rows, "node long, label string, vector array<double>, times long, list int, code binary, off double, probes array<int>"), "index")
+    indexed = stored(narrow.mapInPandas(index_rows, "node long, label string, vector binary, times long, list int, code binary, off double, probes array<int>"), "index")
     cuts = F.ceil(F.count(F.lit(1)) / settings.block).cast("int")
     sizes = indexed.groupBy("label", "list").agg(cuts.alias("blocks"))
     askers = indexed.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(cuts.alias("parts"))

@@ -8,6 +8,7 @@ import sys
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -209,6 +210,13 @@ def test_probes_reach_every_list_within_the_radius():
     assert all(probes[i, own[j]] for i, j in zip(*np.nonzero(near)))
 
 
+def test_vectors_travel_without_loss():
+    rows = np.array([[0.5, -2.0, 0.0], [0.1, 1.0, 2.0], [1e300, 1.0, 5e-324], [np.float32(0.1), np.float32(-3e-39), -0.0], [1e39, 0.0, 1.0]])
+    packed = embeddings._packed(rows)
+    assert [len(b) for b in packed] == [12, 24, 24, 12, 24]
+    assert np.array_equal(embeddings._unpacked(pd.Series(packed), 3), rows)
+
+
 @pytest.mark.parametrize("name", ["op3_embedding_links", "op5_url_filters"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
