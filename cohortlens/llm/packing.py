@@ -348,6 +348,7 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     Sequence ids are the partition number times 2^33 plus a count. A group is filled to
     ``spare`` tokens a window below capacity, which leaves differencing room for its imbalance;
     the last tokens of a partition go to windows of power-of-two length, which need no padding.
+    Windows that are cut whole from one long document, and those last ones, do not meet differencing.
     Null and empty texts are a document with the end id alone; repeated rows are packed each; an
     empty table gives no row; other columns are not read. ``ids`` holds little-endian unsigned
     32-bit numbers.

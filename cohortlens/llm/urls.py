@@ -57,7 +57,10 @@ def path_column(url: Column) -> Column:
 
 
 def rule_column(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The longest rule that fits, as a struct of ``rule`` and ``verdict``; null if none does."""
+    """The longest rule that fits, as a struct of ``rule`` and ``verdict``; null if none does.
+
+    Length is that of host and path together; of rules of equal length the one given last wins.
+    """
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule in sorted(rules, key=lambda r: len(r.text)):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)

@@ -297,11 +297,22 @@ def test_parts_and_rules(spark, url, host, path, rule):
     assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
 
 
-def test_the_longest_rule_wins(spark):
-    rules = [Rule("block", "a.b", "/"), Rule("allow", "b", "/x/")]
-    pages = spark.createDataFrame([(1, "q://a.b/x/y", None)], "page_id long, url string, html string")
-    assert judge_urls(pages, rules).first()["rule"] in ("a.b/", "b/x/")
-    assert host_scores(pages.select(F.lit("a").alias("host"), F.lit(None).cast("string").alias("verdict")), host_edges(pages.select(F.lit("a").alias("host"), "html"))).count() == 1
+def test_the_longest_rule_wins_and_of_equal_ones_the_last(spark):
+    long, short, other = Rule("block", "a.b", "/x"), Rule("allow", "b", "/x"), Rule("allow", "b", "/x/y")
+    pages = spark.createDataFrame([(1, "q://a.b/x/y", None), (2, "q://c.b/x/z", None)], "page_id long, url string, html string")
+
+    def chosen(*rules):
+        return [(r["rule"], r["verdict"]) for r in judge_urls(pages, rules).orderBy("id").collect()]
+
+    for rules in ((long, short), (short, long)):
+        assert chosen(*rules) == [("a.b/x", "block"), ("b/x", "allow")]
+    assert len(long.text) == len(other.text)
+    assert chosen(short, long, other)[0] == ("b/x/y", "allow") and chosen(short, other, long)[0] == ("a.b/x", "block")
+
+
+def test_a_host_without_links_has_one_row(spark):
+    hosts = spark.createDataFrame([("a", None, None)], "host string, verdict string, html string")
+    assert host_scores(hosts.select("host", "verdict"), host_edges(hosts.select("host", "html"))).count() == 1
 
 
 # --- html ----------------------------------------------------------------------------------------
