@@ -116,46 +116,58 @@ def best_splits(sums: np.ndarray, settings: BoostSettings, allowed: np.ndarray |
     left. Equal gains go to the first feature, then the lowest cut. ``allowed`` says per node which
     features may split it.
     """
-    total = sums[:, 0].sum(axis=1)
-
-    def over(top: np.ndarray, hessian: np.ndarray) -> np.ndarray:
-        """0 where a node has neither rows nor a penalty."""
-        bottom = hessian + settings.penalty
-        return np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0)
-
-    weight = -over(total[:, 0], total[:, 1])
-    left = np.cumsum(sums, axis=2)[:, :, :-1]
-    right = total[:, None, None, :] - left
-
-    def score(s: np.ndarray) -> np.ndarray:
-        return over(s[..., 0] ** 2, s[..., 1])
-
-    gain = 0.5 * (score(left) + score(right) - score(total)[:, None, None]) - settings.least_gain
-    # Sums run in another order on a cluster; what is equal but for rounding must stay equal.
-    gain = np.round(gain, 9)
-    enough = (left[..., 1] >= settings.least_weight) & (right[..., 1] >= settings.least_weight)
+    total, weight = _totals(sums, settings)
+    left_g, left_h = (np.cumsum(sums[..., i], axis=2)[:, :, :-1] for i in (0, 1))
+    right_h = total[:, None, None, 1] - left_h
+    enough = (left_h >= settings.least_weight) & (right_h >= settings.least_weight)
     if allowed is not None:
         enough &= allowed[:, :, None]
-    gain = np.where(enough, gain, -np.inf).reshape(len(sums), -1)
+    gain = np.full((len(sums), enough[0].size if len(sums) else 0), -np.inf)
     if gain.shape[1] == 0:
         return np.full(len(sums), -1), np.zeros(len(sums), np.int64), weight
+
+    def score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return _over(g**2, h, settings)
+
+    # Only cuts that leave enough on both sides are worked out.
+    at = np.flatnonzero(enough)
+    node = at // gain.shape[1]
+    left_g, left_h, right_h = left_g.ravel()[at], left_h.ravel()[at], right_h.ravel()[at]
+    both = score(left_g, left_h) + score(total[node, 0] - left_g, right_h)
+    # Sums run in another order on a cluster; what is equal but for rounding must stay equal.
+    gain.ravel()[at] = np.round(0.5 * (both - score(total[:, 0], total[:, 1])[node]) - settings.least_gain, 9)
     place = gain.argmax(axis=1)
     splits = gain[np.arange(len(sums)), place] > 0
-    feature, cut = np.divmod(place, left.shape[2])
+    feature, cut = np.divmod(place, enough.shape[2])
     return np.where(splits, feature, -1), np.where(splits, cut, 0), weight
 
 
+def _over(top: np.ndarray, hessian: np.ndarray, settings: BoostSettings) -> np.ndarray:
+    """0 where a node has neither rows nor a penalty."""
+    bottom = hessian + settings.penalty
+    return np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0)
+
+
+def _totals(sums: np.ndarray, settings: BoostSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians of each node, by the bins of its first feature, and its weight."""
+    total = np.cumsum(sums[:, 0], axis=1)[:, -1]
+    return total, -_over(total[:, 0], total[:, 1], settings)
+
+
 def grow_tree(histogram: Callable[[list[int], Tree, np.ndarray], np.ndarray], columns: np.ndarray, settings: BoostSettings) -> Tree:
-    """One tree, level by level. ``histogram(nodes, tree, columns)`` gives the sums of open nodes."""
+    """One tree, level by level. ``histogram(nodes, tree, columns)`` gives the sums of open nodes.
+
+    The last level is not split, so it asks for one feature, whose bins give the weights.
+    """
     slots = 2 ** (settings.depth + 1) - 1
     tree = Tree(np.full(slots, -1), np.zeros(slots, np.int64), np.zeros(slots))
     nodes = [0]
     for level in range(settings.depth + 1):
-        sums = histogram(nodes, tree, columns)
-        feature, cut, weight = best_splits(sums, settings)
-        tree.weight[nodes] = settings.rate * weight
         if level == settings.depth:
+            tree.weight[nodes] = settings.rate * _totals(histogram(nodes, tree, columns[:1]), settings)[1]
             break
+        feature, cut, weight = best_splits(histogram(nodes, tree, columns), settings)
+        tree.weight[nodes] = settings.rate * weight
         chosen = feature >= 0
         split = np.array(nodes)[chosen]
         tree.feature[split], tree.cut[split] = columns[feature[chosen]], cut[chosen]
@@ -167,14 +179,22 @@ def grow_tree(histogram: Callable[[list[int], Tree, np.ndarray], np.ndarray], co
 
 def tree_nodes(tree: Tree, bins: np.ndarray) -> np.ndarray:
     """Node of each row after all splits so far."""
-    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while True:
-        feature = tree.feature[at]
-        moving = feature >= 0
-        if not moving.any():
-            return at
-        right = bins[rows, np.maximum(feature, 0)] > tree.cut[at]
-        at = np.where(moving, 2 * at + 1 + right, at)
+    at = np.zeros(len(bins), np.int64)
+    while _step_down(tree, bins, at):
+        pass
+    return at
+
+
+def _step_down(tree: Tree, bins: np.ndarray, at: np.ndarray) -> bool:
+    """Moves each row at a split node to its child, in ``at``; whether any row moved."""
+    feature = tree.feature[at]
+    moving = feature >= 0
+    if not moving.any():
+        return False
+    rows = np.arange(len(bins)) if moving.all() else np.flatnonzero(moving)
+    node = at[rows]
+    at[rows] = 2 * node + 1 + (bins[rows, feature[rows]] > tree.cut[node])
+    return True
 
 
 # --- on arrays -------------------------------------------------------------------------------------
@@ -184,31 +204,42 @@ def fit_sample(bins: np.ndarray, label: np.ndarray, draw: np.ndarray, settings:
     """Trees for rows held as arrays; ``width`` is the largest number of bins of a feature.
 
     ``draw`` has a number in 0 .. 2^31 - 2 per row that decides in which rounds the row is drawn.
+    Sums are counted feature by feature, so that a count's few cells stay in the processor's cache.
     """
-    n = len(bins)
-    margin, trees = np.zeros(n), []
+    margin, trees, by_feature = np.zeros(len(bins)), [], np.ascontiguousarray(bins.T)
     for number in range(settings.rounds):
         p = 1 / (1 + np.exp(-margin))
         gradient, hessian = p - label, p * (1 - p)
-        drawn = np.flatnonzero(draw * _multiplier(settings, number) % _PRIME < _rows_limit(settings))
+        drawn = draw * _multiplier(settings, number) % _PRIME < _rows_limit(settings)
         columns = _columns_of_round(settings, bins.shape[1], number)
-        part = bins[drawn]
-        offset = part[:, columns] + width * np.arange(len(columns))
-        weights = [np.repeat(x[drawn], len(columns)) for x in (gradient, hessian)]
+        at = np.zeros(len(bins), np.int64)  # node of each row so far
 
         def histogram(nodes: list[int], tree: Tree, columns: np.ndarray) -> np.ndarray:
+            if nodes != [0]:
+                _step_down(tree, bins, at)
             place = np.full(len(tree.feature), -1)
             place[nodes] = np.arange(len(nodes))
-            node = place[tree_nodes(tree, part)]
-            inside = np.repeat(node >= 0, len(columns))
-            key = (node[:, None] * (len(columns) * width) + offset).ravel()[inside]
-            size = len(nodes) * len(columns) * width
-            both = [np.bincount(key, weights=w[inside], minlength=size) for w in weights]
-            return np.stack(both, axis=-1).reshape(len(nodes), len(columns), width, 2)
+            inside = np.flatnonzero(drawn & (place[at] >= 0))
+            sums = np.zeros((2, len(nodes), len(columns), width))
+
+            def count(features: range, rows: np.ndarray) -> None:
+                first, weights = place[at[rows]] * width, [x[rows] for x in (gradient, hessian)]
+                for f in features:
+                    key = first + by_feature[columns[f]][rows]
+                    for side, w in zip(sums, weights):
+                        side[:, f] = np.bincount(key, weights=w, minlength=len(nodes) * width).reshape(len(nodes), width)
+
+            count(range(1), inside)
+            if len(columns) > 1:
+                # Whoever has no weight for two leaves cannot be split, so its other features need no sums.
+                large = sums[1, :, 0].sum(axis=1) >= 2 * settings.least_weight * (1 - 1e-9)
+                count(range(1, len(columns)), inside if large.all() else inside[large[place[at[inside]]]])
+            return np.moveaxis(sums, 0, -1)
 
         tree = grow_tree(histogram, columns, settings)
         trees.append(tree)
-        margin += tree.weight[tree_nodes(tree, bins)]
+        _step_down(tree, bins, at)
+        margin += tree.weight[at]
     return trees
 
 
@@ -364,7 +395,8 @@ def cross_validated_scores(spark, sample: Sample, settings: Sequence[BoostSettin
                 scores = _one_setting(shared.value, chosen, fold, sorted(rounds) if rounds else [chosen.rounds])
                 yield scores.assign(setting=i, fold=fold)[["setting", "fold", "rounds", "label", "score"]]
 
-    tasks = spark.createDataFrame(cases, "setting int, fold int").repartition(len(cases), "setting", "fold")
+    # One partition per case: by hash, some tasks would get several.
+    tasks = spark.createDataFrame(spark.sparkContext.parallelize(cases, len(cases)), "setting int, fold int")
     return materialise(tasks.mapInPandas(fit_cases, "setting int, fold int, rounds int, label int, score double"), "tuning")
 
 

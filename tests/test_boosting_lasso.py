@@ -177,3 +177,45 @@ def test_moments_and_path(rows, frame):
 def test_path_of_no_rows(rows):
     m = lasso_path.moments(rows.limit(0), NAMES)
     assert not lasso_path.lasso_path(m, [0.1])[0.1].any()
+
+
+# --- work of the tuning ------------------------------------------------------------------------------
+
+
+def test_the_last_level_asks_for_one_feature_and_no_task_gets_two_cases(spark, rows, monkeypatch):
+    asked, grow = [], boosting.grow_tree
+
+    def counting(histogram, columns, settings):
+        return grow(lambda nodes, tree, cs: asked.append(len(cs)) or histogram(nodes, tree, cs), columns, settings)
+
+    monkeypatch.setattr(boosting, "grow_tree", counting)
+    rng = np.random.default_rng(3)
+    sample = boosting.Sample(rng.integers(0, 8, (400, 4)), rng.integers(0, 2, 400).astype(float), np.arange(400) % 5, rng.integers(0, 2**31 - 2, 400), 8)
+    boosting.fit_sample(sample.bins, sample.label, sample.draw, BoostSettings(rounds=1, depth=2), 8)
+    assert asked == [4, 4, 1]
+    monkeypatch.undo()
+    tasks, stored = [], boosting.materialise
+    monkeypatch.setattr(boosting, "materialise", lambda df, label: tasks.append(df.groupBy(F.spark_partition_id()).agg(F.countDistinct("setting", "fold").alias("n"))) or stored(df, label))
+    boosting.cross_validated_scores(spark, sample, [BoostSettings(rounds=1, rate=r) for r in (0.1, 0.2, 0.3)])
+    assert [r["n"] for r in tasks[0].collect()] == [1] * 15
+
+
+def test_nodes_too_light_to_split_are_left_out_without_a_difference(frame):
+    rng = np.random.default_rng(4)
+    bins, label, draw = rng.integers(0, 12, (300, 5)), rng.integers(0, 2, 300).astype(float), rng.integers(0, 2**31 - 2, 300)
+    for s in (BoostSettings(rounds=3, depth=5, least_weight=3.0), BoostSettings(rounds=3, depth=5, least_weight=0.0, row_share=0.6)):
+        margin = np.zeros(300)
+        for number, tree in enumerate(boosting.fit_sample(bins, label, draw, s, 12)):
+            p = 1 / (1 + np.exp(-margin))
+            drawn = draw * boosting._multiplier(s, number) % boosting._PRIME < boosting._rows_limit(s)
+
+            def histogram(nodes, grown, columns):
+                sums, at = np.zeros((len(nodes), len(columns), 12, 2)), boosting.tree_nodes(grown, bins)
+                for i in np.flatnonzero(drawn & np.isin(at, nodes)):
+                    for f, c in enumerate(columns):
+                        sums[nodes.index(at[i]), f, bins[i, c]] += p[i] - label[i], p[i] * (1 - p[i])
+                return sums
+
+            whole = boosting.grow_tree(histogram, np.arange(5), s)
+            assert (whole.feature == tree.feature).all() and (whole.cut == tree.cut).all() and (whole.weight == tree.weight).all()
+            margin += tree.weight[boosting.tree_nodes(tree, bins)]
