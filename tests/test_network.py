@@ -150,3 +150,18 @@ def test_the_grid_is_scored_fold_by_fold(spark, rows, frame):
         assert point["auc"] == pytest.approx(np.mean(areas))
     best = max(history, key=lambda h: h["auc"])
     assert (chosen.base, chosen.activation) == (best["base"], best["activation"])
+
+
+def test_networks_fitted_together_equal_those_fitted_alone(frame):
+    x, y, draw = frame[NAMES].to_numpy(float), frame["label"].to_numpy(float), np.arange(len(frame)) * 7919 + 1
+    shape = NetworkSettings(base=4, depth=3, norm_every=2, activation="tanh", epochs=4)
+    alike = [replace(shape, drop=d) for d in (0.0, 0.3, 0.05)]
+    for one, together in zip(alike, network.fit_network_samples(x, y, draw, NAMES, alike)):
+        alone = network.fit_network_sample(x, y, draw, NAMES, one)
+        assert together.settings == one and together.losses == pytest.approx(alone.losses)
+        for a, b in zip([*together.weights, *together.moving], [*alone.weights, *alone.moving], strict=True):
+            np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(network.probabilities(together, x), network.probabilities(alone, x), rtol=1e-9)
+    with pytest.raises(ValueError, match="drop alone"):
+        network.fit_network_samples(x, y, draw, NAMES, [shape, replace(shape, base=5)])
+    assert len(network.fit_network_samples(x[:0], y[:0], draw[:0], NAMES, alike)) == 3
