@@ -26,6 +26,8 @@ from cohortlens.operators.metrics import area_under_roc_by
 from cohortlens.operators.scale import materialise, new_table_path
 
 
+#: Values of a partition of a sweep's rows, at most; fits pass over few partitions of that size.
+CELLS_A_PARTITION = 8_000_000
 #: Penalties of the published lasso study: 25 in even steps (fixed values).
 PENALTIES = tuple(round(0.0005 + 0.002 * i, 4) for i in range(25))
 
@@ -214,6 +216,16 @@ def tabulate(spark: SparkSession, rows: Sequence[Mapping], schema: str) -> DataF
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
 
 
+def _gathered(stored: DataFrame, fits: int) -> DataFrame:
+    """Stored rows in as few partitions as fill all cores when ``fits`` fits run at a time.
+
+    An iterative fit starts a job for every pass, whose cost goes by its tasks. Larger tables keep
+    more partitions, of at most about ``CELLS_A_PARTITION`` values each.
+    """
+    cells = stored.count() * len(stored.columns)
+    return stored.coalesce(max(math.ceil(stored.sparkSession.sparkContext.defaultParallelism / fits), math.ceil(cells / CELLS_A_PARTITION)))
+
+
 def sweep_neighbors(
     upto: DataFrame,
     base: DataFrame,
@@ -233,12 +245,13 @@ def sweep_neighbors(
     label; ``k = 0`` uses the own features alone. Every k is scored on the same rows: those that
     have all features for every k.
     """
-    wide = upto.filter(F.col("k").isin([k for k in ks if k])).groupBy(*keys).pivot("k", sorted(k for k in ks if k))
+    known = upto.filter(F.col("k").isin([k for k in ks if k])).join(base.select(*keys), list(keys), "left_semi")
+    wide = known.groupBy(*keys).pivot("k", sorted(k for k in ks if k))
     wide = wide.agg(*[F.first(c).alias(c) for c in summarised]) if any(ks) else None
     # Spark names a pivoted column by the value alone if there is one aggregate.
     column = {(k, c): f"{k}_{c}" if len(summarised) > 1 else str(k) for k in ks if k for c in summarised}
     data = base if wide is None else base.join(wide, list(keys))
-    data = materialise(data.na.drop(subset=[*own, *column.values()]), "sweep")
+    data = _gathered(materialise(data.na.drop(subset=[*own, *column.values()]), "sweep"), parallelism)
     cases = {str(k): estimator_for(list(own) + [column[k, c] for c in summarised if k]) for k in ks}
     scores = mean_auc(cross_validated_scores(data, cases, label=label, fold_col=fold_col, parallelism=parallelism))
     return materialise(scores.select(F.col("case").cast("int").alias("k"), "auc"), "sweep-scores")
