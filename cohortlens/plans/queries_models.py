@@ -13,10 +13,9 @@ from cohortlens.operators import boosting, dataset, forest, lasso_path, metrics,
 from cohortlens.operators.scale import materialise, new_table_path
 from cohortlens.plans.derived_tables import (
     DOCUMENT_FEATURES,
-    attribute_table,
-    count_table,
     document_features,
     scored_documents,
+    study_tables,
 )
 from cohortlens.plans.oracles import hash_unit, sql
 from cohortlens.plans.queries_panel import MODEL_SETTINGS, study_matrix
@@ -447,7 +446,7 @@ def neighbor_count_sweep(spark, sf_dir):
     Rows with a ``model`` are refitted on all training rows with that count; their figures are those of the test rows.
     """
     base, upto = neighbor_sweep_tables(
-        count_table(spark, sf_dir), attribute_table(spark, sf_dir), 20, replace(MODEL_SETTINGS, neighbor_group=())
+        *study_tables(spark, sf_dir), 20, replace(MODEL_SETTINGS, neighbor_group=())
     )
     base = materialise(base, "base")
     train, test = dataset.hash_split(base, ["GEO_ID", "year"])

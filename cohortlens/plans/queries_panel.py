@@ -20,6 +20,7 @@ from cohortlens.plans.derived_tables import (
     count_table,
     embedding_points,
     spend_panel,
+    study_tables,
 )
 from cohortlens.plans.oracles import CTES, sql
 from cohortlens.plans.registry import query
@@ -43,7 +44,7 @@ MODEL_SETTINGS = StudySettings(max_base_year=MAX_BASE_YEAR, growth=4.0, benchmar
 
 def study_matrix(spark, sf_dir, settings=SETTINGS):
     """The study's model matrix over the derived tables."""
-    return model_matrix(count_table(spark, sf_dir), attribute_table(spark, sf_dir), settings)
+    return model_matrix(*study_tables(spark, sf_dir), settings)
 
 
 def _panel(spark, sf_dir):
@@ -385,7 +386,7 @@ _KEPT = [*MODEL_FEATURES, "ed_fem", "ed_male"]
 )
 def single_frame_matrix(spark, sf_dir):
     """The study over one frame: no state in any group, 20 neighbours, both degree shares kept."""
-    matrix = model_matrix(count_table(spark, sf_dir), attribute_table(spark, sf_dir), FRAME_SETTINGS, keep_all=True)
+    matrix = model_matrix(*study_tables(spark, sf_dir), FRAME_SETTINGS, keep_all=True)
     return matrix.withColumns({c: F.round(c, 6) for c in _ROUNDED})
 
 

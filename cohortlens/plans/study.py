@@ -168,6 +168,11 @@ def labelled_cohort(panel: DataFrame, s: StudySettings = StudySettings()) -> Dat
     )
 
 
+def base_years(panel: DataFrame, s: StudySettings = StudySettings()) -> DataFrame:
+    """Rows of the years that a cohort is drawn from; neighbours are searched in the same year."""
+    return panel.filter(F.col("year") <= s.max_base_year)
+
+
 def tract_neighbors(
     located: DataFrame, k: int, queries: DataFrame | None = None, group: Sequence[str] = ("state",)
 ) -> DataFrame:
@@ -197,7 +202,7 @@ def model_matrix(
     attributes = materialise(typed_attributes(attributes), "attributes")
     panel = materialise(feature_panel(counts, s), "panel")
     labelled = labelled_cohort(panel, s)
-    located = materialise(with_attributes(panel, attributes), "located")
+    located = materialise(with_attributes(base_years(panel, s), attributes), "located")
     rows = materialise(with_attributes(labelled, attributes), "labelled")
     near = tract_neighbors(located, s.neighbors, rows.select("GEO_ID", "state", "year"), s.neighbor_group)
     around = tract_neighbor_features(near, located)
@@ -218,7 +223,7 @@ def neighbor_sweep_tables(
     """
     attributes = materialise(typed_attributes(attributes), "attributes")
     panel = materialise(feature_panel(counts, s), "panel")
-    located = materialise(with_attributes(panel, attributes), "located")
+    located = materialise(with_attributes(base_years(panel, s), attributes), "located")
     rows = materialise(with_attributes(labelled_cohort(panel, s), attributes), "labelled")
     near = tract_neighbors(located, most, rows.select("GEO_ID", "state", "year"), s.neighbor_group)
     upto = neighbor_features_upto(

@@ -1,10 +1,13 @@
 """The study on small count tables."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import flag, planar_distance, strict_sum, text_after, weighted_mean, without_last
+from cohortlens.plans import derived_tables, study
 from cohortlens.plans.study import (
     MODEL_FEATURES,
     StudySettings,
@@ -105,3 +108,30 @@ def test_expressions(spark):
         without_last("t", 20).alias("empty"), flag(F.col("b") > 1).alias("f"),
     ).first()
     assert tuple(r) == (None, 4.0, 2.0, 5.0, " b", None, "", 0)
+
+
+def test_neighbours_are_searched_in_base_years_only(spark, monkeypatch):
+    stored, write = {}, study.materialise
+    monkeypatch.setattr(study, "materialise", lambda df, label: stored.setdefault(label, write(df, label)))
+    rows = [count_row(f"06{i:09d}", y, income=20_000 + 1_000 * i) for i in range(30) for y in range(2010, 2019)]
+    places = [(f"06{i:09d}", f"{37 + i / 50}", "-122", "5") for i in range(30)]
+    matrix = model_matrix(counts(spark, rows), attributes(spark, places), StudySettings(neighbors=5, max_base_year=2013))
+    assert sorted(r["year"] for r in stored["located"].select("year").distinct().collect()) == [2010, 2011, 2012, 2013]
+    assert sorted(r["year"] for r in matrix.select("year").distinct().collect()) == [2010, 2011, 2012, 2013]
+
+
+def test_both_tables_come_from_one_pass_over_the_lines(spark, tmp_path):
+    day = datetime.date
+    lines = [(1, 1, "N", "O", 5.0, 100.5), (1, 2, "R", "F", 3.0, 50.0), (2, 1, "A", "O", 2.0, 70.9), (3, 4, None, "O", None, 10.0),
+             (4, 2, "R", "O", 9.0, None), (None, 1, "N", "F", 1.0, 1.0), (5, 3, "R", "F", 30.0, 900.0), (5, 3, "R", "F", 30.0, 900.0)]
+    orders = [(1, 7, day(1995, 5, 1)), (2, 7, day(1996, 1, 1)), (3, 7, None), (4, 8, day(1995, 2, 2)), (4, 8, day(1995, 2, 2)), (5, None, day(1997, 3, 3)), (5, 9, day(1997, 3, 3))]
+    customer = [(7, "a", 1, 10.5), (8, "b", 2, -950.0), (8, "b", 2, 3.0), (9, "c", None, -1.25), (10, "d", 3, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(customer, "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = derived_tables.study_tables(spark, str(tmp_path))
+    for table, plain in zip(got, (derived_tables.count_table, derived_tables.attribute_table)):
+        want = plain(spark, str(tmp_path))
+        assert table.dtypes == want.dtypes and want.count() > 2
+        assert sorted(map(str, table.collect())) == sorted(map(str, want.collect()))
+        assert not any("lineitem" in f for f in table.inputFiles())
