@@ -200,6 +200,29 @@ def test_the_last_level_asks_for_one_feature_and_no_task_gets_two_cases(spark, r
     assert [r["n"] for r in tasks[0].collect()] == [1] * 15
 
 
+def test_a_fit_over_all_rows_counts_one_feature_at_the_last_level(rows, monkeypatch):
+    asked, grow = [], boosting.grow_tree
+
+    def counting(histogram, columns, settings):
+        return grow(lambda nodes, tree, cs: asked.append(len(cs)) or histogram(nodes, tree, cs), columns, settings)
+
+    whole = boosting.fit_boosted(rows, NAMES, "label", ["id"], BoostSettings(rounds=2, depth=2))
+    monkeypatch.setattr(boosting, "grow_tree", counting)
+    again = boosting.fit_boosted(rows, NAMES, "label", ["id"], BoostSettings(rounds=2, depth=2))
+    assert asked == [4, 4, 1] * 2
+    for a, b in zip(whole.trees, again.trees, strict=True):
+        assert (a.feature == b.feature).all() and np.allclose(a.weight, b.weight)
+
+
+def test_a_sweep_passes_over_few_partitions(spark, monkeypatch):
+    stored = tuning.materialise(spark.range(1000).withColumn("x", F.rand(1)).repartition(16), "many")
+    assert stored.rdd.getNumPartitions() > 2
+    few = tuning._gathered(stored, spark.sparkContext.defaultParallelism)
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 1000
+    monkeypatch.setattr(tuning, "CELLS_A_PARTITION", 1000)
+    assert tuning._gathered(stored, spark.sparkContext.defaultParallelism).rdd.getNumPartitions() == 2
+
+
 def test_nodes_too_light_to_split_are_left_out_without_a_difference(frame):
     rng = np.random.default_rng(4)
     bins, label, draw = rng.integers(0, 12, (300, 5)), rng.integers(0, 2, 300).astype(float), rng.integers(0, 2**31 - 2, 300)
