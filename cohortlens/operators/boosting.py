@@ -1,8 +1,9 @@
 """Second-order boosted trees over binned features.
 
 Each round fits a tree to the gradients and hessians of the logistic loss. A level of a tree
-needs nothing but their sums per (node, feature, bin), so :func:`fit_boosted` gets them by one
-aggregation over all rows, and only those sums, bounded by the settings, reach the driver.
+needs nothing but their sums per (node, feature, bin), so :func:`fit_boosted` counts them within
+each task, adds them up by one aggregation, and only those sums, bounded by the settings, reach
+the driver.
 :func:`fit_sample` runs the same rounds on arrays; tuning uses it inside tasks, one per setting and fold, on
 a sample of bounded size.
 """
@@ -15,6 +16,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -280,9 +282,10 @@ def row_draw(keys: Sequence[str], seed: int) -> Column:
 def fit_boosted(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], settings: BoostSettings = BoostSettings(), bins: int = 32, edges: list[list[float]] | None = None) -> BoostedModel:
     """Boosted trees over all rows of ``train``; complete features, labels 0 and 1.
 
-    A level costs one aggregation to (node, feature, bin), at most 2^depth * features * bins rows
-    on the driver. ``edges`` gives the cuts, else they lie at even shares of the rows. Margins are written every ``ROUNDS_A_WRITE`` rounds. Without rows, all trees
-    are single leaves of weight 0.
+    A level costs one pass over the rows; each task hands on at most 2^depth * features * bins
+    sums, and as many reach the driver. ``edges`` gives the cuts, else they lie at even shares of
+    the rows. Margins are written every ``ROUNDS_A_WRITE`` rounds. Without rows, all trees are
+    single leaves of weight 0.
     """
     edges = edges or bin_edges(train, features, bins)
     bins = max(bins, *(len(e) + 1 for e in edges))
@@ -290,28 +293,62 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str, keys: Seq
     rows = binned(train, features, edges, [F.col(label).cast("double").alias("y"), row_draw(keys, settings.seed).alias("draw")])
     rows = materialise(rows.withColumn("margin", F.lit(0.0)), "boost")
     for number in range(settings.rounds):
-        p = 1 / (1 + F.exp(-F.col("margin")))
-        drawn = F.pmod(F.col("draw") * _multiplier(settings, number), F.lit(_PRIME)) < _rows_limit(settings)
-        open_rows = rows.where(drawn).select("bins", (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
-        columns = _columns_of_round(settings, len(features), number)
+        unwritten = model.trees[number - number % ROUNDS_A_WRITE :]
+        if number and not unwritten:
+            margin = F.col("margin")
+            for tree in model.trees[-ROUNDS_A_WRITE:]:
+                margin = margin + _weight_column(tree)
+            rows = materialise(rows.withColumn("margin", margin), "boost")
 
         def histogram(nodes: list[int], tree: Tree, columns: np.ndarray) -> np.ndarray:
-            sums = np.zeros((len(nodes), len(columns), bins, 2))
-            place = {n: i for i, n in enumerate(nodes)}
-            entries = F.posexplode(F.array(*[F.col("bins")[int(c)] for c in columns])).alias("feature", "bin")
-            spread = open_rows.withColumn("node", _node_column(tree)).where(F.col("node").isin(nodes)).select("node", "g", "h", entries)
-            for r in spread.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-                sums[place[r["node"]], r["feature"], r["bin"]] = r["g"], r["h"]
-            return sums
+            sums = np.zeros((len(columns), len(nodes), bins, 2))
+            counted = level_sums(rows, nodes, [*unwritten, tree], columns, settings, number, bins)
+            for r in counted.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+                sums.reshape(-1, 2)[r["cell"]] = r["g"], r["h"]
+            return np.moveaxis(sums, 0, 1)
 
-        tree = grow_tree(histogram, columns, settings)
-        model.trees.append(tree)
-        rows = rows.withColumn("margin", F.col("margin") + _weight_column(tree))
-        if (number + 1) % ROUNDS_A_WRITE == 0:
-            rows = materialise(rows, "boost")
+        model.trees.append(grow_tree(histogram, _columns_of_round(settings, len(features), number), settings))
     return model
 
 
+def level_sums(rows: DataFrame, nodes: Sequence[int], trees: Sequence[Tree], columns: np.ndarray, settings: BoostSettings, number: int, bins: int) -> DataFrame:
+    """``cell``, ``g`` and ``h``: gradients and hessians of round ``number`` per (feature, node, bin).
+
+    ``rows`` has y, draw, bins and margin; ``trees`` are those that the margins lack, and last the
+    one being grown. Cells are counted within each task: rows are not repeated per feature, a task
+    hands on one row per cell at most, and no plan is compiled anew for a tree.
+    """
+    *unwritten, tree = trees
+    place = np.full(len(tree.feature), -1)
+    place[list(nodes)] = np.arange(len(nodes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(columns), len(nodes) * bins))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, -1)
+            margin = batch.column("margin").to_numpy()
+            for t in unwritten:
+                margin = margin + t.weight[tree_nodes(t, held)]
+            p = 1 / (1 + np.exp(-margin))
+            y, known = (c.to_numpy(zero_copy_only=False) for c in (batch.column("y"), batch.column("y").is_valid()))
+            gradient, hessian = np.where(known, p - y, 0.0), p * (1 - p)
+            drawn = batch.column("draw").to_numpy() * _multiplier(settings, number) % _PRIME < _rows_limit(settings)
+            at = place[tree_nodes(tree, held)]
+            inside = np.flatnonzero(drawn & (at >= 0))
+            first, weights = at[inside] * bins, [x[inside] for x in (gradient, hessian)]
+            for f, c in enumerate(columns):
+                cell = first + held[inside, c]
+                for side, w in zip(sums, weights):
+                    side[f] += np.bincount(cell, weights=w, minlength=side.shape[1])
+        g, h = sums.reshape(2, -1)
+        cells = np.flatnonzero((g != 0) | (h != 0))
+        yield pa.RecordBatch.from_pydict({"cell": cells, "g": g[cells], "h": h[cells]})
+
+    return rows.mapInArrow(count, "cell long, g double, h double")
+
+
 def score_boosted(model: BoostedModel, rows: DataFrame, keep: Sequence[str], rounds: Sequence[int] | None = None) -> DataFrame:
     """``keep``, ``rounds``, ``score`` and ``prediction`` after each of ``rounds`` (default: all trees).
 

@@ -214,6 +214,31 @@ def test_a_fit_over_all_rows_counts_one_feature_at_the_last_level(rows, monkeypa
         assert (a.feature == b.feature).all() and np.allclose(a.weight, b.weight)
 
 
+def test_a_level_is_counted_within_tasks(rows, monkeypatch):
+    settings, bins = BoostSettings(rounds=1, depth=1, row_share=0.7), 8
+    edges = boosting.bin_edges(rows, NAMES, bins)
+    label = F.when(F.col("id") % 10 != 0, F.col("label").cast("double"))  # a row without a label adds to the hessians only
+    held = boosting.binned(rows, NAMES, edges, [label.alias("y"), boosting.row_draw(["id"], 42).alias("draw"), F.lit(0.25).alias("margin")])
+    held = held.repartition(3).cache()
+    first = boosting.Tree(np.array([0, -1, -1]), np.array([3, 0, 0]), np.array([0.0, 0.5, -0.5]))
+    grown = boosting.Tree(np.array([1, -1, -1]), np.array([2, 0, 0]), np.zeros(3))
+    columns, nodes = np.array([0, 2]), [2, 1]
+    got = boosting.level_sums(held, nodes, [first, grown], columns, settings, 0, bins)
+    assert got.count() <= 3 * len(columns) * len(nodes) * bins
+    want = np.zeros((len(columns), len(nodes), bins, 2))
+    for r in held.collect():
+        if r["draw"] * boosting._multiplier(settings, 0) % boosting._PRIME < boosting._rows_limit(settings):
+            p = 1 / (1 + np.exp(-0.25 - (0.5 if r["bins"][0] <= 3 else -0.5)))
+            for f, c in enumerate(columns):
+                want[f, nodes.index(1 if r["bins"][1] <= 2 else 2), r["bins"][c]] += 0 if r["y"] is None else p - r["y"], p * (1 - p)
+    sums = np.zeros((want.size // 2, 2))
+    for r in got.collect():
+        sums[r["cell"]] += r["g"], r["h"]
+    np.testing.assert_allclose(sums, want.reshape(-1, 2), atol=1e-9)
+    monkeypatch.setattr(boosting.F, "posexplode", None)  # rows are not repeated per feature
+    assert len(boosting.fit_boosted(rows, NAMES, "label", ["id"], BoostSettings(rounds=1, depth=1)).trees) == 1
+
+
 def test_a_sweep_passes_over_few_partitions(spark, monkeypatch):
     stored = tuning.materialise(spark.range(1000).withColumn("x", F.rand(1)).repartition(16), "many")
     assert stored.rdd.getNumPartitions() > 2
