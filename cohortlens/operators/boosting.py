@@ -274,6 +274,14 @@ def _weight_column(tree: Tree) -> Column:
     return F.element_at(F.array(*[F.lit(float(w)) for w in tree.weight]), _node_column(tree) + 1)
 
 
+def _margin_column(trees: Sequence[Tree]) -> Column:
+    """The margin of a row after ``trees`` that it lacks."""
+    margin = F.col("margin")
+    for tree in trees:
+        margin = margin + _weight_column(tree)
+    return margin
+
+
 def row_draw(keys: Sequence[str], seed: int) -> Column:
     """Number in 0 .. 2^31 - 2 from a hash of the key."""
     return F.floor(hash_fraction(keys, f"draw-{seed}") * (_PRIME - 1)).cast("long")
@@ -283,7 +291,8 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str, keys: Seq
     """Boosted trees over all rows of ``train``; complete features, labels 0 and 1.
 
     A level costs one pass over the rows; each task hands on at most 2^depth * features * bins
-    sums, and as many reach the driver. ``edges`` gives the cuts, else they lie at even shares of
+    sums, and as many reach the driver. If a row lacks a feature, rows are spread out per feature
+    instead. ``edges`` gives the cuts, else they lie at even shares of
     the rows. Margins are written every ``ROUNDS_A_WRITE`` rounds. Without rows, all trees are
     single leaves of weight 0.
     """
@@ -292,15 +301,15 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str, keys: Seq
     model = BoostedModel(list(features), edges, settings)
     rows = binned(train, features, edges, [F.col(label).cast("double").alias("y"), row_draw(keys, settings.seed).alias("draw")])
     rows = materialise(rows.withColumn("margin", F.lit(0.0)), "boost")
+    incomplete = not rows.where(F.exists("bins", F.isnull)).isEmpty()
     for number in range(settings.rounds):
         unwritten = model.trees[number - number % ROUNDS_A_WRITE :]
         if number and not unwritten:
-            margin = F.col("margin")
-            for tree in model.trees[-ROUNDS_A_WRITE:]:
-                margin = margin + _weight_column(tree)
-            rows = materialise(rows.withColumn("margin", margin), "boost")
+            rows = materialise(rows.withColumn("margin", _margin_column(model.trees[-ROUNDS_A_WRITE:])), "boost")
 
         def histogram(nodes: list[int], tree: Tree, columns: np.ndarray) -> np.ndarray:
+            if incomplete:
+                return _spread_sums(rows, nodes, [*unwritten, tree], columns, settings, number, bins)
             sums = np.zeros((len(columns), len(nodes), bins, 2))
             counted = level_sums(rows, nodes, [*unwritten, tree], columns, settings, number, bins)
             for r in counted.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
@@ -349,6 +358,21 @@ def level_sums(rows: DataFrame, nodes: Sequence[int], trees: Sequence[Tree], col
     return rows.mapInArrow(count, "cell long, g double, h double")
 
 
+def _spread_sums(rows: DataFrame, nodes: Sequence[int], trees: Sequence[Tree], columns: np.ndarray, settings: BoostSettings, number: int, bins: int) -> np.ndarray:
+    """Sums per (node, feature, bin) of rows of which some lack a feature, one row per feature."""
+    *unwritten, tree = trees
+    sums = np.zeros((len(nodes), len(columns), bins, 2))
+    place = {n: i for i, n in enumerate(nodes)}
+    p = 1 / (1 + F.exp(-F.col("margin")))
+    drawn = F.pmod(F.col("draw") * _multiplier(settings, number), F.lit(_PRIME)) < _rows_limit(settings)
+    held = rows.withColumn("margin", _margin_column(unwritten)).where(drawn).select("bins", (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
+    entries = F.posexplode(F.array(*[F.col("bins")[int(c)] for c in columns])).alias("feature", "bin")
+    spread = held.withColumn("node", _node_column(tree)).where(F.col("node").isin(list(nodes))).select("node", "g", "h", entries)
+    for r in spread.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+        sums[place[r["node"]], r["feature"], r["bin"]] = r["g"], r["h"]
+    return sums
+
+
 def score_boosted(model: BoostedModel, rows: DataFrame, keep: Sequence[str], rounds: Sequence[int] | None = None) -> DataFrame:
     """``keep``, ``rounds``, ``score`` and ``prediction`` after each of ``rounds`` (default: all trees).
 

@@ -111,6 +111,12 @@ def feature_panel(counts: DataFrame, s: StudySettings = StudySettings()) -> Data
     return clean_counts(counts, s).select(*PANEL_KEYS, *[features[f].alias(f) for f in FEATURES])
 
 
+def _needed(panel: DataFrame, s: StudySettings) -> DataFrame:
+    """The panel, complete in its keys, without the key columns that no later step reads."""
+    used = {"GEO_ID", "state", "year", *s.group, *s.neighbor_group}
+    return panel.drop(*[c for c in PANEL_KEYS if c not in used])
+
+
 def typed_attributes(attributes: DataFrame) -> DataFrame:
     """Internal point and land area of each tract; land area needs 64 bits."""
     return attributes.select(
@@ -200,7 +206,7 @@ def model_matrix(
     ``ed_fem`` and ``ed_male`` too.
     """
     attributes = materialise(typed_attributes(attributes), "attributes")
-    panel = materialise(feature_panel(counts, s), "panel")
+    panel = materialise(_needed(feature_panel(counts, s), s), "panel")
     labelled = labelled_cohort(panel, s)
     located = materialise(with_attributes(base_years(panel, s), attributes), "located")
     rows = materialise(with_attributes(labelled, attributes), "labelled")
@@ -222,7 +228,7 @@ def neighbor_sweep_tables(
     The neighbours are searched once; every count is a running summary over their ranks.
     """
     attributes = materialise(typed_attributes(attributes), "attributes")
-    panel = materialise(feature_panel(counts, s), "panel")
+    panel = materialise(_needed(feature_panel(counts, s), s), "panel")
     located = materialise(with_attributes(base_years(panel, s), attributes), "located")
     rows = materialise(with_attributes(labelled_cohort(panel, s), attributes), "labelled")
     near = tract_neighbors(located, most, rows.select("GEO_ID", "state", "year"), s.neighbor_group)

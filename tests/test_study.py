@@ -135,3 +135,18 @@ def test_both_tables_come_from_one_pass_over_the_lines(spark, tmp_path):
         assert table.dtypes == want.dtypes and want.count() > 2
         assert sorted(map(str, table.collect())) == sorted(map(str, want.collect()))
         assert not any("lineitem" in f for f in table.inputFiles())
+    # What is joined and sorted per line has no text, and each status and flag keeps its own counts.
+    assert not [c for c, t in derived_tables._lines(spark, str(tmp_path)).dtypes if t == "string"]
+    seven = got[0].where("GEO_ID like '%7' and year = 1995").first()
+    assert [seven[c] for c in ("B15002_019E", "B15002_002E", "B08301_003E", "B08301_004E", "B08301_010E", "B02001_002E")] == [1, 1, 1, 0, 1, 5]
+
+
+def test_the_stored_panel_has_the_keys_that_later_steps_read(spark, monkeypatch):
+    stored, write = {}, study.materialise
+    monkeypatch.setattr(study, "materialise", lambda df, label: stored.setdefault(label, write(df, label)))
+    rows = [count_row(f"06{i:09d}", y, income=20_000 + 1_000 * i) for i in range(30) for y in range(2010, 2019)]
+    places = [(f"06{i:09d}", f"{37 + i / 50}", "-122", "5") for i in range(30)]
+    for group in (("state",), ("state", "county")):
+        model_matrix(counts(spark, rows), attributes(spark, places), StudySettings(neighbors=5, group=group))
+        assert set(stored["panel"].columns) & set(study.PANEL_KEYS) == {"GEO_ID", "year", *group}
+        stored.clear()
