@@ -4,12 +4,14 @@ Each round fits a tree to the gradients and hessians of the logistic loss. A lev
 needs nothing but their sums per (node, feature, bin), so :func:`fit_boosted` counts them within
 each task, adds them up by one aggregation, and only those sums, bounded by the settings, reach
 the driver.
-:func:`fit_sample` runs the same rounds on arrays; tuning uses it inside tasks, one per setting and fold, on
-a sample of bounded size.
+:func:`fit_sample` runs the same rounds on arrays; tuning uses it inside tasks, one per setting and fold, each
+on all rows outside the fold. Rows too many for a task's memory are tuned by :func:`fit_boosted`, which gives
+the same trees but where rounding decides between equal gains.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import product
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.dataset import hash_fraction
 from cohortlens.operators.metrics import area_under_roc_by
-from cohortlens.operators.scale import materialise
+from cohortlens.operators.scale import blocks_in_order, materialise, new_table_path
 
+#: Bins up to which all rows go to every tuning task, at a byte each for up to 256 bins; beyond, each fit is spread.
+TASK_CELLS = 2**27
 #: Rounds after which the margins of a distributed fit are written, which cuts their lineage.
 ROUNDS_A_WRITE = 5
 _PRIME = 2**31 - 1
@@ -206,36 +210,40 @@ def fit_sample(bins: np.ndarray, label: np.ndarray, draw: np.ndarray, settings:
     """Trees for rows held as arrays; ``width`` is the largest number of bins of a feature.
 
     ``draw`` has a number in 0 .. 2^31 - 2 per row that decides in which rounds the row is drawn.
-    Sums are counted feature by feature, so that a count's few cells stay in the processor's cache.
+    Sums are counted feature by feature, so that a count's few cells stay in the processor's cache; rows that a
+    tree does not draw are left out once a tree.
     """
     margin, trees, by_feature = np.zeros(len(bins)), [], np.ascontiguousarray(bins.T)
     for number in range(settings.rounds):
         p = 1 / (1 + np.exp(-margin))
         gradient, hessian = p - label, p * (1 - p)
-        drawn = draw * _multiplier(settings, number) % _PRIME < _rows_limit(settings)
+        drawn = np.flatnonzero(draw * _multiplier(settings, number) % _PRIME < _rows_limit(settings))
         columns = _columns_of_round(settings, bins.shape[1], number)
         at = np.zeros(len(bins), np.int64)  # node of each row so far
+        held, weights = [by_feature[c][drawn] for c in columns], [x[drawn] for x in (gradient, hessian)]
 
         def histogram(nodes: list[int], tree: Tree, columns: np.ndarray) -> np.ndarray:
             if nodes != [0]:
                 _step_down(tree, bins, at)
             place = np.full(len(tree.feature), -1)
             place[nodes] = np.arange(len(nodes))
-            inside = np.flatnonzero(drawn & (place[at] >= 0))
+            node = place[at[drawn]]
+            inside = node >= 0
             sums = np.zeros((2, len(nodes), len(columns), width))
 
             def count(features: range, rows: np.ndarray) -> None:
-                first, weights = place[at[rows]] * width, [x[rows] for x in (gradient, hessian)]
+                chosen = slice(None) if rows.all() else np.flatnonzero(rows)
+                first, weighted = node[chosen] * width, [w[chosen] for w in weights]
                 for f in features:
-                    key = first + by_feature[columns[f]][rows]
-                    for side, w in zip(sums, weights):
+                    key = first + held[f][chosen]
+                    for side, w in zip(sums, weighted):
                         side[:, f] = np.bincount(key, weights=w, minlength=len(nodes) * width).reshape(len(nodes), width)
 
             count(range(1), inside)
             if len(columns) > 1:
                 # Whoever has no weight for two leaves cannot be split, so its other features need no sums.
                 large = sums[1, :, 0].sum(axis=1) >= 2 * settings.least_weight * (1 - 1e-9)
-                count(range(1, len(columns)), inside if large.all() else inside[large[place[at[inside]]]])
+                count(range(1, len(columns)), inside if large.all() else inside & large[node])
             return np.moveaxis(sums, 0, -1)
 
         tree = grow_tree(histogram, columns, settings)
@@ -412,7 +420,7 @@ PUBLISHED_START = BoostSettings(rate=0.1, rounds=100, depth=3, least_weight=1.0,
 
 @dataclass
 class Sample:
-    """A bounded sample as arrays."""
+    """Rows as arrays; bins in the smallest type that holds them."""
 
     bins: np.ndarray
     label: np.ndarray
@@ -421,11 +429,21 @@ class Sample:
     width: int
 
 
-def bounded_sample(rows: DataFrame, most: int) -> Sample:
-    """Up to ``most`` rows with the smallest hash, as arrays; ``rows`` has y, fold, draw, bins."""
-    found = rows.orderBy("draw", F.xxhash64("bins"), "y").limit(most).toPandas()
-    bins = np.stack(found["bins"].to_numpy()).astype(np.int64)
-    return Sample(bins, found["y"].to_numpy(float), found["fold"].to_numpy(int), found["draw"].to_numpy(np.int64), int(bins.max()) + 1)
+def all_rows(rows: DataFrame) -> Sample:
+    """Every row, by draw and values, as arrays; ``rows`` has y, fold, draw, bins, and no row lacks a bin."""
+    order = ["draw", "hash", "y", "fold"]
+    parts: list[Sample] = []
+    for t in blocks_in_order(rows.withColumn("hash", F.xxhash64("bins")), order):
+        flat = t["bins"].combine_chunks().flatten()
+        if flat.null_count or t["bins"].null_count:
+            raise ValueError("a row lacks a feature")
+        bins = flat.to_numpy().reshape(t.num_rows, -1)
+        kept = bins.astype(np.min_scalar_type(int(bins.max())))
+        parts.append(Sample(kept, *[t[c].to_numpy() for c in ("y", "fold", "draw")], int(bins.max()) + 1))
+    if not parts:
+        raise ValueError("no rows to fit on")
+    bins, y, fold, draw = (np.concatenate([getattr(p, n) for p in parts]) for n in ("bins", "label", "fold", "draw"))
+    return Sample(bins, y.astype(float), fold.astype(int), draw.astype(np.int64), max(p.width for p in parts))
 
 
 def _one_setting(sample: Sample, settings: BoostSettings, fold: int, rounds: Sequence[int]) -> pd.DataFrame:
@@ -442,7 +460,7 @@ def _one_setting(sample: Sample, settings: BoostSettings, fold: int, rounds: Seq
 def cross_validated_scores(spark, sample: Sample, settings: Sequence[BoostSettings], rounds: Sequence[int] | None = None) -> DataFrame:
     """``setting`` (its number), ``rounds``, ``fold``, ``label``, ``score`` of every held-out row, stored.
 
-    One task per setting and fold; the sample, whose size is bounded, goes to each. With
+    One task per setting and fold; all rows of ``sample`` go to each, once a Python process. With
     ``rounds`` given, one fit of the largest number gives the scores of all of them.
     """
     listed = list(settings)
@@ -461,6 +479,19 @@ def cross_validated_scores(spark, sample: Sample, settings: Sequence[BoostSettin
     return materialise(tasks.mapInPandas(fit_cases, "setting int, fold int, rounds int, label int, score double"), "tuning")
 
 
+def spread_scores(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], edges: list[list[float]], settings: Sequence[BoostSettings], rounds: Sequence[int] | None = None, fold_col: str = "fold", bins: int = 32) -> DataFrame:
+    """What :func:`cross_validated_scores` gives, for any number of rows: one fit after another, each spread by :func:`fit_boosted`."""
+    path = new_table_path(train.sparkSession, "tuning")
+    folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]
+    for i, fold in product(range(len(settings)), folds):
+        chosen = settings[i] if rounds is None else replace(settings[i], rounds=max(rounds))
+        model = fit_boosted(train.where(F.col(fold_col) != fold), features, label, keys, chosen, bins, edges)
+        scored = score_boosted(model, train.where(F.col(fold_col) == fold), [label], rounds)
+        found = scored.select(F.lit(i).alias("setting"), F.lit(fold).cast("int").alias("fold"), "rounds", F.col(label).cast("int").alias("label"), "score")
+        found.write.mode("append").parquet(path)
+    return train.sparkSession.read.parquet(path)
+
+
 def mean_auc(scores: DataFrame) -> list[dict]:
     """Mean over the folds of the area under ROC per (setting, rounds), in order, from one table."""
     per_fold = area_under_roc_by(scores, ["setting", "rounds", "fold"])
@@ -468,6 +499,19 @@ def mean_auc(scores: DataFrame) -> list[dict]:
     return [r.asDict() for r in means.collect()]
 
 
+def _fits_a_task(train: DataFrame, features: Sequence[str]) -> bool:
+    return train.count() * len(features) <= TASK_CELLS
+
+
+def _scores_in_tasks(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], edges: list[list[float]], fold_col: str, seed: int) -> Callable[..., DataFrame] | None:
+    """:func:`cross_validated_scores` on all rows of ``train``; None if they do not fit a task."""
+    if not _fits_a_task(train, features):
+        return None
+    kept = [F.col(label).cast("double").alias("y"), F.col(fold_col).alias("fold"), row_draw(keys, seed).alias("draw")]
+    rows = all_rows(binned(train, features, edges, kept))
+    return lambda settings, rounds=None: cross_validated_scores(train.sparkSession, rows, settings, rounds)
+
+
 def staged_boosting(
     train: DataFrame,
     features: Sequence[str],
@@ -478,19 +522,19 @@ def staged_boosting(
     refine: Mapping[str, Sequence[float]] | None = PUBLISHED_REFINE,
     start: BoostSettings = PUBLISHED_START,
     fold_col: str = "fold",
-    most_rows: int = 20_000,
     bins: int = 32,
 ) -> tuple[BoostSettings, list[dict]]:
-    """Tune group after group of parameters by cross-validated area under ROC on a bounded sample.
+    """Tune group after group of parameters by cross-validated area under ROC over all rows.
 
     Each stage keeps the best values found so far; the first setting wins a tie. ``refine`` adds
     a last grid of offsets around the values found, at most 1. A stage that varies ``rounds``
-    alone costs one fit a fold. Returns the final settings and the winner of every stage.
+    alone costs one fit a fold. Up to ``TASK_CELLS`` bins, one task makes one fit on all its rows;
+    beyond, each fit is spread over the cluster. Returns the final settings and the winner of every stage.
     """
-    spark = train.sparkSession
     edges = bin_edges(train, features, bins)
-    kept = [F.col(label).cast("double").alias("y"), F.col(fold_col).alias("fold"), row_draw(keys, start.seed).alias("draw")]
-    sample = bounded_sample(binned(train, features, edges, kept), most_rows)
+    scores = _scores_in_tasks(train, features, label, keys, edges, fold_col, start.seed)
+    if scores is None:
+        scores = lambda settings, rounds=None: spread_scores(train, features, label, keys, edges, settings, rounds, fold_col, bins)
     chosen, history = start, []
     todo = [dict(s) for s in stages] + ([None] if refine else [])
     for number, grid in enumerate(todo, 1):
@@ -498,21 +542,34 @@ def staged_boosting(
             grid = {n: sorted({round(min(max(getattr(chosen, n) + d, 0.01), 1.0), 6) for d in offsets}) for n, offsets in refine.items()}
         if list(grid) == ["rounds"]:
             settings, rounds = [chosen], sorted(grid["rounds"])
-            found = mean_auc(cross_validated_scores(spark, sample, settings, rounds))
+            found = mean_auc(scores(settings, rounds))
             best = max(found, key=lambda r: (r["auc"], -r["rounds"]))
             chosen = replace(chosen, rounds=best["rounds"])
         else:
             settings = [replace(chosen, **dict(zip(grid, values))) for values in product(*grid.values())]
-            found = mean_auc(cross_validated_scores(spark, sample, settings))
+            found = mean_auc(scores(settings))
             best = max(found, key=lambda r: (r["auc"], -r["setting"]))
             chosen = settings[best["setting"]]
         history.append({"stage": number, "tried": len(found), "auc": best["auc"], **{n: getattr(chosen, n) for n in grid}})
     return chosen, history
 
 
-def fit_on_sample(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], settings: BoostSettings, most_rows: int = 20_000, bins: int = 32) -> BoostedModel:
-    """The model of :func:`fit_boosted` on at most ``most_rows`` rows, fitted in one task."""
+def fit_in_task(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], settings: BoostSettings, bins: int = 32) -> BoostedModel:
+    """The model of :func:`fit_boosted`, on all rows too, its rounds run in one task if the rows fit there."""
     edges = bin_edges(train, features, bins)
+    if not _fits_a_task(train, features):
+        return fit_boosted(train, features, label, keys, settings, bins, edges)
     kept = [F.col(label).cast("double").alias("y"), F.lit(0).alias("fold"), row_draw(keys, settings.seed).alias("draw")]
-    s = bounded_sample(binned(train, features, edges, kept), most_rows)
-    return BoostedModel(list(features), edges, settings, fit_sample(s.bins, s.label, s.draw, settings, s.width))
+    shared = train.sparkSession.sparkContext.broadcast(all_rows(binned(train, features, edges, kept)))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            s = shared.value
+            yield pd.DataFrame({"trees": [pickle.dumps(fit_sample(s.bins, s.label, s.draw, settings, s.width))]})
+
+    found = train.sparkSession.range(0, 1, 1, 1).mapInPandas(fit, "trees binary").collect()
+    return BoostedModel(list(features), edges, settings, pickle.loads(found[0]["trees"]))
+
+
+#: The same under its name from when it took a part of the rows.
+fit_on_sample = fit_in_task

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +123,10 @@ def range_blocks(df: DataFrame, order: Sequence[str], blocks: int | None = None)
     cols = [F.col(c) for c in order]
     spread = df.repartitionByRange(blocks, *cols) if blocks else df.repartitionByRange(*cols)
     return materialise(spread.withColumn("_block", F.spark_partition_id()), "blocks")
+
+
+def blocks_in_order(df: DataFrame, order: Sequence[str]) -> Iterator[pa.Table]:
+    """All rows of ``df`` in ``order`` on the driver, one range block after another; empty blocks are left out."""
+    blocks = range_blocks(df, order)
+    for r in blocks.select("_block").distinct().orderBy("_block").collect():
+        yield blocks.where(F.col("_block") == r["_block"]).drop("_block").coalesce(1).sortWithinPartitions(*order).toArrow()

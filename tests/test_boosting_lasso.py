@@ -267,3 +267,50 @@ def test_nodes_too_light_to_split_are_left_out_without_a_difference(frame):
             whole = boosting.grow_tree(histogram, np.arange(5), s)
             assert (whole.feature == tree.feature).all() and (whole.cut == tree.cut).all() and (whole.weight == tree.weight).all()
             margin += tree.weight[boosting.tree_nodes(tree, bins)]
+
+
+# --- tuning on all rows ------------------------------------------------------------------------------
+
+
+def test_staged_tuning_and_the_winner_see_every_row(spark, monkeypatch):
+    n, start = 20_600, BoostSettings(rounds=1, depth=1)
+    many = spark.range(n).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") * 7 % 31).cast("double").alias("b"), ((F.col("id") % 97 + F.col("id") % 5) > 50).cast("int").alias("label"))
+    many, counted, mean = fold_column(many, ["id"], 2).cache(), [], boosting.mean_auc
+    monkeypatch.setattr(boosting, "mean_auc", lambda scores: counted.extend(scores.groupBy("setting", "rounds").count().collect()) or mean(scores))
+    chosen, history = boosting.staged_boosting(many, ["a", "b"], "label", ["id"], stages=[{"rate": [0.1, 0.5]}], refine=None, start=start)
+    assert [r["count"] for r in counted] == [n] * 2 and [h["tried"] for h in history] == [2]
+    winner, spread = boosting.fit_in_task(many, ["a", "b"], "label", ["id"], chosen), boosting.fit_boosted(many, ["a", "b"], "label", ["id"], chosen)
+    for one, other in zip(winner.trees, spread.trees, strict=True):
+        assert (one.feature == other.feature).all() and (one.cut == other.cut).all()
+        np.testing.assert_allclose(one.weight, other.weight, atol=1e-9)
+
+
+def test_rows_too_many_for_a_task_are_tuned_alike(rows, monkeypatch):
+    rows, stages = rows.where("fold < 2").cache(), [{"rounds": [1, 2]}]
+    tune = lambda: boosting.staged_boosting(rows, NAMES, "label", ["id"], stages=stages, refine=None, start=BoostSettings(rounds=1, depth=1, row_share=0.8))
+    chosen, history = tune()
+    whole = boosting.fit_in_task(rows, NAMES, "label", ["id"], chosen)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 0)
+    monkeypatch.setattr(boosting, "fit_sample", None)
+    spread, again = tune()
+    assert spread == chosen and [{**h, "auc": 0} for h in again] == [{**h, "auc": 0} for h in history]
+    assert [h["auc"] for h in again] == pytest.approx([h["auc"] for h in history], abs=1e-9)
+    for one, other in zip(whole.trees, boosting.fit_in_task(rows, NAMES, "label", ["id"], chosen).trees, strict=True):
+        np.testing.assert_allclose(one.weight, other.weight, atol=1e-9)
+
+
+def test_arrays_hold_every_row_in_order_whatever_the_blocks(spark, rows, monkeypatch):
+    held = boosting.binned(rows, NAMES, boosting.bin_edges(rows, NAMES, 8), [F.col("label").cast("double").alias("y"), "fold", boosting.row_draw(["id"], 42).alias("draw")])
+    one = boosting.all_rows(held)
+    assert one.bins.dtype == np.uint8 and len(one.bins) == 700 and (np.diff(one.draw) >= 0).all()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        several = boosting.all_rows(held.repartition(5))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for n in ("bins", "label", "fold", "draw"):
+        assert (getattr(one, n) == getattr(several, n)).all()
+    with pytest.raises(ValueError, match="no rows"):
+        boosting.all_rows(held.limit(0))
+    with pytest.raises(ValueError, match="lacks a feature"):
+        boosting.all_rows(held.withColumn("bins", F.when(F.col("draw") > 10**9, F.col("bins"))))
