@@ -165,3 +165,27 @@ def test_networks_fitted_together_equal_those_fitted_alone(frame):
     with pytest.raises(ValueError, match="drop alone"):
         network.fit_network_samples(x, y, draw, NAMES, [shape, replace(shape, base=5)])
     assert len(network.fit_network_samples(x[:0], y[:0], draw[:0], NAMES, alike)) == 3
+
+
+def test_the_grid_and_the_winner_see_every_row(spark, monkeypatch):
+    n, settings = 4_500, NetworkSettings(base=2, depth=1, epochs=1)
+    many = spark.range(n).select("id", *[(F.col("id") * k % 89).cast("double").alias(c) for k, c in ((1, "a"), (5, "b"), (11, "c"))], (F.col("id") % 89 > 40).cast("int").alias("label"))
+    many, counted, area = fold_column(many, ["id"], 2).cache(), [], network.area_under_roc_by
+    monkeypatch.setattr(network, "area_under_roc_by", lambda scores, by: counted.extend(scores.groupBy("setting").count().collect()) or area(scores, by))
+    network.tune_network(many, NAMES, "label", ["id"], {"drop": [0.0, 0.1]}, settings)
+    assert [r["count"] for r in counted] == [n] * 2
+    net = network.fit_network_in_task(many, NAMES, "label", ["id"], settings)
+    values = many.select(NAMES).toPandas().to_numpy()
+    np.testing.assert_allclose(net.center, values.mean(0))
+    np.testing.assert_allclose(net.spread, values.std(0))
+
+
+def test_training_rows_are_named_by_their_places(frame, monkeypatch):
+    x, y, draw = frame[NAMES].to_numpy(float), frame["label"].to_numpy(float), np.arange(len(frame)) * 7919 + 1
+    alike, rows = [NetworkSettings(base=3, depth=1, epochs=2, drop=d) for d in (0.0, 0.2)], np.flatnonzero(draw % 3)
+    for one, other in zip(network.fit_network_samples(x, y, draw, NAMES, alike, rows), network.fit_network_samples(x[rows], y[rows], draw[rows], NAMES, alike)):
+        assert all((a == b).all() for a, b in zip([*one.weights, one.center, one.spread], [*other.weights, other.center, other.spread]))
+    whole = network._mean_and_spread(x, rows)
+    monkeypatch.setattr(network, "ROWS_AT_A_TIME", 7)
+    for a, b in zip(whole, network._mean_and_spread(x, rows)):
+        np.testing.assert_allclose(a, b)
